@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import decontamination, line_dedup, mixing, quality, token_counts, token_files, toxicity, warc
+from pricewright.llm import decontamination, line_dedup, mixing, quality, suffix_dedup, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op7_warc, op8_token_counts, op10_toxicity)
+QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op7_warc, op8_token_counts, op9_suffix_dedup, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
