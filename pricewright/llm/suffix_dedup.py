@@ -106,7 +106,10 @@ def anchors(text: np.ndarray, length: int) -> np.ndarray:
     while 2 * n <= width:
         h, n = np.minimum(h[:-n], h[n:]), 2 * n
     rest = width - n
-    return np.minimum(h[: h.size - rest], h[rest:]) if rest else h
+    least = np.minimum(h[: h.size - rest], h[rest:]) if rest else h
+    # Smallest hashes crowd near 0; a one-to-one mix spreads them over the ranges.
+    least = (least ^ (least >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return least ^ (least >> np.uint64(27))
 
 
 def runs(texts: list[bytes], length: int, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
