@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import decontamination, line_dedup, mixing, quality, suffix_dedup, token_counts, token_files, toxicity, warc
+from pricewright.llm import decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -60,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op7_warc, op8_token_counts, op9_suffix_dedup, op10_toxicity)
+QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op6_near_dedup, op7_warc, op8_token_counts, op9_suffix_dedup, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
