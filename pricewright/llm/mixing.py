@@ -104,7 +104,9 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     copies = F.ceil(taken / size).cast("int")
     rows = rows.where(taken > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     left = taken - (F.col("_copy") - 1) * size
-    head = F.regexp_extract(F.col(text), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), left.cast("string"), F.lit("}")), 0)
+    # Each word with the white space before it, so that the head keeps the text's own.
+    words_apart = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
+    head = F.array_join(F.slice(words_apart, F.lit(1), left.cast("int")), "")
     cut = F.when(left >= size, F.col(text)).otherwise(head)
     return rows.withColumn(text, cut).select(*docs.columns)
 
