@@ -9,6 +9,12 @@ from pricewright.functions import curves, inference
 from pricewright.functions import numbers as N
 from pricewright.functions import text as X
 from pricewright.operators import imports, listings, mutations, prices, serving, snapshots
+from pricewright.operators.normalize import BAD_MAKE as N_BAD_MAKE
+from pricewright.operators.normalize import BAD_MODEL as N_BAD_MODEL
+from pricewright.operators.normalize import MAKES as N_MAKES
+from pricewright.operators.normalize import MODEL_DEBRIS as N_DEBRIS
+from pricewright.operators.normalize import MODELS as N_MODELS
+from pricewright.operators.normalize import VARIANT_DEBRIS as N_VARIANT_DEBRIS
 from pricewright.operators.normalize import canonical
 from pricewright.plans import views as V
 from pricewright.sources import html
@@ -334,4 +340,153 @@ QUERIES = (
     text_search, term_search, nested_exists, unknown_brands, permission_check, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, price_display, event_windows,
     event_sessions, price_rollup,
 )
-ORACLES: dict[str, str] = {}
+
+def _values() -> str:
+    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({k}, {', '.join(map(quote, row))})" for k, row in enumerate(RAW_NAMES))
+
+
+_NAMES = f"""names(k, make, model, variant, title) AS (VALUES {_values()}), raw_names AS (
+  SELECT p_partkey AS id, make, model, variant, title, p_retailprice FROM part JOIN names ON k = p_partkey % {len(RAW_NAMES)}
+)"""
+
+
+def _clean(x: str) -> str:
+    out = f"regexp_replace(coalesce({x}, ''), '\\s*-\\s*[0-9]+$', '')"
+    for fragment in X.JUNK:
+        fragment = fragment.replace("'", "''")
+        out = f"regexp_replace({out}, '{fragment}', '', 'gi')"
+    return f"trim(regexp_replace(regexp_replace({out}, '[-_]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _fold(x: str) -> str:
+    return f"translate({x}, '{X.TURKISH}', '{X.PLAIN}')"
+
+
+def _any(fields: list[str], needles: tuple) -> str:
+    return "(" + " OR ".join(f"contains({f}, '{n}')" for f in fields for n in needles) + ")"
+
+
+def _case(fields: list[str], rules: tuple, default: str, pick=lambda v: f"'{v}'") -> str:
+    return "CASE " + " ".join(f"WHEN {_any(fields, n)} THEN {pick(v)}" for n, v in rules) + f" ELSE {default} END"
+
+
+_FIELDS = {"model": "um", "title": "ut", "variant": "uv", "raw_model": "m", "raw_title": "t", "all": "concat_ws(' ', um, ut, uv)"}
+
+
+def _models() -> str:
+    return "CASE " + " ".join(
+        f"WHEN cmake = '{make}' THEN CASE " + " ".join(f"WHEN {' OR '.join(_any([_FIELDS[f]], n) for f, n in needles.items())} THEN '{out}'" for needles, out in rules) + " END" for make, rules in N_MODELS.items()
+    ) + " END"
+
+
+_CANONICAL = f"""{_NAMES}, n1 AS (SELECT *, {_clean('make')} AS mk, {_clean('model')} AS m, {_clean('variant')} AS v, {_clean('title')} AS t FROM raw_names),
+n2 AS (SELECT *, {_fold('upper(mk)')} AS umk, {_fold('upper(m)')} AS um, {_fold('upper(t)')} AS ut, {_fold('upper(v)')} AS uv FROM n1),
+n3 AS (SELECT *, {_case(['umk'], N_MAKES, 'mk')} AS cmake FROM n2),
+n4 AS (SELECT *, {_models()} AS known FROM n3),
+n5 AS (SELECT *, CASE WHEN cmake IN ('DS Automobiles', 'BYD', 'Cupra', 'Daihatsu') THEN known ELSE coalesce(known, m) END AS cmodel FROM n4),
+n6 AS (SELECT *, CASE WHEN length(cmake) < 2 THEN '{N_BAD_MAKE}' WHEN cmodel IS NULL OR length(cmodel) < 2 OR cmodel = 'Genel Model' OR upper(cmodel) = upper(cmake)
+    OR upper(cmodel) = regexp_replace(upper(cmake), '\\s+', '', 'g') OR regexp_replace(upper(cmodel), '\\s+', '', 'g') = upper(cmake) OR {_any(['upper(cmodel)'], N_DEBRIS)} THEN '{N_BAD_MODEL}' END AS reason FROM n5),
+canonical AS (SELECT id, CASE WHEN reason = '{N_BAD_MAKE}' THEN coalesce(make, '') ELSE cmake END AS cmake, CASE WHEN reason IS NULL THEN cmodel ELSE coalesce(model, '') END AS cmodel,
+  CASE WHEN reason IS NULL AND v <> '' AND v NOT IN ('Standart', 'FarkliVaryant', 'Genel Model') AND NOT regexp_matches(v, '^[0-9]+$') AND NOT {_any(['lower(v)'], N_VARIANT_DEBRIS)} THEN v END AS cvariant,
+  reason IS NULL AS is_valid, reason, make AS raw_make, model AS raw_model, title, p_retailprice FROM n6)"""
+_DAMAGED = _any(["lower(coalesce(title, ''))"], X.DAMAGE_WORDS)
+_TIERED = f"""WITH {V.SPECS}, tiered AS (SELECT *, ['exotic', 'luxury', 'standard', 'economy'][1 + size % 4] AS tier, year * 4 - 5978 + size % 4 AS model_year, coalesce(package, '') AS pkg FROM specs),
+aged AS (SELECT *, greatest(0, 2026 - model_year) AS age FROM tiered)"""
+_R = lambda x: f"floor({x} + 0.5::DOUBLE)::BIGINT"
+_D = lambda v: f"{v!r}::DOUBLE"
+_BY_YEAR = "CASE tier " + " ".join(f"WHEN '{k}' THEN CASE WHEN model_year >= 2026 THEN 1::DOUBLE WHEN model_year <= 2004 THEN {_D(v[-1] * 0.9)} ELSE {[float(x) for x in v]}[1 + 2026 - model_year]::DOUBLE END" for k, v in curves.YEAR_CURVES.items()) + " END"
+_PACKAGE = "CASE " + " ".join(f"WHEN pkg IN {tuple(n)} THEN {_D(f)}" for n, f in curves.PACKAGES) + " ELSE 1::DOUBLE END"
+_OLD_NEW = """WITH o AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_partkey % 3 <> 0), n AS (
+  SELECT p_partkey, p_brand, p_size + 100 AS p_size, CASE WHEN p_size % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_partkey % 3 <> 1)"""
+_SEGMENT = lambda k: f"CASE WHEN {_any(['lower(make)'], curves.SEGMENTS[0][0])} THEN {curves.SEGMENTS[0][k]} WHEN {_any(['lower(make)'], curves.SEGMENTS[1][0])} THEN {curves.SEGMENTS[1][k]} WHEN {_any(['lower(make)'], curves.SEGMENTS[2][0])} OR contains(lower(model), 'clio') THEN {curves.SEGMENTS[2][k]} ELSE {curves.DEFAULT_SEGMENT[k - 1]} END"
+_HTML = f"""WITH {V.LISTINGS}, shown AS (SELECT concat(make, '/', model, '.html') AS page, * FROM unique_listings WHERE price % 40 = 0)"""
+_STATE = lambda k: f"['DEGISEN', 'BOYALI', 'LOKAL', 'ORIJINAL'][1 + (n + {k}) % 4]"
+_PARTS = {"Motor Kaputu": _STATE("0"), "Tavan": _STATE("1"), "Sol Kapı": _STATE("2"), "Sağ Kapı": _STATE("n % 3")}
+_POINTS = " + ".join(f"CASE {s} " + " ".join(f"WHEN '{state}' THEN {v[0] if part in serving.MAIN_PARTS else v[1]}" for state, v in serving.PART_POINTS.items()) + " ELSE 0 END" for part, s in _PARTS.items())
+_IN_STATE = lambda state: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {s} = '{state}' THEN '{p}' END" for p, s in _PARTS.items()) + "], lambda x: x IS NOT NULL)), ',')"
+
+ORACLES = {
+    "canonical_names": f"WITH {_CANONICAL} SELECT id, cmake AS make, cmodel AS model, cvariant AS variant, is_valid, reason FROM canonical",
+    "cleaned_names": f"""WITH {_NAMES}, c AS (SELECT *, {_clean('model')} AS m, {_clean('make')} AS k, coalesce(make, '') AS b FROM raw_names)
+      SELECT id, m AS model, {_fold('upper(k)')} AS make, CASE WHEN starts_with(lower(m), lower(b) || ' ') THEN trim(substr(m, length(b) + 2)) ELSE m END AS short, {_DAMAGED} AS is_damaged,
+      regexp_matches(lower({_fold("coalesce(title, '')")}), '\\b(agir hasar\\w*|pert)\\b') AS is_damaged_strict, CASE WHEN trim(coalesce(variant, '')) NOT IN ('', 'Standart', 'FarkliVaryant') THEN variant END AS known_variant,
+      regexp_matches(trim(coalesce(variant, '')), '^[0-9]+$') AS is_number FROM c""",
+    "quarantine_split": f"""WITH {_CANONICAL}, judged AS (
+        SELECT (id % 500)::VARCHAR AS listing_id, cmake, cmodel, cvariant, title, (1990 + id % 40)::INT AS year, id * 997 % 300000 AS mileage, round(p_retailprice * 50)::BIGINT AS price, raw_make, raw_model, {_DAMAGED} AS is_damaged,
+          CASE WHEN price NOT BETWEEN 50000 AND 150000000 THEN '{listings.BAD_PRICE}' WHEN year NOT BETWEEN 1980 AND 2026 THEN '{listings.BAD_YEAR}' ELSE reason END AS why FROM canonical),
+      bad AS (SELECT * FROM judged WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id, why ORDER BY price, listing_id, why, raw_make NULLS LAST, raw_model NULLS LAST, year) = 1),
+      good AS (SELECT *, CASE WHEN mileage NOT IN (year, price) THEN mileage END AS km FROM judged WHERE why IS NULL
+        QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY price, km NULLS LAST, cmake, cmodel, cvariant NULLS LAST, title NULLS LAST, year, is_damaged) = 1)
+      SELECT listing_id, cmake AS make, cmodel AS model, year, price, NULL::VARCHAR AS reason FROM good WHERE listing_id NOT IN (SELECT listing_id FROM bad)
+      UNION ALL SELECT listing_id, raw_make, raw_model, year, price, why FROM bad""",
+    "parsed_numbers": """WITH r AS (SELECT s_suppkey, format('{:,.2f} TL', s_acctbal) AS price, s_name, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_name || ' / Kadıköy' END AS place, lpad((s_suppkey * 7919)::VARCHAR, 10, '5') AS phone FROM supplier)
+      SELECT s_suppkey, regexp_replace(price, '[^0-9]', '', 'g')::BIGINT AS price_digits, regexp_replace(s_name, '[^0-9]', '', 'g')::BIGINT AS name_digits, trim(string_split(place, '/')[1]) AS city,
+      CASE WHEN contains(place, '/') THEN trim(string_split(place, '/')[2]) ELSE '' END AS district, replace(format('{:,}', s_suppkey * 12345), ',', '.') AS dotted,
+      CASE WHEN starts_with(phone, '90') THEN phone WHEN starts_with(phone, '0') THEN '9' || phone WHEN length(phone) = 10 THEN '90' || phone ELSE phone END AS phone FROM r""",
+    "technical_data": f"""WITH {_NAMES}, e AS (SELECT *, upper(concat_ws(' ', coalesce(model, ''), coalesce(variant, ''))) AS name, lower(coalesce(variant, '')) AS lv, upper(concat_ws(' ', coalesce(title, ''), coalesce(variant, ''))) AS tt FROM raw_names),
+      f AS (SELECT *, {_case(['name'], inference.ENGINES, '120', lambda v: str(v[1]))} AS horsepower, {_case(['lv'], inference.BODIES, "'Sedan'")} AS body FROM e)
+      SELECT id, round(({_case(['name'], inference.ENGINES, '1.6', lambda v: str(v[0]))}) * 1000)::INT AS engine_cc, horsepower::INT AS horsepower, floor(horsepower * 1.8::DOUBLE + 0.5::DOUBLE)::INT AS torque,
+      CASE WHEN {_any(['lv'], inference.DIESEL)} THEN 'Dizel' ELSE 'Benzin' END AS fuel, body, CASE WHEN body IN ('Coupe', 'Cabrio') THEN 2 WHEN body = 'Hatchback' THEN 5 ELSE 4 END AS doors, CASE WHEN body = 'Coupe' THEN 4 ELSE 5 END AS seats,
+      CASE WHEN {_any(["lower(coalesce(model, ''))"], inference.FOUR_WHEELS)} THEN '4x4' ELSE 'Önden Çekiş' END AS drive, {_case(['tt'], inference.TRIMS, "'Paket'")} AS trim FROM f""",
+    "depreciation": f"""{_TIERED} SELECT make, model, variant, year, {_R('msrp * 0.25::DOUBLE + (msrp - msrp * 0.25::DOUBLE) * pow(0.88::DOUBLE, age)')} AS to_floor, {_R('msrp * pow(0.92::DOUBLE, age)')} AS geometric,
+      {_R(f'msrp * greatest(0.48::DOUBLE, 1 - age * 0.025::DOUBLE - pow(age::DOUBLE, 1.2::DOUBLE) * 0.002::DOUBLE) * {_PACKAGE}')} AS concave, {_R(f'msrp * {_BY_YEAR}')} AS by_year,
+      {_R('msrp * greatest(0.30::DOUBLE, 1 - age * 0.06::DOUBLE)')} AS linear,
+      {_R(f"(msrp * 0.2::DOUBLE + (msrp - msrp * 0.2::DOUBLE) * pow(0.9::DOUBLE, age)) * {_case(['lower(variant)'], curves.VARIANT_FACTORS, '1::DOUBLE', _D)} * {_case(['pkg'], curves.PACKAGE_FACTORS, '1::DOUBLE', _D)}")} AS catalogue FROM aged""",
+    "recalibrated_prices": f"""{_TIERED}, m AS (SELECT *, {_R(f'msrp * {_BY_YEAR}')} AS new_msrp FROM aged), a AS (SELECT *, {_R('new_msrp / 1.2::DOUBLE')} AS average FROM m)
+      SELECT make, model, variant, model_year::INT AS year, new_msrp, average AS market_average, {_R('average * 1.05::DOUBLE')} AS clean_average, {_R('average * 1.03::DOUBLE')} AS listing_average, {_R('average * 0.92::DOUBLE')} AS min_price,
+      {_R('average * 1.08::DOUBLE')} AS max_price, CASE WHEN tier = 'economy' THEN 12 ELSE 20 END AS selling_days, new_msrp <> msrp AS changed FROM a""",
+    "inflation_sync": f"WITH {V.SPECS} SELECT make, model, variant, year, CASE WHEN msrp > 0 AND make IN ('Brand#11', 'Brand#22', 'Brand#33') THEN floor(msrp * 1.025::DOUBLE + 0.5::DOUBLE) ELSE msrp END AS msrp FROM specs",
+    "fallback_prices": f"""WITH {V.LISTINGS}, {V.SPECS}, known AS (SELECT make, model, variant, year, count(*) AS n, {_R('sum(price)::DOUBLE / count(*)')} AS a, coalesce({_R('sum(price) FILTER (NOT is_damaged)::DOUBLE / nullif(count(*) FILTER (NOT is_damaged), 0)')}, {_R('sum(price)::DOUBLE / count(*)')}) AS c FROM listings GROUP BY ALL HAVING count(*) >= 3),
+      back AS (SELECT *, {_R(f'{_SEGMENT(2)} + ({_SEGMENT(1)} - {_SEGMENT(2)}) * pow(0.88::DOUBLE, greatest(0, 2002 - year))')} AS b FROM specs)
+      SELECT make, model, variant, year, CASE WHEN a IS NULL THEN 'Fallback Model' ELSE 'Scraped' END AS source, coalesce(a, b) AS average, coalesce(c, {_R('b * 1.05::DOUBLE')}) AS clean_average FROM back LEFT JOIN known USING (make, model, variant, year)""",
+    "flat_prices": f"""WITH {V.LISTINGS}, v AS (SELECT make, model, list(price ORDER BY price) AS v FROM listings GROUP BY ALL)
+      SELECT make, model, unnest([2024, 2023, 2022, 2021, 2020]) AS year, len(v)::INT AS n, {", ".join(f"v[1 + floor(len(v) * {p}::DOUBLE)::INT] AS {c}" for c, p in (("min_price", 0.05), ("cash_price", 0.35), ("average", 0.5), ("listing_price", 0.6), ("max_price", 0.95)))} FROM v""",
+    "spec_cross": f"""WITH {V.SPECS}, p AS (SELECT DISTINCT make, model, package FROM specs WHERE year = 1998 AND package IS NOT NULL)
+      SELECT s.make, s.model, variant, p.package, unnest([1999, 2000, 2001]) AS year FROM specs s LEFT JOIN p ON s.make = p.make AND s.model = p.model WHERE s.year = 1998""",
+    "spec_lookup": f"""WITH {V.LISTINGS}, {V.SPECS} SELECT listing_id, coalesce(body, '') AS body, coalesce(fuel, '') AS fuel, coalesce(transmission, '') AS transmission
+      FROM listings l LEFT JOIN specs s ON lower(s.make) = lower(l.make) AND s.model = l.model AND lower(s.variant) = lower(l.variant) AND s.year = l.year + l.price % 2""",
+    "models_without_specs": f"WITH {V.SPECS} SELECT DISTINCT make, variant FROM specs EXCEPT SELECT make, variant FROM specs WHERE size > 10",
+    "upsert_merge": f"{_OLD_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, coalesce(o.p_brand, n.p_brand) AS p_brand, coalesce(o.p_size, n.p_size) AS p_size, coalesce(n.p_retailprice, o.p_retailprice) AS p_retailprice FROM o FULL JOIN n ON o.p_partkey = n.p_partkey",
+    "find_or_create": f"{_OLD_NEW} FROM o UNION ALL FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM o)",
+    "conditional_update": f"{_OLD_NEW} SELECT n.p_partkey, n.p_retailprice FROM n JOIN o ON o.p_partkey = n.p_partkey WHERE n.p_retailprice <> o.p_retailprice",
+    "replace_prices": f"{_OLD_NEW} FROM o WHERE p_brand NOT IN (SELECT p_brand FROM n WHERE p_brand < 'Brand#3') UNION ALL FROM n WHERE p_brand < 'Brand#3'",
+    "filtered_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "cascade_delete": """SELECT 'nation' AS level, n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey NOT IN (3, 7) UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_nationkey NOT IN (3, 7)
+      UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7))""",
+    "published_version": "SELECT p_brand, count(*) AS n FROM part GROUP BY 1",
+    "facets": f"""WITH {V.SPECS}, b AS (SELECT * FROM specs WHERE year = 1999 AND make = 'Brand#11'), f AS (
+        SELECT 'model' AS facet, list_sort(list(DISTINCT model)) AS c FROM b UNION ALL SELECT 'body', list_sort(list(DISTINCT body)) FROM b UNION ALL SELECT 'fuel', list_sort(list(DISTINCT fuel)) FROM b WHERE body = 'Sedan'
+        UNION ALL SELECT 'transmission', list_sort(list(DISTINCT transmission)) FROM b WHERE body = 'Sedan' AND fuel = 'Dizel' UNION ALL SELECT 'package', list_sort(list(DISTINCT package) FILTER (package IS NOT NULL)) FROM b WHERE body = 'Sedan' AND fuel = 'Dizel')
+      SELECT facet, coalesce(array_to_string(c, ','), '') AS choices, CASE WHEN len(c) = 1 THEN c[1] END AS auto FROM f""",
+    "dashboard_kpis": f"""SELECT count(*) AS n_evaluations, {_R('sum(floor(o_totalprice + 0.5::DOUBLE)::BIGINT)::DOUBLE / count(*)')} AS average_valuation, count(*) AS n_consignments, count(*) FILTER (o_orderstatus = 'P') AS n_pending,
+      count(*) FILTER (o_orderstatus = 'O') AS n_approved, count(*) FILTER (o_orderstatus NOT IN ('P', 'O')) AS n_completed FROM orders""",
+    "latest_page": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 200",
+    "recent_joined": "SELECT o_orderkey, o_totalprice, c_name, n_name FROM (FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5) LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "price_list": f"WITH {V.SPECS} SELECT make, model, variant, year, coalesce(package, '-') AS package, replace(format('{{:,}}', msrp::BIGINT), ',', '.') AS msrp FROM specs WHERE make = 'Brand#12'",
+    "text_search": "SELECT c_custkey, c_mktsegment FROM customer WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')",
+    "term_search": "SELECT p_partkey, p_brand, p_type FROM part WHERE contains(p_brand, '#13') OR contains(p_type, 'PROMO') OR contains(p_brand, 'PROMO') OR contains(p_type, '#13')",
+    "nested_exists": "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (FROM customer WHERE c_nationkey = n_nationkey AND EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000))",
+    "unknown_brands": "SELECT DISTINCT p_brand FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size > 45)",
+    "permission_check": """SELECT c_custkey, c_custkey % 5 = 0 OR c_custkey % 7 <> 0 AND c_mktsegment = 'BUILDING' AS permitted FROM customer WHERE c_custkey <= 1000""",
+    "damage_points": f"""WITH l AS (SELECT DISTINCT l_quantity, l_returnflag, l_linestatus, l_tax, l_quantity::INT AS n FROM lineitem)
+      SELECT l_quantity, l_returnflag, l_linestatus, l_tax, least(60, {_POINTS} + CASE WHEN l_returnflag = 'R' THEN 35 ELSE 0 END + CASE WHEN l_tax > 0.07::DOUBLE THEN 25 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END)::INT AS points,
+      {_IN_STATE('DEGISEN')} AS replaced, {_IN_STATE('BOYALI')} AS painted FROM l""",
+    "json_details": """SELECT event_id, k, CASE WHEN k IS NULL THEN concat('{"id":', event_id, '}') ELSE concat('{"k":', k, ',"id":', event_id, '}') END AS json
+      FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN (props->>'$.k')::INT END AS k FROM events)""",
+    "import_rows": f"""WITH r AS (SELECT p_partkey AS line, p_brand AS make, p_type AS model, p_name AS variant, (1995 + p_partkey % 7)::INT AS year, CASE WHEN p_size % 2 = 0 THEN 'Sedan' ELSE 'SUV' END AS body, 'Benzin' AS fuel,
+        CASE WHEN p_size > 25 THEN p_size ELSE 110 END::DOUBLE AS horsepower, 4::DOUBLE AS doors, (p_size * 1000)::DOUBLE AS market_average, 20::DOUBLE AS selling_days FROM part WHERE p_partkey % 11 <> 0)
+      SELECT line, make, model, variant, year, body, fuel, horsepower, doors, market_average, market_average * 1.03::DOUBLE AS listing_average, market_average * 0.92::DOUBLE AS min_price, market_average * 1.08::DOUBLE AS max_price, selling_days
+      FROM r QUALIFY row_number() OVER (PARTITION BY year, make, model, variant, body ORDER BY line DESC) = 1""",
+    "dimension_keys": f"WITH {V.SPECS} SELECT DISTINCT make, model, sha256(concat(make, chr(1), model)) AS model_id FROM specs",
+    "html_rows": f"{_HTML} SELECT page, year, price, replace(variant, ' ', '-') AS tag FROM shown WHERE price BETWEEN 50000 AND 150000000",
+    "html_prices": f"{_HTML} SELECT page, count(*) AS n, min(price) AS least, max(price) AS most FROM shown WHERE price > 50000 GROUP BY 1",
+    "html_parsed": f"{_HTML} SELECT page, listing_id, model AS title, year, price, replace(variant, ' ', '-') AS tag FROM shown",
+    "price_display": f"""WITH p AS (SELECT *, {_R('p_retailprice * 1000')} AS x FROM part), v AS (SELECT *, {_R('x * ((1 - p_size * 0.004::DOUBLE - p_size * 0.002::DOUBLE) * 1.02::DOUBLE + 0.01::DOUBLE)')} AS value, {_R('x / 0.88::DOUBLE')} AS market FROM p)
+      SELECT p_partkey, value, {_R('value * 0.91::DOUBLE')} AS buying, {_R('value * 1.08::DOUBLE')} AS listing, market, {_R('market * 0.94::DOUBLE')} AS low, {_R('market * 0.96::DOUBLE')} AS net,
+      'İstanbul Ilgaz ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(translate(w[1], 'iı', 'İI')) || w[2:]), ' ') AS title FROM v""",
+    "event_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(floor(value * 100 + 0.5::DOUBLE)::BIGINT)::BIGINT AS hundredths FROM events GROUP BY ALL",
+    "event_sessions": """WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR AS near FROM events), s AS (SELECT user_id, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+      c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY 1""",
+    "price_rollup": f"WITH {V.LISTINGS} SELECT make, model, year, count(*) AS n, sum(price)::BIGINT AS total, grouping(make, model, year)::INT AS level FROM listings GROUP BY ROLLUP (make, model, year)",
+}
