@@ -15,10 +15,11 @@ at 85 % the bands miss a pair once in a million.
 1. Documents with the same set are one node, that of the smallest key.
 2. In every band value the smallest node is the hub, and each other node is
    checked against it on the full sets.
-3. Checked links are contracted to groups.  Where a band value still joins more
-   than one group, the pairs across groups, whose sketches do not rule a link
-   out, are checked, too; pairs within a group have nothing left to add.  A band
-   value's nodes are dealt out by blocks, two at a time, never whole.
+3. Checked links are contracted to groups.  Nodes that band values connect form
+   clusters; where a cluster holds more than one group, the pairs across groups,
+   whose sketches do not rule a link out, are checked, too, within tasks that
+   hold two blocks of the cluster each.  Pairs within a group have nothing left
+   to add, and only links that join something leave a task.
 4. All links together give the groups.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with
@@ -43,7 +44,7 @@ from pricewright.llm.shared import byte_texts, session_of, written
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
 WORDS, PERCENT = 3, 85
-#: Nodes of a block, when a band value's nodes are compared two blocks at a time.
+#: Nodes of a block, when a cluster's nodes are compared two blocks at a time.
 BLOCK = 256
 #: Checks with one node that are streamed in one go; more are split.
 CHECKS = 2000
@@ -144,11 +145,11 @@ def batched(texts: list[bytes]) -> Iterator[slice]:
         yield slice(begin, k)
 
 
-SIGNATURES = "key long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SIGNATURES = "key long, n_shingles long, digest binary, bands array<long>"
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n_shingles, digest of the set, bands, one byte of each coordinate) of every row."""
+    """(key, n_shingles, digest of the set, bands) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -160,33 +161,30 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 found = sketches(shingles, starts)
                 n = np.diff(starts)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(found).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                small = (mixed(found) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, part.stop - part.start).cast(pa.int64()), pa.array(n, pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(shingles[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()),
-                        bands, pa.array([x.tobytes() for x in small], pa.binary()),
+                        bands,
                     ],
-                    names=["key", "n_shingles", "digest", "bands", "sketch"],
+                    names=["key", "n_shingles", "digest", "bands"],
                 )
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(sign, SIGNATURES)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough.
+def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are similar enough, from (node, text) rows.
 
     For each a the texts of its partners are streamed past its own.  An a with
     many partners is split, with its own text once in each part.
     """
-    pairs = written(pairs, "near-pairs")
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKS).alias("parts"))
     legs = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     legs = legs.select(F.col("b").alias("id"), "a", "part").unionByName(legs.select(F.col("a").alias("id"), "a", "part").distinct())
-    legs = written(legs, "near-checks")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(legs, "id")
+    rows = texts.withColumnRenamed("node", "id").join(written(legs, "near-checks"), "id")
     rows = rows.select("a", "part", (F.col("id") != F.col("a")).alias("partner"), F.col("id").alias("b"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "partner", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,36 +241,66 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def crossing_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidates in different groups that were not checked against a hub."""
-    rows = bands.join(groups, "node", "left").select("band", "node", "hub", "n_nodes", F.coalesce("label", "node").alias("label"))
-    open_ = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    # A band of two nodes has no pair but the hub's.
-    rows = rows.where("n_nodes > 2 AND node <> hub").join(written(open_, "near-open"), "band", "left_semi")
-    blocks = F.ceil(F.col("n_nodes") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(nodes, "node").select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n_shingles", "sketch")
-    # What a sketch of BINS coordinates shows of a similar pair is below this once in many billion pairs.
+def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between different groups of ``candidates``, (node, label) clusters.
+
+    A cluster's largest group is its core.  Blocks of the other nodes meet each
+    other and the blocks of the core; the core's blocks need not meet.  A task
+    compares two blocks: it tries the pairs that sketches do not rule out, the
+    likeliest first, skips those that are joined already, and gives what joins.
+    """
+    members = candidates.select(F.col("label").alias("cluster"), "node").unionByName(candidates.select(F.col("label").alias("cluster"), F.col("label").alias("node")).distinct())
+    members = written(members.join(groups, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("group")), "near-members")
+    sizes = members.groupBy("cluster", "group").agg(F.count("*").alias("n"))
+    clusters = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("core"), F.max("n").alias("n_core"), F.sum("n").alias("n")).where("n > n_core AND n > 2")
+    rows = members.join(written(clusters, "near-clusters"), "cluster")
+    rows = rows.withColumns({"others": F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int"), "cores": F.ceil(F.col("n_core") / BLOCK).cast("int")})
+    inside = F.col("group") == F.col("core")
+    own = F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    to = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1)
+    rows = rows.withColumn("own", own).withColumn("to", F.explode(to))
+    rows = rows.select("cluster", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "own", "node", "group").join(texts, "node")
+    # What a sketch shows of a similar pair is below this once in millions of pairs.
     share = percent / 100
-    least = math.floor(BINS * share - 6.5 * math.sqrt(BINS * share * (1 - share)))
+    least = math.floor(BINS * share - 5 * math.sqrt(BINS * share * (1 - share)))
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        own, node, label, n = (table[c].to_numpy() for c in ("own", "node", "label", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        own, node, group = (table[c].to_numpy() for c in ("own", "node", "group"))
+        sets, sketch = [], []
+        every = byte_texts(table["text"])
+        for part in batched(every):
+            shingles, starts = shingle_sets(every[part], words)
+            sets += [shingles[i:j] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            sketch.append((mixed(sketches(shingles, starts)) & np.uint64(0xFF)).astype(np.uint8))
+        sketch = np.concatenate(sketch)
         first, second = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        left, right = [], []
+        found = []
         for i in first.tolist():
-            to = second[(label[second] != label[i]) & (100 * np.minimum(n[second], n[i]) >= percent * np.maximum(n[second], n[i]))]
-            if x == y:
-                to = to[node[to] > node[i]]
-            to = to[(sketch[to] == sketch[i]).sum(1) >= least]
-            left.append(np.minimum(node[to], node[i]))
-            right.append(np.maximum(node[to], node[i]))
-        return pa.table({"a": pa.array(np.concatenate(left) if left else [], pa.int64()), "b": pa.array(np.concatenate(right) if right else [], pa.int64())})
+            to = second[group[second] != group[i]]
+            to = to[to > i] if x == y else to
+            same = (sketch[to] == sketch[i]).sum(1)
+            near = np.flatnonzero(same >= least)
+            found.append(np.stack([same[near], np.full(near.size, i), to[near]]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((3, 0), int)
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while (up := parent.get(g, g)) != g:
+                g = up
+            return g
+
+        left, right = [], []
+        for k in np.argsort(-pairs[0], kind="stable").tolist():
+            i, j = int(pairs[1, k]), int(pairs[2, k])
+            g, h = root(int(group[i])), root(int(group[j]))
+            if g != h and similar(sets[i], sets[j], percent):
+                parent[max(g, h)] = min(g, h)
+                left.append(node[i])
+                right.append(node[j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return rows.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return written(rows.groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long"), "near-crossing")
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -282,17 +310,21 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     full = signed.where("n_shingles > 0 AND key IS NOT NULL")
     sets = full.groupBy("digest").agg(F.min("key").alias("node"))
     same = written(full.select("key", "digest").join(sets, "digest").select("key", "node"), "near-sets")
-    # A node's sketch stands in its own row; rows of one key with several sets bring all of them.
+    # Rows of one key with several sets bring the bands of all of them.
     nodes = full.join(same.where("key = node").select("node").distinct(), F.col("key") == F.col("node"), "left_semi")
-    nodes = nodes.select(F.col("key").alias("node"), "n_shingles", "bands", "sketch")
+    nodes = nodes.select(F.col("key").alias("node"), "bands").distinct()
     values = nodes.select("node", F.explode("bands").alias("band"))
     hubs = values.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n_nodes")).where("n_nodes > 1")
-    bands = written(values.join(written(hubs, "near-hubs"), "band"), "near-bands")
-    links = verified(docs, bands.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), key, text, words, percent)
+    near = values.join(written(hubs, "near-hubs"), "band").where("node <> hub")
+    pairs = written(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes")
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
+    texts = written(texts, "near-texts")
+    links = verified(texts, pairs, words, percent)
     alike = same.where("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
     # Keys of one set are joined from the start: a key may stand for several sets.
     groups = components(links.unionByName(alike))
-    more = verified(docs, crossing_pairs(bands, nodes.select("node", "n_shingles", "sketch"), groups, percent), key, text, words, percent)
+    more = crossing_links(texts, components(pairs), groups, words, percent)
     if more.limit(1).count():
         old = groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
         groups = components(old.unionByName(more))
