@@ -59,13 +59,14 @@ def total(values: Column) -> Column:
 def trimmed_mean(values: Column, percent: int = 10) -> Column:
     """Rounded mean without the lowest and highest ``percent`` of a sorted array.
 
-    Up to four values are averaged as they are; of more, one at least goes at each end.
+    Up to four values are averaged as they are; of more, one at least goes at each
+    end.  Null for no values.
     """
     n = F.size(values)
     cut = F.greatest(F.lit(1), F.floor(n * F.lit(percent / 100.0)).cast("int"))
     middle = F.slice(values, cut + 1, F.greatest(n - 2 * cut, F.lit(0)))
     used = F.when(n <= 4, values).otherwise(F.when(F.size(middle) == 0, values).otherwise(middle))
-    return half_up(total(used) / F.size(used))
+    return half_up(total(used) / F.nullif(F.size(used), F.lit(0)))
 
 
 def without_outliers(values: Column, low: int = 50_000, high: int = 150_000_000) -> Column:
@@ -84,7 +85,7 @@ def spread(values: Column) -> Column:
     n = F.size(values).cast("double")
     sums = F.aggregate(values, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     s, q = sums["s"].cast("double"), sums["q"].cast("double")
-    return F.sqrt(F.greatest(F.lit(0.0), (n * q - s * s) / (n * n))) / (s / n)
+    return F.sqrt(F.greatest(F.lit(0.0), (n * q - s * s) / F.nullif(n * n, F.lit(0.0)))) / F.nullif(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
 
 
 def slope(y: str, x: str) -> Column:

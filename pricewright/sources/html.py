@@ -106,7 +106,7 @@ def _parse(body: str, positional: bool) -> Iterator[dict]:
 
 def _parsed(rows: DataFrame, body: str, keep: Sequence[str], positional: bool) -> DataFrame:
     facts = rows.select(*keep, body)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema if f.name != body) + ", " + PARSED
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema if f.name != body), PARSED])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
