@@ -12,7 +12,8 @@ as UTF-8 bytes; no string crosses from one document to another.
 3. The runs of windows with one and the same such anchor are cut out as pieces
    and dealt out by anchor; pieces that could share a window meet.  A piece that
    comes again unchanged counts once, with its smallest key.
-4. Within a bucket the pieces are split into shards.  Each shard gets its own
+4. A piece that is alone with its anchor can share no window.  The others are
+   split into shards, some anchors at a time.  Each shard gets its own
    sorted suffixes and Burrows-Wheeler transform.  The transforms are merged by
    refining their interleave: a round takes every row back by one symbol (five
    bytes) with a stable counting sort, which orders the interleave by one symbol
@@ -48,8 +49,8 @@ GRAM = 16
 #: Bytes of a symbol of the transforms; ``length`` is a multiple of it.
 SYMBOL = 5
 CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 8 << 20
-#: Suffixes of a shard, about.
-SHARD_ROWS = 1 << 20
+#: Suffixes of a shard, and bytes of pieces whose shards are merged with each other, about.
+SHARD_ROWS, MERGE_BYTES = 1 << 18, 1 << 19
 #: Chunks with the same anchor above which its pieces are dealt out by windows.
 HEAVY = 20_000
 NO_KEY = np.iinfo(np.int64).max
@@ -302,21 +303,26 @@ def merged(shards: list[np.ndarray], strings: Strings, rounds: int) -> tuple[np.
     before = strings.before[rows]
     shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.size for s in shards])
     ends = shard[strings.symbol[rows] == 0]
-    interleave, interval = shard, np.zeros(rows.size, np.int64)
-    at = np.empty(rows.size, np.int64)
+    interleave, interval = shard, np.zeros(rows.size, np.int32)
+    begins = np.r_[0, np.cumsum([s.size for s in shards])]
+
+    def row_of_each() -> np.ndarray:
+        at = np.empty(rows.size, np.int32)
+        for k in range(len(shards)):
+            at[np.flatnonzero(interleave == k)] = np.arange(begins[k], begins[k + 1], dtype=np.int32)
+        return at
+
     for _ in range(rounds):
-        at[np.argsort(interleave, kind="stable")] = np.arange(rows.size)
-        symbol = before[at]
+        symbol = before[row_of_each()]
         going = np.flatnonzero(symbol)
         symbol, source, block = symbol[going], interleave[going], interval[going]
         order = stable_order(symbol)
         symbol, block = symbol[order], block[order]
         new = np.ones(order.size, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        interleave = np.r_[ends, source[order]]
-        interval = np.r_[np.zeros(ends.size, np.int64), np.cumsum(new)]
-    at[np.argsort(interleave, kind="stable")] = np.arange(rows.size)
-    return rows[at], interval
+        interleave = np.concatenate([ends, source[order]])
+        interval = np.concatenate([np.zeros(ends.size, np.int32), np.cumsum(new, dtype=np.int32)])
+    return rows[row_of_each()], interval
 
 
 def smallest_keys(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:
@@ -341,6 +347,35 @@ def smallest_keys(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows
     return [found[a : a + max(0, n - length + 1)] for a, n in zip(strings.starts[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
+def least_by_window(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each distinct piece, and in a row the smallest key of each window.
+
+    Only pieces with one and the same anchor can have a window in common, so a
+    piece that is alone with its anchor needs no merge, and the others are merged
+    some anchors at a time.
+    """
+    windows = np.fromiter(map(len, bodies), np.int64, len(bodies)) - length + 1
+    every = np.repeat(keys, windows)
+    anchor = np.zeros(len(bodies), np.uint64)
+    for doc, start, _, value in runs(bodies, length):
+        anchor[doc[start == 0]] = value[start == 0]
+    of, count = np.unique(anchor, return_inverse=True, return_counts=True)[1:]
+    shared = np.flatnonzero(count[of] > 1)
+    shared = shared[np.argsort(of[shared], kind="stable")]
+    last = np.r_[of[shared][1:] != of[shared][:-1], True] if shared.size else np.zeros(0, bool)
+    begin = np.r_[0, np.cumsum(windows)]
+    low = size = 0
+    for k, i in enumerate(shared.tolist()):
+        size += len(bodies[i])
+        if last[k] and (size >= MERGE_BYTES or k + 1 == shared.size):
+            part = shared[low : k + 1]
+            found = np.concatenate(smallest_keys([bodies[j] for j in part.tolist()], keys[part], length, shard_rows))
+            n = windows[part]
+            every[np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())] = found
+            low, size = k + 1, 0
+    return windows, every
+
+
 def repeats(parts: DataFrame, length: int, shard_rows: int) -> DataFrame:
     """(chunk, block): per document the runs of windows that start in a smaller key."""
 
@@ -357,11 +392,8 @@ def repeats(parts: DataFrame, length: int, shard_rows: int) -> DataFrame:
                 if k < least[i]:
                     least[i] = k
             blocks.append((chunk, rows["doc"].to_numpy(), rows["start"].to_numpy(), keys, of))
-        least_keys = np.array(least, np.int64)
-        found = smallest_keys(list(known), least_keys, length, shard_rows)
-        windows = np.fromiter(map(len, found), np.int64, len(found))
+        windows, every = least_by_window(list(known), np.array(least, np.int64), length, shard_rows)
         begin = np.r_[0, np.cumsum(windows)]
-        every = np.concatenate(found)
         out = []
         for chunk, doc, start, keys, of in blocks:
             n = windows[of]
