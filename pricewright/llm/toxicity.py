@@ -95,21 +95,27 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fitted(rows: list[tuple[int, dict[int, int], int]], places: list[int], rank: int = 8, epochs: int = 30, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Weights by adaptive gradient steps on the logistic loss; same rows, same weights."""
+def constant(n: int, toxic: int, rank: int = 8) -> Machine:
+    """The smoothed share of toxic labels for every text."""
+    share = (toxic + 0.5) / (n + 2)
+    return Machine({}, math.log(share / (1 - share)), np.zeros(0), np.zeros((0, rank)))
+
+
+def fitted(y: np.ndarray, sizes: np.ndarray, found: np.ndarray, counts: np.ndarray, words: np.ndarray, places: list[int], rank: int = 8, epochs: int = 30, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Weights by adaptive gradient steps on the logistic loss; same rows, same weights.
+
+    Row k has label ``y[k]``, ``words[k]`` words and ``sizes[k]`` entries of
+    ``found`` (places) and ``counts``.
+    """
     index = {p: k for k, p in enumerate(places)}
-    y = np.array([t for t, _, _ in rows], float)
-    if not y.size or y.min() == y.max():
-        share = (float(y.sum()) + 0.5) / (y.size + 2)
-        return Machine({}, math.log(share / (1 - share)), np.zeros(0), np.zeros((0, rank)))
+    y = y.astype(float)
     rng = np.random.default_rng(seed)
     m = len(places)
     w, v, b = np.zeros(m), rng.normal(0, 0.01, (m, rank)), math.log(y.mean() / (1 - y.mean()))
     gw, gv, gb = np.full(m, 1e-2), np.full((m, rank), 1e-2), 1e-1
-    sizes = np.array([len(f) for _, f, _ in rows])
     starts = np.r_[0, np.cumsum(sizes)]
-    at = np.array([index[p] for _, f, _ in rows for p in f], np.int64)
-    x = np.array([value(n, words) for _, f, words in rows for n in f.values()])
+    at = np.searchsorted(np.array(places, np.int64), found)
+    x = 10 * np.log1p(counts) / np.sqrt(np.maximum(np.repeat(words, sizes), 1))
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(y.size), max(1, y.size // 128)):
             n = sizes[batch]
@@ -161,16 +167,28 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = written(sample.mapInArrow(count, "y int, key long, places array<int>, counts array<int>, words long"), "toxicity-terms")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or toxic in (0, n):
-        return fitted([(int(toxic > 0), {}, 0)] * n, [])
+        return constant(n, toxic)
     share = toxic / n
     seen = rows.select("y", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("docs"), F.sum("y").alias("toxic"))
     expected = F.col("docs") * share
     z = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) * (1 - F.col("docs") / (n + 1)))
     places = sorted(r["place"] for r in seen.where((F.col("docs") >= min_docs) & (F.abs(z) >= min_z)).select("place").collect())
-    wanted = F.array(*map(F.lit, places)) if places else F.array().cast("array<int>")
-    kept = F.filter(F.arrays_zip("places", "counts"), lambda x: F.array_contains(wanted, x["places"]))
-    values = rows.select("key", "y", kept.alias("kept"), "words").orderBy("key", "words").collect()
-    return fitted([(r["y"], {x["places"]: x["counts"] for x in r["kept"]}, r["words"]) for r in values], places)
+    known = np.zeros(PLACES, bool)
+    known[places] = True
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, counts = batch.column(2), batch.column(3)
+            stay = known[lists.flatten().to_numpy()]
+            ends = np.r_[0, np.cumsum(stay)][np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]]
+            own = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.flatten().filter(pa.array(stay))) for x in (lists, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(4)], names=batch.schema.names)
+
+    sample = rows.mapInArrow(keep, rows.schema).orderBy("key", "words").toArrow().combine_chunks()
+    return fitted(
+        sample["y"].to_numpy(), sample["places"].combine_chunks().value_lengths().to_numpy(), sample["places"].combine_chunks().flatten().to_numpy(),
+        sample["counts"].combine_chunks().flatten().to_numpy(), sample["words"].to_numpy(), places,
+    )
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
