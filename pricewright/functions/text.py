@@ -26,8 +26,11 @@ def trimmed(text: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """A name without page suffix and junk, separators as single spaces; '' for null."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*-\s*[0-9]+$", "")
+    stripped = out
     for fragment in JUNK:
-        out = F.regexp_replace(out, "(?i)" + fragment, "")
+        stripped = F.regexp_replace(stripped, "(?i)" + fragment, "")
+    # One search tells whether any fragment has to go at all.
+    out = F.when(out.rlike("(?i)" + "|".join(JUNK)), stripped).otherwise(out)
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[-_]", " "), r"\s+", " "))
 
 

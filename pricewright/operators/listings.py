@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from pricewright.config import DEFAULT, PricingConfig
 from pricewright.functions.numbers import digits
 from pricewright.functions.text import damaged
-from pricewright.operators.normalize import canonical
+from pricewright.operators.normalize import with_canonical
 
 # Reasons of quarantine.
 BAD_PRICE, BAD_YEAR = "GEÇERSİZ_FİYAT", "GEÇERSİZ_YIL"
@@ -51,8 +51,9 @@ def judged(raw: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
     c = F.col
     rows = raw.select(
         "source", "listing_id", "title", digits(c("year")).cast("int").alias("year"), digits(c("mileage")).alias("mileage"), digits(c("price")).alias("price"),
-        canonical(c("make"), c("model"), c("variant"), c("title")).alias("name"), c("make").alias("raw_make"), c("model").alias("raw_model"),
+        c("make").alias("raw_make"), c("model").alias("raw_model"), "variant",
     )
+    rows = with_canonical(rows, "raw_make", "raw_model", "variant", "title")
     reason = F.when(~sane_price(c("price"), config), BAD_PRICE).when(~sane_year(c("year"), config), BAD_YEAR).otherwise(c("name.reason"))
     return rows.select(
         "source", "listing_id", "name.make", "name.model", "name.variant", "title", "year",

@@ -1,15 +1,15 @@
 """Canonical make, model and variant of scraped listings, with quarantine reasons.
 
-Everything is a column expression over ordered rule tables, so that a table of
-any size is normalised in one scan without Python.
+Ordered rule tables become projections over the rows, so that a table of any
+size is normalised in one scan without Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.functions.rules import first_match, first_rule
+from pricewright.functions.rules import first_match, first_rule, hit
 from pricewright.functions.text import cleaned, folded_upper, numeric_only
 
 # Canonical makes, the first whose needle the folded make contains.
@@ -61,48 +61,39 @@ EMPTY_VARIANTS = ("Standart", "FarkliVaryant", "Genel Model")
 BAD_MAKE, BAD_MODEL = "GEÇERSİZ_MARKA_TESPİTİ", "GEÇERSİZ_MODEL_TESPİTİ"
 
 
-def canonical(make: Column, model: Column, variant: Column | None = None, title: Column | None = None) -> Column:
-    """(make, model, variant, is_valid, reason): raw names stay where they are not valid.
+def with_canonical(rows: DataFrame, make: str, model: str, variant: str | None = None, title: str | None = None, into: str = "name") -> DataFrame:
+    """``rows`` with a struct (make, model, variant, is_valid, reason): raw names where they are not valid.
 
-    Nulls are empty names; an empty make or model is quarantined.
+    Nulls are empty names; an empty make or model is quarantined.  The steps are
+    projections of their own, so that each name is cleaned and matched once a row.
     """
-    empty = F.lit("")
-    raw = {"make": cleaned(make), "model": cleaned(model), "variant": cleaned(variant if variant is not None else empty), "title": cleaned(title if title is not None else empty)}
-    names = F.struct(*(x.alias(k) for k, x in raw.items()), *(folded_upper(x).alias(f"upper_{k}") for k, x in raw.items()))
-    # A one-element array binds the names once, so that every rule reads the same value.
-    return F.transform(F.array(names), lambda n: _canonical(n, F.coalesce(make, empty), F.coalesce(model, empty)))[0]
-
-
-def _canonical(n: Column, raw_make: Column, raw_model: Column) -> Column:
-    make = first_match([n["upper_make"]], MAKES, n["make"])
+    c, p = F.col, "_canonical_"
+    kept = [c(f"`{x}`") for x in rows.columns]
+    raw = {"make": make, "model": model, "variant": variant, "title": title}
+    names = rows.select(*kept, *(cleaned(c(f"`{x}`") if x else F.lit("")).alias(p + k) for k, x in raw.items()))
+    names = names.select("*", *(folded_upper(c(p + k)).alias(f"{p}upper_{k}") for k in raw))
+    makes = names.select("*", first_match([c(p + "upper_make")], MAKES, c(p + "make")).alias(p + "family"))
+    family, clean_model, clean_variant = c(p + "family"), c(p + "model"), c(p + "variant")
     fields = {
-        "model": n["upper_model"], "title": n["upper_title"], "variant": n["upper_variant"], "raw_model": n["model"], "raw_title": n["title"],
-        "all": F.concat_ws(" ", n["upper_model"], n["upper_title"], n["upper_variant"]),
+        "model": c(p + "upper_model"), "title": c(p + "upper_title"), "variant": c(p + "upper_variant"), "raw_model": clean_model, "raw_title": c(p + "title"),
+        "all": F.concat_ws(" ", p + "upper_model", p + "upper_title", p + "upper_variant"),
     }
-    known = F.lit(None).cast("string")
+    known = None
     for name, rules in MODELS.items():
-        known = F.when(make == name, first_rule(rules, fields)).otherwise(known)
-    model = F.when(make.isin(*CLOSED), known).otherwise(F.coalesce(known, n["model"]))
-    return F.transform(F.array(F.struct(make.alias("make"), model.alias("model"))), lambda m: _judged(m, n, raw_make, raw_model))[0]
-
-
-def _judged(m: Column, n: Column, raw_make: Column, raw_model: Column) -> Column:
-    upper_model, upper_make = F.upper(m["model"]), F.upper(m["make"])
-    debris = F.lit(False)
-    for word in MODEL_DEBRIS:
-        debris = debris | upper_model.contains(word)
+        known = F.when(family == name, first_rule(rules, fields)) if known is None else known.when(family == name, first_rule(rules, fields))
+    models = makes.select("*", known.alias(p + "known"))
+    models = models.select("*", F.when(family.isin(*CLOSED), c(p + "known")).otherwise(F.coalesce(c(p + "known"), clean_model)).alias(p + "found"))
+    found, upper_model, upper_make = c(p + "found"), F.upper(p + "found"), F.upper(p + "family")
     same = (upper_model == upper_make) | (upper_model == F.regexp_replace(upper_make, r"\s+", "")) | (F.regexp_replace(upper_model, r"\s+", "") == upper_make)
-    bad_model = m["model"].isNull() | (F.length(m["model"]) < 2) | (m["model"] == "Genel Model") | same | debris
-    bad_make = F.length(m["make"]) < 2
-    low = F.lower(n["variant"])
-    no_variant = (n["variant"] == "") | n["variant"].isin(*EMPTY_VARIANTS) | numeric_only(n["variant"])
-    for word in VARIANT_DEBRIS:
-        no_variant = no_variant | low.contains(word)
-    reason = F.when(bad_make, BAD_MAKE).when(bad_model, BAD_MODEL)
-    return F.struct(
-        F.when(bad_make, raw_make).otherwise(m["make"]).alias("make"),
-        F.when(reason.isNotNull(), raw_model).otherwise(m["model"]).alias("model"),
-        F.when(reason.isNull() & ~no_variant, n["variant"]).alias("variant"),
+    bad_model = found.isNull() | (F.length(found) < 2) | (found == "Genel Model") | same | hit([upper_model], MODEL_DEBRIS)
+    judged = models.select("*", F.when(F.length(family) < 2, BAD_MAKE).when(bad_model, BAD_MODEL).alias(p + "reason"))
+    reason = c(p + "reason")
+    no_variant = (clean_variant == "") | clean_variant.isin(*EMPTY_VARIANTS) | numeric_only(clean_variant) | hit([F.lower(clean_variant)], VARIANT_DEBRIS)
+    name = F.struct(
+        F.when(reason == BAD_MAKE, F.coalesce(c(f"`{make}`"), F.lit(""))).otherwise(family).alias("make"),
+        F.when(reason.isNotNull(), F.coalesce(c(f"`{model}`"), F.lit(""))).otherwise(found).alias("model"),
+        F.when(reason.isNull() & ~no_variant, clean_variant).alias("variant"),
         reason.isNull().alias("is_valid"),
         reason.alias("reason"),
     )
+    return judged.select(*kept, name.alias(into))

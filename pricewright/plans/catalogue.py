@@ -15,7 +15,7 @@ from pricewright.operators.normalize import MAKES as N_MAKES
 from pricewright.operators.normalize import MODEL_DEBRIS as N_DEBRIS
 from pricewright.operators.normalize import MODELS as N_MODELS
 from pricewright.operators.normalize import VARIANT_DEBRIS as N_VARIANT_DEBRIS
-from pricewright.operators.normalize import canonical
+from pricewright.operators.normalize import with_canonical
 from pricewright.plans import views as V
 from pricewright.sources import html
 
@@ -38,8 +38,7 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return raw_names(spark, sf_dir).select("id", canonical(c("make"), c("model"), c("variant"), c("title")).alias("n")).select("id", "n.*")
+    return with_canonical(raw_names(spark, sf_dir), "make", "model", "variant", "title").select("id", "name.*")
 
 
 def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.operators import imports, listings, mutations, serving, snapshots
-from pricewright.operators.normalize import BAD_MAKE, BAD_MODEL, canonical
+from pricewright.operators.normalize import BAD_MAKE, BAD_MODEL, with_canonical
 from pricewright.sources import files, html
 from pricewright.streaming import jobs
 
@@ -30,7 +30,7 @@ from pricewright.streaming import jobs
 )
 def test_canonical(spark, make, model, title, want):
     df = spark.createDataFrame([(make, model, "Standart", title)], "make string, model string, variant string, title string")
-    r = df.select(canonical(*(F.col(c) for c in ("make", "model", "variant", "title"))).alias("n")).first()["n"]
+    r = with_canonical(df, "make", "model", "variant", "title").first()["name"]
     assert (r["make"], r["model"] if r["is_valid"] else None, r["reason"]) == want
     assert r["variant"] is None
 
