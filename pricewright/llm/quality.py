@@ -115,6 +115,7 @@ def default_rules(
     max_repeat_percent: int = 50,
     max_symbols_per_word: float = 0.1,
     max_dup_line_share: float = 0.3,
+    few_dup_lines: int = 2,
     word_length: tuple[float, float] = (2.5, 12.0),
     max_capital_share: float = 0.5,
     max_shouts_per_word: float = 0.3,
@@ -125,7 +126,7 @@ def default_rules(
         Rule("min_words", lambda m: m.n_words < min_words),
         Rule("repeat_words", lambda m: 100 * m.n_repeat_words > max_repeat_percent * m.n_words),
         Rule("symbols", lambda m: m.n_symbols > max_symbols_per_word * m.n_words),
-        Rule("dup_lines", lambda m: m.n_dup_lines > max_dup_line_share * len(m.lines)),
+        Rule("dup_lines", lambda m: m.n_dup_lines > max(few_dup_lines, max_dup_line_share * len(m.lines))),
         Rule("word_length", lambda m: not low * m.n_words <= m.word_chars <= high * m.n_words),
         Rule("capitals", lambda m: 2 * m.n_letters > m.word_chars and m.n_capitals > max_capital_share * m.n_letters),
         Rule("shouts", lambda m: m.n_shouts > max_shouts_per_word * m.n_words),
@@ -219,3 +220,25 @@ def verdicts(docs: DataFrame, rules: Sequence[Rule] | None = None, key: str = "d
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(judge, f"`{key}` {kind}, {VERDICTS}")
+
+
+#: The verdicts of the default rules in DuckDB SQL.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), m AS (
+  SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+    length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters, length(t) - length(replace(t, '!', '')) AS n_shouts FROM d
+), p AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3
+), s AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p
+), c AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM s WHERE n > 1) GROUP BY r
+), b AS (
+  SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN c ON c.r = m.r
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND n_symbols <= 0.1::DOUBLE * n_words AND n_dup_lines <= greatest(2, 0.3::DOUBLE * n_lines) AND word_chars BETWEEN 2.5::DOUBLE * n_words AND 12::DOUBLE * n_words
+    AND NOT (2 * n_letters > word_chars AND n_capitals > 0.5::DOUBLE * n_letters) AND n_shouts <= 0.3::DOUBLE * n_words AS kept
+FROM b
+"""

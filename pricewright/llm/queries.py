@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_source_mix": mixing.ORACLE, "op7_warc": warc.ORACLE}
