@@ -4,7 +4,7 @@ A byte of a document goes if some ``length``-byte string (50) that covers it
 also starts in a document with a smaller key.  Texts are judged as they came in,
 as UTF-8 bytes; no string crosses from one document to another.
 
-1. Documents are packed into chunks of a few MB and written to the shared folder.
+1. Documents are packed into chunks of about a MB and written to the shared folder.
 2. Every window of ``length`` bytes has an anchor: the smallest hash of the
    16-byte strings in it.  Equal windows have equal anchors, so a window whose
    anchor no second document has is no repeat.  Anchors are dealt out by ranges
@@ -48,7 +48,8 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of a symbol of the transforms; ``length`` is a multiple of it.
 SYMBOL = 5
-CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 8 << 20
+#: A chunk is small enough for its packed text to be no large object to a JVM of small regions.
+CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 8 << 20
 #: Suffixes of a shard, and bytes of pieces whose shards are merged with each other, about.
 SHARD_ROWS, MERGE_BYTES = 1 << 18, 1 << 19
 #: Chunks with the same anchor above which its pieces are dealt out by windows.
@@ -67,6 +68,25 @@ def unpacked(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
 
+#: Columns of a block of pieces, before their bytes; of a block of marks, which has none.
+PIECES, MARKS = ("<i4", "<i8", "<i8", "<i4"), ("<i4", "<i8", "<i8")
+
+
+def squeezed(kinds: tuple[str, ...], columns: tuple[np.ndarray, ...], bodies: bytes = b"") -> bytes:
+    """Small blocks without the headers of Arrow: number of rows, columns, bytes."""
+    raw = b"".join([np.array([columns[0].size], "<i4").tobytes(), *(c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)), bodies])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(kinds: tuple[str, ...], block: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+    for kind in kinds:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    return columns, raw[at:]
+
+
 def chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, n_bytes, block): whole documents packed together."""
 
@@ -225,8 +245,7 @@ def pieces(chunks: DataFrame, again: DataFrame, buckets: int, length: int) -> Da
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 d, s = doc[low:high], start[low:high]
                 body = [texts[i][a:b] for i, a, b in zip(d.tolist(), s.tolist(), end[low:high].tolist(), strict=True)]
-                batch = pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(s, pa.int64()), pa.array(keys[d], pa.int64()), pa.array(body, pa.binary())], names=["doc", "start", "key", "piece"])
-                out.append((int(bucket[low]), chunk, packed(batch)))
+                out.append((int(bucket[low]), chunk, squeezed(PIECES, (d, s, keys[d], end[low:high] - s), b"".join(body))))
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table({"bucket": pa.array(columns[0], pa.int32()), "chunk": pa.array(columns[1], pa.int64()), "block": pa.array(columns[2], pa.binary())})
 
@@ -384,14 +403,14 @@ def repeats(parts: DataFrame, length: int, shard_rows: int) -> DataFrame:
         least: list[int] = []
         blocks = []
         for chunk, block in zip(table["chunk"].to_pylist(), table["block"].to_pylist(), strict=True):
-            rows = unpacked(block)
-            keys = rows["key"].to_numpy()
-            of = np.fromiter((known.setdefault(x, len(known)) for x in rows["piece"].to_pylist()), np.int64, len(rows))
+            (doc, start, keys, sizes), bodies = unsqueezed(PIECES, block)
+            ends = np.cumsum(sizes)
+            of = np.fromiter((known.setdefault(bodies[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, doc.size)
             least += [NO_KEY] * (len(known) - len(least))
             for i, k in zip(of.tolist(), keys.tolist(), strict=True):
                 if k < least[i]:
                     least[i] = k
-            blocks.append((chunk, rows["doc"].to_numpy(), rows["start"].to_numpy(), keys, of))
+            blocks.append((chunk, doc, start, keys, of))
         windows, every = least_by_window(list(known), np.array(least, np.int64), length, shard_rows)
         begin = np.r_[0, np.cumsum(windows)]
         out = []
@@ -406,8 +425,7 @@ def repeats(parts: DataFrame, length: int, shard_rows: int) -> DataFrame:
                 continue
             stop = np.flatnonzero(gone & np.r_[~gone[1:] | (offset[1:] == 0), True])
             piece = np.repeat(np.arange(n.size), n)[at]
-            batch = pa.RecordBatch.from_arrays([pa.array(doc[piece], pa.int32()), pa.array(start[piece] + offset[at], pa.int64()), pa.array(stop - at + 1, pa.int64())], names=["doc", "start", "windows"])
-            out.append((chunk, packed(batch)))
+            out.append((chunk, squeezed(MARKS, (doc[piece], start[piece] + offset[at], stop - at + 1))))
         columns = list(zip(*out, strict=True)) or [()] * 2
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), "block": pa.array(columns[1], pa.binary())})
 
@@ -423,8 +441,8 @@ def cut_out(chunks: DataFrame, found: DataFrame, length: int, with_texts: bool)
     """A row per document; spans and remaining bytes where ``with_texts`` asks for them."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks = [unpacked(x) for x in right["block"].to_pylist()]
-        doc, start, windows = (np.concatenate([m[c].to_numpy() for m in marks]) if marks else np.zeros(0, np.int64) for c in ("doc", "start", "windows"))
+        marks = [unsqueezed(MARKS, x)[0] for x in right["block"].to_pylist()]
+        doc, start, windows = (np.concatenate([m[k] for m in marks]) if marks else np.zeros(0, np.int64) for k in range(3))
         rows = []
         for block in left["block"].to_pylist():
             docs = unpacked(block)
