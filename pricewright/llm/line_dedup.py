@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewright.llm.shared import written
+
 #: Elements whose text is not shown; inline marks that do not end a line; any other tag ends one.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sub|sup|code)(?:\s[^>]*)?>"
@@ -52,7 +54,8 @@ def boilerplate(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 3) ->
 def deduped(pages: DataFrame, lines: Column, site: Column, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """The rows with ``_host``, ``_n_lines`` and ``_kept``, the lines that stay."""
     facts = pages.select(site.alias("host"), lines.alias("lines"))
-    drop = boilerplate(facts, max_ratio, min_pages)
+    # Written, its size is known: small, it is broadcast and the pages are not shuffled; large, a host's pages can be split.
+    drop = written(boilerplate(facts, max_ratio, min_pages), "boilerplate")
     rows = pages.select("*", site.alias("_host"), lines.alias("_lines"))
     rows = rows.join(drop, rows["_host"] == drop["host"], "left")
     kept = F.when(F.col("drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("drop", F.md5(x.cast("binary")))))
