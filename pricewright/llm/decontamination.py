@@ -6,7 +6,9 @@ items that agree under a mask at some place give a hit.  Around each hit the
 document and the item are laid side by side without shifting, and the pair is
 contaminated where ``WINDOW`` neighbouring words (or the whole item, if shorter)
 agree in ``SHARE`` of them or more.  The two masks find every window of 13 words
-with up to two substitutions, wherever these are.
+with up to two substitutions, wherever these are.  Items of 8 to 12 words, which
+may differ in one word (8, 9) or two, are also looked up under two masks of five
+words; the four masks together miss no placement of these substitutions.
 
 Items with fewer words than a mask's span are found as wholes and have to agree
 in every word; items with fewer than ``MIN_WORDS`` cannot be told from chance and
@@ -33,6 +35,8 @@ from pricewright.llm.shared import byte_texts, session_of, written
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
+#: In addition for items of SPAN to WINDOW - 1 words.
+SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 WINDOW, SHARE, MIN_WORDS = 13, 0.8, 5
 #: Words of benchmark items in one broadcast block: about 40 bytes each.
 BLOCK_WORDS = 1_000_000
@@ -83,7 +87,9 @@ def masked(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 def masks_for(n: int) -> tuple[tuple[int, ...], ...]:
     """The masks under which an item of n words is looked up."""
-    return MASKS if n >= SPAN else (tuple(range(n)),)
+    if n < SPAN:
+        return (tuple(range(n)),)
+    return MASKS if n >= WINDOW else MASKS + SHORT_MASKS
 
 
 class Index:
@@ -151,7 +157,7 @@ def _hit_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             for k, t in enumerate(byte_texts(batch.column(1))):
                 words = hashed([t])[0]
-                masks = {*MASKS, *(tuple(range(n)) for n in range(MIN_WORDS, SPAN))}
+                masks = {*MASKS, *SHORT_MASKS, *(tuple(range(n)) for n in range(MIN_WORDS, SPAN))}
                 every = np.unique(np.concatenate([masked(words, m) for m in masks]))
                 key = pa.array(np.repeat(k, every.size), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(key), pa.array(every.view(np.int64), pa.int64())], names=["key", "hash"])

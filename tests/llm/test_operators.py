@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -165,6 +166,22 @@ def test_decontamination(spark, documents):
     assert decontamination.contaminated(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_short_items_with_every_substitution(spark, documents):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(8, 13)]
+    docs = []
+    for n, item in items:
+        for size in (1, 2, 3):
+            for at in itertools.combinations(range(n), size):
+                text = [f"before{k}" for k in range(3)] + ["other" if k in at else w for k, w in enumerate(item.split())] + ["after"]
+                docs.append((len(docs), " ".join(text)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df, want = documents(*docs), contaminated(docs, items)
+    assert len(want) == 8 + 9 + (10 + 45) + (11 + 55) + (12 + 66)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, block_words=20).collect()} == want
+    assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # --- 5: token files -----------------------------------------------------------
 
 
