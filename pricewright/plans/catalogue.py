@@ -242,7 +242,15 @@ def unknown_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.table(spark, sf_dir, "customer").where("c_custkey <= 1000")
+    """Verdicts on the customers with keys up to 1,000; ``permission_check_all`` has every customer."""
+    return _permissions(V.table(spark, sf_dir, "customer").where("c_custkey <= 1000"))
+
+
+def permission_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _permissions(V.table(spark, sf_dir, "customer"))
+
+
+def _permissions(rows: DataFrame) -> DataFrame:
     granted = F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.array(F.col("c_mktsegment"), F.lit("READ")))
     required = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.array(F.lit("BUILDING"), F.lit("READ")))
     return rows.select("c_custkey", serving.permitted(granted, required).alias("permitted"))
@@ -337,7 +345,7 @@ def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     canonical_names, cleaned_names, quarantine_split, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
     models_without_specs, upsert_merge, find_or_create, conditional_update, replace_prices, filtered_delete, cascade_delete, published_version, facets, dashboard_kpis, latest_page, recent_joined, price_list,
-    text_search, term_search, nested_exists, unknown_brands, permission_check, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, price_display, event_windows,
+    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, price_display, event_windows,
     event_sessions, price_rollup,
 )
 
@@ -490,3 +498,6 @@ ORACLES = {
       c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY 1""",
     "price_rollup": f"WITH {V.LISTINGS} SELECT make, model, year, count(*) AS n, sum(price)::BIGINT AS total, grouping(make, model, year)::INT AS level FROM listings GROUP BY ROLLUP (make, model, year)",
 }
+
+# Whole tables: the same SQL without its cut.
+ORACLES["permission_check_all"] = ORACLES["permission_check"].replace(" WHERE c_custkey <= 1000", "")
