@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions import curves, inference
@@ -305,9 +305,33 @@ def html_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.rows_by_class(_pages(spark, sf_dir), "body", ["page"]).select("page", "listing_id", "title", "year", "price", "tag")
 
 
+def html_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.rows_by_pattern(_all_pages(spark, sf_dir), "body").select("page", "year", "price", "tag")
+
+
+def html_prices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.harvested_prices(_all_pages(spark, sf_dir), "body").groupBy("page").agg(F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most"))
+
+
+def html_parsed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.rows_by_class(_all_pages(spark, sf_dir), "body", ["page"]).select("page", "listing_id", "title", "year", "price", "tag")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A results page for every make, one table row a listing of its first customers' orders."""
+    """A results page for every model, of the listings whose price is a multiple of 40; ``_all_pages`` has all."""
     rows = V.unique_listings(spark, sf_dir).where("price % 40 = 0")
+    return _paged(rows, F.concat_ws("/", "make", F.concat("model", F.lit(".html"))))
+
+
+def _all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results pages of all listings, as many a model as give about ``PAGE_ROWS`` listings each."""
+    rows = V.unique_listings(spark, sf_dir)
+    models = rows.groupBy("make", "model").agg(F.ceil(F.count("*") / html.PAGE_ROWS).alias("pages"))
+    number = F.conv(F.substring(F.md5(F.col("listing_id").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("pages")
+    return _paged(rows.join(models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")))
+
+
+def _paged(rows: DataFrame, page: Column) -> DataFrame:
     cell = lambda css, text: F.concat(F.lit(f'<td class="{css}">'), text, F.lit("</td>"))
     row = F.concat(
         F.lit('<tr class="searchResultsItem" data-id="'), F.col("listing_id"), F.lit('">'), cell("searchResultsTagAttributeValue", F.concat(F.lit(" "), F.regexp_replace("variant", " ", "-"), F.lit(" "))),
@@ -315,7 +339,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         cell("searchResultsAttributeValue", F.coalesce(F.col("mileage").cast("string"), F.lit(""))), cell("searchResultsPriceValue", F.concat(F.lit("<span>"), X.thousands(F.col("price")), F.lit(" TL</span>"))), F.lit("</tr>"),
     )
     body = F.concat(F.lit("<html><body><p>1.234 TL</p><table>"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("</table></body></html>"))
-    return rows.groupBy(F.concat_ws("/", "make", F.concat("model", F.lit(".html"))).alias("page")).agg(body.alias("body"))
+    return rows.groupBy(page.alias("page")).agg(body.alias("body"))
 
 
 def price_display(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +369,7 @@ def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     canonical_names, cleaned_names, quarantine_split, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
     models_without_specs, upsert_merge, find_or_create, conditional_update, replace_prices, filtered_delete, cascade_delete, published_version, facets, dashboard_kpis, latest_page, recent_joined, price_list,
-    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, price_display, event_windows,
+    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, html_rows_all, html_prices_all, html_parsed_all, price_display, event_windows,
     event_sessions, price_rollup,
 )
 
@@ -501,3 +525,6 @@ ORACLES = {
 
 # Whole tables: the same SQL without its cut.
 ORACLES["permission_check_all"] = ORACLES["permission_check"].replace(" WHERE c_custkey <= 1000", "")
+_ALL_HTML = f"""WITH {V.LISTINGS}, counted AS (SELECT *, ceil(count(*) OVER (PARTITION BY make, model) / {html.PAGE_ROWS})::BIGINT AS pages FROM unique_listings),
+shown AS (SELECT concat(make, '/', model, '-', ('0x' || substr(md5(listing_id), 1, 8))::BIGINT % pages, '.html') AS page, * FROM counted)"""
+ORACLES |= {f"{k}_all": ORACLES[k].replace(_HTML, _ALL_HTML) for k in ("html_rows", "html_prices", "html_parsed")}

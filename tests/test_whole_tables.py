@@ -14,3 +14,13 @@ def test_every_customer_is_judged(spark):
     got = plans.queries()["permission_check_all"](spark, SF)
     assert got.count() == V.table(spark, SF, "customer").count() > 1001
     assert got.where("c_custkey > 1000").select("permitted").distinct().count() == 2
+
+
+def test_every_listing_is_on_a_page(spark):
+    got = plans.queries()["html_parsed_all"](spark, SF).cache()
+    want = V.unique_listings(spark, SF).select("listing_id", "price")
+    assert got.count() == want.count()
+    assert got.select("listing_id", "price").exceptAll(want).count() == 0
+    assert got.groupBy("page").count().agg(F.max("count")).first()[0] <= 100
+    many = V.unique_listings(spark, SF).groupBy("make", "model").count().where("count > 50").count()
+    assert got.select("page").distinct().count() >= want.join(got, "listing_id").select("title").distinct().count() + many
