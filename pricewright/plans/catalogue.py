@@ -53,11 +53,20 @@ def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid and quarantined scraped listings, by what became of them."""
+    """Valid and quarantined scraped listings, by what became of them; all parts fold into 500 ids."""
+    return _quarantined(spark, sf_dir, F.col("id") % 500, 50)
+
+
+def quarantine_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with an id for every two neighbouring parts and prices within the bounds, so that both halves grow with the table."""
+    return _quarantined(spark, sf_dir, F.floor(F.col("id") / 2), 60)
+
+
+def _quarantined(spark: SparkSession, sf_dir: str, listing_id: Column, factor: int) -> DataFrame:
     c = F.col
     raw = raw_names(spark, sf_dir).select(
-        F.lit("web").alias("source"), (c("id") % 500).cast("string").alias("listing_id"), "make", "model", "variant", "title", F.concat(F.lit("Yıl "), 1990 + c("id") % 40).alias("year"),
-        F.concat((c("id") * 997 % 300_000).cast("string"), F.lit(" km")).alias("mileage"), F.concat(F.format_number(c("p_retailprice") * 50, 0), F.lit(" TL")).alias("price"),
+        F.lit("web").alias("source"), listing_id.cast("string").alias("listing_id"), "make", "model", "variant", "title", F.concat(F.lit("Yıl "), 1990 + c("id") % 40).alias("year"),
+        F.concat((c("id") * 997 % 300_000).cast("string"), F.lit(" km")).alias("mileage"), F.concat(F.format_number(c("p_retailprice") * factor, 0), F.lit(" TL")).alias("price"),
     )
     valid, bad = listings.split(listings.judged(raw))
     return valid.select("listing_id", "make", "model", "year", "price", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("listing_id", F.col("raw_make").alias("make"), F.col("raw_model").alias("model"), "year", "price", "reason"))
@@ -367,7 +376,7 @@ def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    canonical_names, cleaned_names, quarantine_split, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
+    canonical_names, cleaned_names, quarantine_split, quarantine_split_all, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
     models_without_specs, upsert_merge, find_or_create, conditional_update, replace_prices, filtered_delete, cascade_delete, published_version, facets, dashboard_kpis, latest_page, recent_joined, price_list,
     text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, html_rows_all, html_prices_all, html_parsed_all, price_display, event_windows,
     event_sessions, price_rollup,
@@ -528,3 +537,4 @@ ORACLES["permission_check_all"] = ORACLES["permission_check"].replace(" WHERE c_
 _ALL_HTML = f"""WITH {V.LISTINGS}, counted AS (SELECT *, ceil(count(*) OVER (PARTITION BY make, model) / {html.PAGE_ROWS})::BIGINT AS pages FROM unique_listings),
 shown AS (SELECT concat(make, '/', model, '-', ('0x' || substr(md5(listing_id), 1, 8))::BIGINT % pages, '.html') AS page, * FROM counted)"""
 ORACLES |= {f"{k}_all": ORACLES[k].replace(_HTML, _ALL_HTML) for k in ("html_rows", "html_prices", "html_parsed")}
+ORACLES["quarantine_split_all"] = ORACLES["quarantine_split"].replace("(id % 500)", "(id // 2)").replace("p_retailprice * 50)", "p_retailprice * 60)")

@@ -24,3 +24,9 @@ def test_every_listing_is_on_a_page(spark):
     assert got.groupBy("page").count().agg(F.max("count")).first()[0] <= 100
     many = V.unique_listings(spark, SF).groupBy("make", "model").count().where("count > 50").count()
     assert got.select("page").distinct().count() >= want.join(got, "listing_id").select("title").distinct().count() + many
+
+
+def test_valid_and_quarantined_listings_grow_with_the_table(spark):
+    of = plans.queries()["quarantine_split_all"]
+    valid, bad = ([of(spark, f"/root/testdata/{sf}").where(f"reason IS {null}").count() for sf in ("sf0.001", "sf0.01")] for null in ("NULL", "NOT NULL"))
+    assert valid[1] > 5 * valid[0] > 0 and bad[1] > 5 * bad[0] > 0
