@@ -266,14 +266,24 @@ def _permissions(rows: DataFrame) -> DataFrame:
 
 
 def damage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the distinct conditions of order lines; ``damage_points_all`` has every line."""
+    return _points(spark, sf_dir)
+
+
+def damage_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, "l_orderkey", "l_linenumber")
+
+
+def _points(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Penalty points and lists of parts by state, of parts and flags made from order lines."""
     n = F.col("l_quantity").cast("int")
     state = lambda k: F.element_at(F.array(*map(F.lit, ("DEGISEN", "BOYALI", "LOKAL", "ORIJINAL"))), (n + k) % 4 + 1)
     parts = F.create_map(F.lit("Motor Kaputu"), state(0), F.lit("Tavan"), state(1), F.lit("Sol Kapı"), state(2), F.lit("Sağ Kapı"), state(n % 3))
     flags = {"heavy_damage": F.col("l_returnflag") == "R", "chassis_action": F.col("l_tax") > 0.07, "scratch_dent": F.col("l_linestatus") == "O"}
-    rows = V.table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_tax").distinct()
+    rows = V.table(spark, sf_dir, "lineitem")
+    rows = rows.select("l_quantity", "l_returnflag", "l_linestatus", "l_tax").distinct() if not keys else rows
     return rows.select(
-        "l_quantity", "l_returnflag", "l_linestatus", "l_tax", serving.damage_points(parts, flags).alias("points"), F.array_join(serving.parts_in(parts, "DEGISEN"), ",").alias("replaced"),
+        *keys, "l_quantity", "l_returnflag", "l_linestatus", "l_tax", serving.damage_points(parts, flags).alias("points"), F.array_join(serving.parts_in(parts, "DEGISEN"), ",").alias("replaced"),
         F.array_join(serving.parts_in(parts, "BOYALI"), ",").alias("painted"),
     )
 
@@ -378,7 +388,7 @@ def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     canonical_names, cleaned_names, quarantine_split, quarantine_split_all, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
     models_without_specs, upsert_merge, find_or_create, conditional_update, replace_prices, filtered_delete, cascade_delete, published_version, facets, dashboard_kpis, latest_page, recent_joined, price_list,
-    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, html_rows_all, html_prices_all, html_parsed_all, price_display, event_windows,
+    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, damage_points_all, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, html_rows_all, html_prices_all, html_parsed_all, price_display, event_windows,
     event_sessions, price_rollup,
 )
 
@@ -538,3 +548,4 @@ _ALL_HTML = f"""WITH {V.LISTINGS}, counted AS (SELECT *, ceil(count(*) OVER (PAR
 shown AS (SELECT concat(make, '/', model, '-', ('0x' || substr(md5(listing_id), 1, 8))::BIGINT % pages, '.html') AS page, * FROM counted)"""
 ORACLES |= {f"{k}_all": ORACLES[k].replace(_HTML, _ALL_HTML) for k in ("html_rows", "html_prices", "html_parsed")}
 ORACLES["quarantine_split_all"] = ORACLES["quarantine_split"].replace("(id % 500)", "(id // 2)").replace("p_retailprice * 50)", "p_retailprice * 60)")
+ORACLES["damage_points_all"] = ORACLES["damage_points"].replace("SELECT DISTINCT l_quantity", "SELECT l_orderkey, l_linenumber, l_quantity").replace("SELECT l_quantity, l_returnflag", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag", 1)

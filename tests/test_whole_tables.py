@@ -30,3 +30,9 @@ def test_valid_and_quarantined_listings_grow_with_the_table(spark):
     of = plans.queries()["quarantine_split_all"]
     valid, bad = ([of(spark, f"/root/testdata/{sf}").where(f"reason IS {null}").count() for sf in ("sf0.001", "sf0.01")] for null in ("NULL", "NOT NULL"))
     assert valid[1] > 5 * valid[0] > 0 and bad[1] > 5 * bad[0] > 0
+
+
+def test_every_order_line_has_its_points(spark):
+    got = plans.queries()["damage_points_all"](spark, SF).select("l_orderkey", "l_linenumber")
+    assert got.exceptAll(V.table(spark, SF, "lineitem").select("l_orderkey", "l_linenumber")).count() == 0
+    assert got.count() == V.table(spark, SF, "lineitem").count()
