@@ -9,8 +9,9 @@ Sketches have ``BINS`` coordinates.  In round i every shingle is hashed to a bin
 and a value, and the bin keeps the smallest ``i + value``; once no bin is empty,
 later rounds cannot change anything.  Rounds past ``BINS`` throw every shingle
 into the one bin ``i - BINS``, so each coordinate is filled by round 2 * BINS at
-the latest.  Documents that agree in all coordinates of a band are candidates:
-at 85 % the bands miss a pair once in a million.
+the latest.  Documents that agree in all coordinates of a band are candidates;
+``banding`` makes the bands so that a pair at the threshold is missed once in a
+million at most.
 
 1. Documents with the same set are one node, that of the smallest key.
 2. In every band value the smallest node is the hub, and each other node is
@@ -41,9 +42,10 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.shared import byte_texts, session_of, written
 
-BANDS, ROWS = 24, 5
-BINS = BANDS * ROWS
+BINS = 120
 WORDS, PERCENT = 3, 85
+#: How often the bands may miss a pair whose similarity is just the threshold.
+MISSES = 1e-6
 #: Nodes of a block, when a cluster's nodes are compared two blocks at a time.
 BLOCK = 256
 #: Checks with one node that are streamed in one go; more are split.
@@ -125,7 +127,13 @@ def sketches(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return best.reshape(n, bins)
 
 
-def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def banding(percent: int) -> int:
+    """The fewest bands that miss a pair at ``percent`` in ``MISSES`` or less: 24 at 85 %, 30 at 80 %."""
+    every = [b for b in range(1, BINS + 1) if BINS % b == 0]
+    return next((b for b in every if (1 - (percent / 100) ** (BINS // b)) ** b <= MISSES), BINS)
+
+
+def band_hashes(sketch: np.ndarray, bands: int) -> np.ndarray:
     """One hash a band of each sketch; the band's number is part of it."""
     n, bins = sketch.shape
     rows = sketch.reshape(n, bands, bins // bands)
@@ -148,8 +156,9 @@ def batched(texts: list[bytes]) -> Iterator[slice]:
 SIGNATURES = "key long, n_shingles long, digest binary, bands array<long>"
 
 
-def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, digest of the set, bands) of every row."""
+    n_bands = banding(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -160,7 +169,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 shingles, starts = shingle_sets(texts[part], words)
                 found = sketches(shingles, starts)
                 n = np.diff(starts)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(found).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(found, n_bands).view(np.int64).ravel()), n_bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, part.stop - part.start).cast(pa.int64()), pa.array(n, pa.int64()),
@@ -306,7 +315,7 @@ def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, w
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row."""
     session_of(docs)
-    signed = written(signatures(docs, key, text, words), "near-signatures")
+    signed = written(signatures(docs, key, text, words, percent), "near-signatures")
     full = signed.where("n_shingles > 0 AND key IS NOT NULL")
     sets = full.groupBy("digest").agg(F.min("key").alias("node"))
     same = written(full.select("key", "digest").join(sets, "digest").select("key", "node"), "near-sets")

@@ -80,6 +80,15 @@ def test_sketches_fill_every_bin_and_estimate_similarity():
         assert abs((a == b).mean() - x.size / y.size) < 0.15
 
 
+def test_bands_miss_a_pair_at_the_threshold_once_in_a_million(documents):
+    df = documents((1, " ".join(f"w{i}" for i in range(80))))
+    for percent in (70, 75, 80, 85, 90, 95):
+        bands = len(near_dedup.signatures(df, "doc_id", "text", 5, percent).first().bands)
+        assert near_dedup.BINS % bands == 0
+        assert (1 - (percent / 100) ** (near_dedup.BINS // bands)) ** bands <= 1e-6
+    assert near_dedup.banding(85) == 24 and near_dedup.banding(80) == 30
+
+
 def test_against_all_pairs(documents):
     rows = near_copies(3)
     assert found(documents(*rows)) == brute(rows)
