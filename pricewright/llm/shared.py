@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch handed to Python.  Texts can be long, so batches are short.
@@ -67,3 +70,12 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``most`` bytes together, a text at least each."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if part.size else np.zeros(1, int)
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(low, high - low)

@@ -17,9 +17,10 @@ k mod lanes), which share the frequency table and one sequence of 32-bit words.
 Blocks hold whole documents and know nothing of each other; a file ends with its
 checkpoints, one a block::
 
-    (u64 offset, u64 bytes, u64 ids before it in this file, u32 documents)* | u32 blocks | "RNSX"
+    (u64 offset, u64 bytes, u64 ids before it in this file, u32 documents)* | u64 ids of the file | u32 blocks | "RNSX"
 
-so any block can be found, checked and decoded alone.  The frequency table (one
+so any block can be found, checked and decoded alone.  Readers take nothing from
+the writers but the files' names and order.  The frequency table (one
 count a vocabulary entry, 2**20 in sum) is written beside the files.
 
 Rows with a null or empty text hold the end id alone.  Rows with a null key come
@@ -30,6 +31,8 @@ gives no files and no rows.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 import struct
@@ -39,22 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.llm.shared import byte_texts, remove, session_of, shared_folder, written
+from pricewright.llm.shared import by_bytes, remove, session_of, shared_folder, written
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
 MAGIC, END = b"RNS1", b"RNSX"
-HEAD, POINT = "<4s6I", "<QQQI"
+HEAD, POINT, LAST = "<4s6I", "<QQQI", "<QI4s"
 #: Ids after which a block is closed (at a document's end), and bytes after which a file is.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
 LANES, IDS_A_LANE = 1024, 64
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Parts of words that a worker remembers before it starts anew, and bytes of text encoded in one go.
+REMEMBERED, BYTES_AT_ONCE = 800_000, 4 << 20
 
 
 # --- tokenising -------------------------------------------------------------
@@ -62,16 +66,38 @@ REMEMBERED = 400_000
 
 #: A word whose letters and whose marks after them are separate pre-tokens in
 #: any case: the letters are of Latin-1, which composes and lower-cases plainly.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:%&#*$]*)")
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}"
+PLAIN = rf"^(?P<letters>[{LETTERS}]+)(?P<marks>[-.,!?;:%&#*$]*)$"
+#: The normaliser and the splitter for which a text's ids are those of its words.
+NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+SPLITTER = [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), ("ByteLevel", None)]
+
+
+def steps(part: dict | None) -> list[tuple[str, str | None]]:
+    """Kinds and patterns of a sequence of normalisers or splitters."""
+    every = (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or ([part] if part else [])
+    return [(x["type"], x["pattern"].get("Regex") if "pattern" in x else None) for x in every]
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: the byte's own, if it can be printed."""
+    own = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin[k] .. begin[k] + sizes[k] of all k in a row."""
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 class WordEncoder:
     """Whole texts as the library encodes them, by way of their distinct words.
 
-    The vocabulary's normaliser and splitter never let a token cross a space or
-    a line end, and special strings hold neither, so a text's ids are the ids of
-    its words, and those of a plain word are the ids of its letters and of its
-    marks.  Each distinct part goes through the library once and is remembered.
+    Where the normaliser and the splitter are those named above, no token crosses
+    a space or a line end, so a text's ids are the ids of its words, and those of
+    a plain word are the ids of its letters and of its marks.  Each distinct part
+    goes through the library once and is remembered.  With any other tokenizer
+    whole texts go through the library.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -79,8 +105,23 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        made = json.loads(self.library.to_str())
+        added = [x["content"] for x in made["added_tokens"]]
+        self.by_words = (
+            steps(made["normalizer"]) == NORMALIZER
+            and steps(made["pre_tokenizer"]) == SPLITTER
+            and not made["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+            and made["model"]["type"] == "BPE"
+            and not made["model"]["dropout"]
+            and not any(re.search(r"\s", x) or x.isalpha() for x in added)
+            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
+        )
+        self.letters = byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([""], pa.large_string())
+        self.begin, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.width)
 
     @property
     def vocabulary(self) -> int:
@@ -91,35 +132,64 @@ class WordEncoder:
         """The kind of number that ids take on their way to the files."""
         return "<u2" if self.vocabulary <= 1 << 16 else "<u4"
 
-    def _learn(self, parts: list[str]) -> None:
-        """Put the parts through the library, many in a line, and tell them apart by their offsets."""
-        width = self.width
-        lines = [parts[k : k + 256] for k in range(0, len(parts), 256)]
-        for line, found in zip(lines, self.library.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ends = np.cumsum([len(x) + 1 for x in line])
-            of = np.searchsorted(ends, [a for a, _ in found.offsets], "right")
-            ids = np.array(found.ids, width).tobytes()
-            cuts = (int(width[2]) * np.searchsorted(of, np.arange(len(line) + 1))).tolist()
-            for k, part in enumerate(line):
-                self.parts[part] = ids[cuts[k] : cuts[k + 1]]
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """Ids of each text as numbers of ``width``, the end id after them."""
-        cut = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        known, parts = self.words, self.parts
-        new = {}
-        for w in {w for words in cut for w in words if w not in known}:
-            s = w.decode("utf-8", "replace")
-            plain = PLAIN.fullmatch(s)
-            new[w] = (plain[1].lower(), plain[2]) if plain else (s, "")
-        self._learn(list({x for pair in new.values() for x in pair if x not in parts}))
-        known.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
-        end = np.array([end_id], self.width).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in cut]
+    def places(self, parts: pa.Array, plain: bool) -> np.ndarray:
+        """Where each of some distinct parts is among the known ones; new ones go through the library.
+
+        The letters of a plain word are one pre-token already, so the vocabulary's
+        merges are all that is left to do.
+        """
+        found = pc.index_in(parts, value_set=self.known)
+        unknown = found.is_null()
+        new, found = parts.filter(unknown), found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            found[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            if plain:
+                merges, letters = self.library.model.tokenize, self.letters
+                ids = [[t.id for t in merges(x if x.isascii() else x.encode().decode("latin-1").translate(letters))] for x in new.to_pylist()]
+            else:
+                ids = [x.ids for x in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.begin = np.r_[self.begin, self.flat.size + np.cumsum(sizes) - sizes]
+            self.sizes = np.r_[self.sizes, sizes]
+            self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), self.width, int(sizes.sum()))]
+            self.known = pa.concat_arrays([self.known, new])
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Ids of each text as numbers of ``width``, the end id after them; a null text is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_words:
+            found = [x.ids for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return pa.array([np.array([*ids, end_id], self.width).tobytes() for ids in found], pa.large_binary())
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        split = pc.extract_regex(words.dictionary, PLAIN)
+        letters, marks = (split.field(k).dictionary_encode() for k in (0, 1))
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        # Each distinct word is two parts: letters and marks, or the whole word and nothing.
+        first, second = np.zeros(plain.size, np.int64), np.zeros(plain.size, np.int64)
+        if plain.any():
+            lower = pc.utf8_lower(letters.dictionary).dictionary_encode()
+            own = self.places(lower.dictionary, True)[lower.indices.to_numpy()]
+            at = pc.filter(pa.array(np.arange(plain.size)), pa.array(plain)).to_numpy()
+            first[at] = own[letters.indices.fill_null(0).to_numpy()[at]]
+            second[at] = self.places(marks.dictionary, False)[marks.indices.fill_null(0).to_numpy()[at]]
+        first[~plain] = self.places(words.dictionary.filter(pa.array(~plain)), False)
+        # The ids of the distinct words in a row, the end id last; then those of all words.
+        both = np.stack([first, second], 1).ravel()
+        sizes = self.sizes[both]
+        flat = np.r_[self.flat[ragged(self.begin[both], sizes)], np.array([end_id], self.width)]
+        sizes = np.r_[sizes.reshape(-1, 2).sum(1), 1]
+        begin = np.cumsum(sizes) - sizes
+        count = pc.list_value_length(cut).to_numpy()
+        every = np.insert(words.indices.to_numpy(), np.cumsum(count), plain.size)
+        n = sizes[every]
+        ids = flat[ragged(begin[every], n)]
+        ends = np.cumsum(n)[np.cumsum(count + 1) - 1] * int(self.width[2])
+        offsets = np.r_[0, ends].astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 @functools.lru_cache(maxsize=1)
@@ -135,10 +205,9 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                ids = encoder.encode(byte_texts(part.column(1)), end_id)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            for part in by_bytes(batch, 1, BYTES_AT_ONCE):
+                ids = encoder.encode(part.column(1), end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(pa.binary())], names=["key", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(encode, "key long, ids binary")
 
@@ -242,15 +311,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-MANIFEST = "range int, file_no int, file string, block_no int, offset long, bytes long, first_id long, n_docs int, n_ids long"
+FILES = "range int, file_no int, file string"
 
 
 def write_files(spark: SparkSession, ids: DataFrame, counts: np.ndarray, width: str, folder: str) -> DataFrame:
-    """Write (key, ids) rows in ascending key order; returns the checkpoints.
+    """Write (key, ids) rows in ascending key order; returns the files' names and order.
 
     Each range of keys is sorted and written by one task.  A task that runs
-    again writes files of other names; only those of the task that ended are in
-    the checkpoints.
+    again writes files of other names; only those of the task that ended are
+    returned.
     """
     store, at = filesystem(folder)
     store.create_dir(at, recursive=True)
@@ -268,7 +337,7 @@ def write_files(spark: SparkSession, ids: DataFrame, counts: np.ndarray, width:
         held: list[bytes] = []
         points: list[tuple] = []
         rows: list[tuple] = []
-        size = ids_before = file_no = first = 0
+        size = ids_before = 0
         out = None
 
         def close_block() -> None:
@@ -276,26 +345,23 @@ def write_files(spark: SparkSession, ids: DataFrame, counts: np.ndarray, width:
             if not keys:
                 return
             if out is None:
-                out = store.open_output_stream(f"{at}/range-{part:06d}-{own}-{file_no:04d}.rns")
+                rows.append((part, len(rows), f"range-{part:06d}-{own}-{len(rows):04d}.rns"))
+                out = store.open_output_stream(f"{at}/{rows[-1][2]}")
             block = coder.block(keys, held, width)
-            n = sum(map(len, held)) // int(width[2])
-            points.append((size, len(block), ids_before, len(keys), n))
+            points.append((size, len(block), ids_before, len(keys)))
             out.write(block)
-            size, ids_before = size + len(block), ids_before + n
+            size, ids_before = size + len(block), ids_before + sum(map(len, held)) // int(width[2])
             keys.clear()
             held.clear()
 
         def close_file() -> None:
-            nonlocal size, ids_before, out, file_no, first
+            nonlocal size, ids_before, out
             if out is None:
                 return
-            out.write(b"".join(struct.pack(POINT, *p[:4]) for p in points) + struct.pack("<I", len(points)) + END)
+            out.write(b"".join(struct.pack(POINT, *p) for p in points) + struct.pack(LAST, ids_before, len(points), END))
             out.close()
-            name = f"range-{part:06d}-{own}-{file_no:04d}.rns"
-            rows.extend((part, file_no, name, k, p[0], p[1], first + p[2], p[3], p[4]) for k, p in enumerate(points))
-            first += ids_before
             points.clear()
-            size, ids_before, out, file_no = 0, 0, None, file_no + 1
+            size, ids_before, out = 0, 0, None
 
         waiting = 0
         for batch in batches:
@@ -310,14 +376,13 @@ def write_files(spark: SparkSession, ids: DataFrame, counts: np.ndarray, width:
                         close_file()
         close_block()
         close_file()
-        columns = list(zip(*rows, strict=True)) or [()] * 9
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string()), strict=True)], names=[x.split()[0] for x in FILES.split(", ")])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = ids.repartitionByRange(parts, F.col("key").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("key").asc_nulls_first(), F.length("ids"), "ids")
-    return written(dealt.mapInArrow(write, MANIFEST), "checkpoints")
+    return written(dealt.mapInArrow(write, FILES), "token-file-names")
 
 
 @functools.lru_cache(maxsize=2)
@@ -327,15 +392,63 @@ def load_coder(folder: str) -> Coder:
         return Coder(np.frombuffer(f.read(), "<u4"))
 
 
-def read_files(spark: SparkSession, checkpoints: DataFrame, folder: str) -> DataFrame:
+def file_points(f: pa.NativeFile, size: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """The checkpoints at the end of a file, checked against its size, and the file's number of ids."""
+    end = struct.calcsize(LAST)
+    f.seek(max(0, size - end))
+    ids, blocks, magic = struct.unpack(LAST, f.read(end)) if size >= end else (0, 0, b"")
+    begin = size - end - blocks * struct.calcsize(POINT)
+    if magic != END or begin < 0:
+        raise ValueError("a file has no checkpoints")
+    f.seek(begin)
+    points = list(struct.iter_unpack(POINT, f.read(size - end - begin)))
+    offset = before = 0
+    for at, n, ids_before, _ in points:
+        if at != offset or ids_before < before:
+            raise ValueError("a file's checkpoints do not follow each other")
+        offset, before = at + n, ids_before
+    if offset != begin or before > ids:
+        raise ValueError("a file's checkpoints do not match its size")
+    return points, ids
+
+
+POINTS = "range int, file_no int, file string, offset long, bytes long, first_id long, n_docs int, n_ids long, file_ids long"
+
+
+def checkpoints(files: DataFrame, folder: str) -> DataFrame:
+    """A row per block, from the ends of the files themselves."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = filesystem(folder)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                with store.open_input_file(f"{at}/{row['file']}") as f:
+                    points, ids = file_points(f, f.size())
+                nexts = [p[2] for p in points[1:]] + [ids]
+                rows += [(row["range"], row["file_no"], row["file"], *p, n - p[2], ids) for p, n in zip(points, nexts, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in POINTS.split(", ")])
+
+    return written(files.mapInArrow(look, POINTS), "token-checkpoints")
+
+
+def read_files(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """Decode the blocks in parallel: a row per document, in the files' terms.
 
-    ``start`` counts the ids of all documents before it.  The totals of the
-    ranges are summed over one row a range; documents are never gathered.
+    ``start`` counts the ids of all documents before it: those of the ranges and
+    files before, summed over one row a range and one row a file of a range, and
+    those that the file's checkpoints name.  Documents are never gathered.
     """
-    totals = checkpoints.groupBy("range").agg(F.sum("n_ids").alias("n"))
+    points = checkpoints(files, folder)
+    sizes = points.groupBy("range", "file_no").agg(F.first("file_ids").alias("n"))
+    run = Window.partitionBy("range").orderBy("file_no")
+    in_range = sizes.select("range", "file_no", (F.sum("n").over(run) - F.col("n")).alias("file_start"))
+    totals = sizes.groupBy("range").agg(F.sum("n").alias("n"))
     before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("range_start"))
-    work = checkpoints.join(before, "range").select("file", "offset", "bytes", (F.col("first_id") + F.col("range_start")).alias("first"))
+    work = points.join(in_range, ["range", "file_no"]).join(before, "range")
+    work = work.select("file", "offset", "bytes", "n_docs", "n_ids", (F.col("first_id") + F.col("file_start") + F.col("range_start")).alias("first"))
     work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +459,8 @@ def read_files(spark: SparkSession, checkpoints: DataFrame, folder: str) -> Data
                 with store.open_input_file(f"{at}/{row['file']}") as f:
                     f.seek(row["offset"])
                     block = f.read(row["bytes"])
+                if struct.unpack_from(HEAD, block)[2:4] != (row["n_docs"], row["n_ids"]):
+                    raise ValueError("a block does not match its checkpoint")
                 keys, starts, sizes, sums, first = [], [], [], [], row["first"]
                 for key, ids in coder.documents(block):
                     keys.append(key)
@@ -382,6 +497,6 @@ def write_and_read(docs: DataFrame, tokenizer_file: str, end_id: int, key: str =
     ids = written(encoded(docs, tokenizer_file, end_id, key, text), "token-ids")
     encoder = WordEncoder(tokenizer_file)
     counts = count_ids(ids, encoder.vocabulary, encoder.width)
-    checkpoints = write_files(spark, ids, counts, encoder.width, folder)
+    files = write_files(spark, ids, counts, encoder.width, folder)
     remove(spark, ids)
-    return read_files(spark, checkpoints, folder)
+    return read_files(spark, files, folder)

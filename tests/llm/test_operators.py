@@ -205,6 +205,31 @@ def test_token_files_against_the_library(spark, sf_dir, documents):
     assert token_files.write_and_read(documents().limit(0), file, end_id=1).collect() == []
 
 
+def test_other_tokenizers_encode_whole_texts(documents):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = {1: "Two  words\n and don't", 2: None, 3: "é中"}
+    assert not token_files.WordEncoder(file).by_words
+    for r in token_files.encoded(documents(*texts.items()), file, end_id=7).collect():
+        assert np.frombuffer(r.ids, "<u2").tolist() == [*library.encode(texts[r.key] or "", add_special_tokens=False).ids, 7]
+
+
+def test_checkpoints_come_from_the_files(tmp_path):
+    import struct
+
+    points = [(0, 40, 0, 2), (40, 10, 9, 1)]
+    data = b"x" * 50 + b"".join(struct.pack(token_files.POINT, *p) for p in points) + struct.pack(token_files.LAST, 12, 2, token_files.END)
+    for bad in (data[:-1], data[1:], b"", data[:50]):
+        (tmp_path / "bad").write_bytes(bad)
+        with open(tmp_path / "bad", "rb") as f, pytest.raises(ValueError, match="file"):
+            token_files.file_points(f, len(bad))
+    (tmp_path / "good").write_bytes(data)
+    with open(tmp_path / "good", "rb") as f:
+        assert token_files.file_points(f, len(data)) == (points, 12)
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     ids = rng.zipf(1.3, 70_000) % 5000
