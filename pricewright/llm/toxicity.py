@@ -6,17 +6,22 @@ place's value is ``10 * log1p(count) / sqrt(words)``.  The machine adds to its
 linear weights an inner product for every pair of places, so it learns, say, an
 insult together with the mention of a group.
 
-Learning uses a bounded sample of the labelled training rows (``max_rows``, a
-parameter; all rows below it).  Over that sample Spark counts how many toxic and
-other documents hold each place; only places whose share among toxic documents
-differs by ``min_z`` standard errors stay, and only their values come to the
-driver, which fits the weights.  Whole texts are read in learning and scoring.
+Learning uses a bounded sample of the labelled training rows (``max_rows`` ids
+and ``max_entries`` places of texts, both parameters; all rows below them).  No
+place is judged alone before its pairs are learnt: all that ``min_docs`` sampled
+texts hold go into the machine.  Its steps shrink each linear weight and each
+vector of factors by a constant, so that both end at exactly 0 where neither the
+place nor a pair with it helps; such places leave the machine from the fourth
+epoch on, and the last epochs fit the others almost without shrinking.
 
 Held-out rows (crc32 of the id as text, modulo 5, is 0) are never learnt from.
 Null and empty texts score by the bias alone; rows with a null id count as
 training rows without a label.  Labels that are null are left out; of repeated
-labels of an id the highest counts.  Without any label of either kind every
-score is the smoothed share of toxic labels.
+labels of an id the highest counts, and of repeated rows of an id its longest
+text is learnt from, once.  Without any label of either kind every score is the
+smoothed share of toxic labels.  Every row is scored, repeated ones each; an
+empty table gives no rows.  Texts of any length are read as a whole.  Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from pyspark.sql import functions as F
 from pricewright.llm.shared import byte_texts, session_of, written
 
 PLACES = 1 << 18
-MAX_ROWS = 50_000
-MIN_DOCS, MIN_Z = 5, 5.0
+MAX_ROWS, MAX_ENTRIES = 20_000, 12_000_000
+MIN_DOCS, RANK = 5, 8
 
 
 class TermPlaces(dict):
@@ -95,100 +100,118 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def constant(n: int, toxic: int, rank: int = 8) -> Machine:
+def constant(n: int, toxic: int, rank: int = RANK) -> Machine:
     """The smoothed share of toxic labels for every text."""
     share = (toxic + 0.5) / (n + 2)
     return Machine({}, math.log(share / (1 - share)), np.zeros(0), np.zeros((0, rank)))
 
 
-def fitted(y: np.ndarray, sizes: np.ndarray, found: np.ndarray, counts: np.ndarray, words: np.ndarray, places: list[int], rank: int = 8, epochs: int = 30, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fitted(
+    y: np.ndarray, sizes: np.ndarray, found: np.ndarray, counts: np.ndarray, words: np.ndarray, places: list[int], rank: int = RANK,
+    epochs: int = 25, last_epochs: int = 10, rate: float = 0.2, shrink: float = 0.1, prune_from: int = 3, seed: int = 7,
+) -> Machine:
     """Weights by adaptive gradient steps on the logistic loss; same rows, same weights.
 
     Row k has label ``y[k]``, ``words[k]`` words and ``sizes[k]`` entries of
     ``found`` (places) and ``counts``.
     """
-    index = {p: k for k, p in enumerate(places)}
-    y = y.astype(float)
+    y, m = y.astype(float), len(places)
     rng = np.random.default_rng(seed)
-    m = len(places)
-    w, v, b = np.zeros(m), rng.normal(0, 0.01, (m, rank)), math.log(y.mean() / (1 - y.mean()))
+    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, rank)), math.log(y.mean() / (1 - y.mean()))
     gw, gv, gb = np.full(m, 1e-2), np.full((m, rank), 1e-2), 1e-1
-    starts = np.r_[0, np.cumsum(sizes)]
-    at = np.searchsorted(np.array(places, np.int64), found)
-    x = 10 * np.log1p(counts) / np.sqrt(np.maximum(np.repeat(words, sizes), 1))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(y.size), max(1, y.size // 128)):
+    at = np.searchsorted(np.array(places, np.int64), found).astype(np.int32)
+    x = (10 * np.log1p(counts) / np.sqrt(np.maximum(np.repeat(words, sizes), 1))).astype(np.float32)
+    batches = max(1, y.size // min(256, max(16, y.size // 64)))
+    number = np.zeros(m, np.int64)
+    for epoch in range(epochs + last_epochs):
+        if epoch >= prune_from:
+            stay = ((w != 0) | (v != 0).any(1))[at]
+            sizes = np.bincount(np.repeat(np.arange(y.size), sizes)[stay], minlength=y.size)
+            at, x = at[stay], x[stay]
+        less = shrink if epoch < epochs else 0.02 * shrink
+        starts = np.cumsum(sizes) - sizes
+        for batch in np.array_split(rng.permutation(y.size), batches):
             n = sizes[batch]
+            full = np.flatnonzero(n)
             doc = np.repeat(np.arange(batch.size), n)
-            take = np.repeat(starts[batch] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            i, xi = at[take], x[take]
+            take = np.repeat(starts[batch] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            i, xi = at[take], x[take].astype(float)
             vi = v[i] * xi[:, None]
-            total = np.zeros((batch.size, rank))
-            np.add.at(total, doc, vi)
-            square = np.bincount(doc, (vi * vi).sum(1), batch.size)
-            z = b + np.bincount(doc, w[i] * xi, batch.size) + 0.5 * ((total**2).sum(1) - square)
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-            own = np.unique(i)
-            dw = np.bincount(i, g[doc] * xi, m)[own] + decay * w[own]
-            dv = np.zeros((m, rank))
-            np.add.at(dv, i, (g[doc] * xi)[:, None] * (total[doc] - vi))
-            dv = dv[own] + 10 * decay * v[own]
-            gw[own] += dw**2
-            w[own] -= rate * dw / np.sqrt(gw[own])
-            gv[own] += dv**2
-            v[own] -= 0.3 * rate * dv / np.sqrt(gv[own])
+            total, z = np.zeros((batch.size, rank)), np.full(batch.size, b)
+            if full.size:
+                begin = (np.cumsum(n) - n)[full]
+                total[full] = np.add.reduceat(vi, begin)
+                z[full] += np.add.reduceat(w[i] * xi - 0.5 * (vi * vi).sum(1), begin)
+            g = 1 / (1 + np.exp(-np.clip(z + 0.5 * (total**2).sum(1), -30, 30))) - y[batch]
             gb += g.sum() ** 2
             b -= rate * g.sum() / math.sqrt(gb)
-    return Machine(index, float(b), w, v)
+            if not full.size:
+                continue
+            own = np.flatnonzero(np.bincount(i, minlength=m))
+            number[own] = np.arange(own.size)
+            k, gx = number[i], g[doc] * xi
+            dw = np.bincount(k, gx, own.size)
+            dv = np.bincount((k[:, None] * rank + np.arange(rank)).ravel(), (gx[:, None] * (total[doc] - vi)).ravel(), own.size * rank).reshape(-1, rank)
+            gw[own] += dw**2
+            gv[own] += dv**2
+            step = rate / np.sqrt(gw[own])
+            moved = w[own] - step * dw
+            w[own] = np.sign(moved) * np.maximum(np.abs(moved) - less * step, 0)
+            step = 0.3 * rate / np.sqrt(gv[own])
+            moved = v[own] - step * dv
+            size = np.sqrt((moved**2).sum(1))
+            v[own] = moved * np.maximum(1 - less * step.mean(1) / np.maximum(size, 1e-12), 0)[:, None]
+    live = np.flatnonzero((w != 0) | (v != 0).any(1))
+    return Machine({places[k]: n for n, k in enumerate(live.tolist())}, float(b), w[live], v[live])
 
 
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, min_docs: int = MIN_DOCS) -> Machine:
     """Fit a machine on labelled rows that are not held out."""
     session_of(docs)
-    train = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    train = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     total = train.count()
     if total > max_rows:
-        train = train.where(F.pmod(F.xxhash64(F.lit("train"), key), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+        train = train.where(F.pmod(F.xxhash64(F.lit("train"), "key"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     # At most about max_rows small rows: their size is bounded, so they are broadcast.
-    sample = docs.select(key, text).join(F.broadcast(train), key).select("y", key, text)
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(train), "key").select("y", F.col("key").cast("string"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(t, term_places()) for t in byte_texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.int64()), pa.array([list(f) for f, _ in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64())],
-                names=["y", "key", "places", "counts", "words"],
+                [batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), pa.array([list(f) for f, _ in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32()))],
+                names=["y", "key", "words", "places", "counts"],
             )
 
-    rows = written(sample.mapInArrow(count, "y int, key long, places array<int>, counts array<int>, words long"), "toxicity-terms")
+    counted = sample.mapInArrow(count, "y int, key string, words long, places array<int>, counts array<int>")
+    once = counted.groupBy("key").agg(F.max(F.struct("words", "places", "counts", "y")).alias("row"))
+    rows = written(once.select("row.y", "key", "row.words", "row.places", "row.counts"), "toxicity-terms")
+    entries = rows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    if entries > max_entries:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("entries"), "key"), F.lit(1_000_000)) < int(1_000_000 * max_entries / entries))
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or toxic in (0, n):
         return constant(n, toxic)
-    share = toxic / n
-    seen = rows.select("y", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("docs"), F.sum("y").alias("toxic"))
-    expected = F.col("docs") * share
-    z = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) * (1 - F.col("docs") / (n + 1)))
-    places = sorted(r["place"] for r in seen.where((F.col("docs") >= min_docs) & (F.abs(z) >= min_z)).select("place").collect())
+    seen = rows.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("docs"))
+    places = sorted(r["place"] for r in seen.where(F.col("docs") >= min_docs).select("place").collect())
     known = np.zeros(PLACES, bool)
     known[places] = True
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, counts = batch.column(2), batch.column(3)
+            lists, counts = batch.column(3), batch.column(4)
             stay = known[lists.flatten().to_numpy()]
             ends = np.r_[0, np.cumsum(stay)][np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]]
             own = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.flatten().filter(pa.array(stay))) for x in (lists, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(4)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=batch.schema.names)
 
-    sample = rows.mapInArrow(keep, rows.schema).orderBy("key", "words").toArrow().combine_chunks()
-    return fitted(
-        sample["y"].to_numpy(), sample["places"].combine_chunks().value_lengths().to_numpy(), sample["places"].combine_chunks().flatten().to_numpy(),
-        sample["counts"].combine_chunks().flatten().to_numpy(), sample["words"].to_numpy(), places,
-    )
+    sample = rows.mapInArrow(keep, rows.schema).orderBy("key").drop("key").toArrow().combine_chunks()
+    own, counts = sample["places"].combine_chunks(), sample["counts"].combine_chunks()
+    return fitted(sample["y"].to_numpy(), own.value_lengths().to_numpy(), own.flatten().to_numpy(), counts.flatten().to_numpy(), sample["words"].to_numpy(), places)
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -292,22 +292,97 @@ def test_token_counts_against_the_library(spark, sf_dir, documents):
 # --- 10: toxicity -------------------------------------------------------------
 
 
-def test_toxicity_learns_pairs(spark, documents):
-    """Toxic is an insult together with a group; either alone is not."""
+@pytest.mark.parametrize("toxic", [lambda insult, group: insult and group, lambda insult, group: insult != group])
+def test_toxicity_learns_pairs(spark, documents, toxic):
+    """Toxic is an insult together with a group, or just one of the two: then neither tells anything alone."""
     rng = random.Random(5)
     rows, labels = [], []
     for k in range(3000):
-        words = [f"w{rng.randrange(40)}" for _ in range(12)]
+        words = [f"w{rng.randrange(400)}" for _ in range(12)]
         insult, group = rng.random() < 0.5, rng.random() < 0.5
         words += ["stupid"] * insult + ["martians"] * group
         rng.shuffle(words)
         rows.append((k, " ".join(words)))
-        labels.append((k, None, int(insult and group)))
+        labels.append((k, None, int(toxic(insult, group))))
     docs, lab = documents(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     out = toxicity.scored(docs, toxicity.learn(docs, lab)).join(lab, "doc_id").where("held_out")
     assert out.where("predicted = toxic").count() >= 0.95 * out.count()
 
 
+def plain_machine(rows, rank, epochs, rate, shrink, seed):
+    """The same steps, one row, place and pair after the other; rows are (label, words, {place: count})."""
+    places = sorted({p for _, _, found in rows for p in found})
+    rng = np.random.default_rng(seed)
+    share = sum(y for y, _, _ in rows) / len(rows)
+    w, v, b = dict.fromkeys(places, 0.0), dict(zip(places, rng.normal(0, 0.05, (len(places), rank)).tolist(), strict=True)), np.log(share / (1 - share))
+    gw, gv, gb = dict.fromkeys(places, 1e-2), {p: [1e-2] * rank for p in places}, 1e-1
+    value = [{p: float(np.float32(10 * np.log1p(n) / np.sqrt(max(words, 1)))) for p, n in found.items()} for _, words, found in rows]
+
+    def score(x):
+        z = b + sum(w[p] * n for p, n in x.items())
+        return z + sum(x[p] * x[q] * sum(v[p][k] * v[q][k] for k in range(rank)) for p, q in itertools.combinations(sorted(x), 2))
+
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 16)):
+            dw, dv, db = {}, {}, 0.0
+            for r in batch.tolist():
+                g = 1 / (1 + np.exp(-score(value[r]))) - rows[r][0]
+                db += g
+                for p, n in value[r].items():
+                    dw[p] = dw.get(p, 0) + g * n
+                    d = dv.setdefault(p, [0.0] * rank)
+                    for q, m in value[r].items():
+                        if q != p:
+                            for k in range(rank):
+                                d[k] += g * n * m * v[q][k]
+            gb += db**2
+            b -= rate * db / np.sqrt(gb)
+            for p in dw:
+                gw[p] += dw[p] ** 2
+                step = rate / np.sqrt(gw[p])
+                moved = w[p] - step * dw[p]
+                w[p] = float(np.sign(moved) * max(abs(moved) - shrink * step, 0))
+                gv[p] = [x + d**2 for x, d in zip(gv[p], dv[p], strict=True)]
+                steps = [0.3 * rate / np.sqrt(x) for x in gv[p]]
+                moved = [x - s * d for x, s, d in zip(v[p], steps, dv[p], strict=True)]
+                size = np.sqrt(sum(x * x for x in moved))
+                v[p] = [x * max(1 - shrink * np.mean(steps) / max(size, 1e-12), 0) for x in moved]
+    return w, v, b, score, value
+
+
+def test_toxicity_against_loops_over_all_pairs():
+    rng = random.Random(2)
+    rows = []
+    for _ in range(64):
+        found = {p: rng.randrange(1, 4) for p in rng.sample(range(3, 40, 3), rng.randrange(0, 6))}
+        rows.append((int(len(found) > 2 and 6 in found), rng.randrange(1, 30), found))
+    options = dict(rank=3, epochs=3, rate=0.2, shrink=0.1, seed=4)
+    w, v, b, score, value = plain_machine(rows, **options)
+    y, sizes, words = (np.array(x) for x in zip(*((y, len(f), n) for y, n, f in rows), strict=True))
+    found, counts = (np.array([x for *_, f in rows for x in part(f)]) for part in (dict.keys, dict.values))
+    machine = toxicity.fitted(y, sizes, found, counts, words, sorted(w), last_epochs=0, **options)
+    assert machine.bias == pytest.approx(b, rel=1e-6)
+    for p in w:
+        k = machine.places.get(p)
+        assert (0.0 if k is None else machine.linear[k]) == pytest.approx(w[p], rel=1e-5, abs=1e-9)
+        assert ([0.0] * 3 if k is None else machine.factors[k].tolist()) == pytest.approx(v[p], rel=1e-5, abs=1e-9)
+    for (_, n, f), x in zip(rows, value, strict=True):
+        kept = {p: c for p, c in f.items() if p in machine.places}
+        assert machine.score(kept, n) == pytest.approx(1 / (1 + np.exp(-score(x))), rel=1e-5)
+
+
+def test_toxicity_sample_is_bounded(spark, documents, monkeypatch):
+    """Repeated ids and long texts do not enlarge what the driver fits."""
+    docs = documents(*[(1, "bad word")] * 300, *((k, f"fine text {k}") for k in range(2, 60)), (61, "long " * 30_000))
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 62)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda y, sizes, *rest: seen.append((len(y), int(sizes.sum()))) or toxicity.constant(2, 1))
+    toxicity.learn(docs, labels)
+    toxicity.learn(docs, labels, max_entries=100)
+    held = sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(1, 62))
+    assert seen[0][0] <= 61 - held and (len(seen) == 1 or seen[1][1] < seen[0][1])
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir, documents):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.learn(docs, labels)
