@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python.  Texts can be long, so batches are short.
 ARROW_ROWS = 1000
@@ -54,16 +55,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what ``written`` wrote for a frame that no later step reads."""
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+def remove_folder(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for frames that no later step reads."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            remove_folder(spark, files[0].rpartition("/")[0])
+
+
+#: A key that holds more than one in so many rows is hot.
+HOT_SHARE = 1000
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``facts``, a row per key with its number ``n`` of rows, without gathering a hot key's rows.
+
+    Fewer than ``HOT_SHARE`` keys can have more than that share of ``n_rows``
+    each, so those facts are small whatever the table, and are broadcast; the
+    rows of all others are shuffled.  Both frames have no columns in common but
+    the key, which is not null in ``facts``.
+    """
+    facts = written(facts, "facts")
+    hot, cold = F.broadcast(facts.where(F.col("n") * HOT_SHARE > n_rows)), facts.where(F.col("n") * HOT_SHARE <= n_rows)
+    others = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return rows.join(hot, key).unionByName(others)
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a text column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,69 +1,125 @@
 """WARC archives with revisit resolution.
 
-Headers (key, address, payload digest and size) are shuffled by digest to find
-the first record of each payload; records with the same payload of ``min_bytes``
-or more become revisits that refer to it.  The archives are written afresh in
-the shared folder, a gzip member a record, in files of a bounded size, and read
-back by stretches of members.
+1. One pass over the pages packs their payloads into blocks of files in the
+   shared folder and gives a header for each: key, address, digest, size and the
+   payload's place.
+2. The headers alone are shuffled, by digest: the first record of a payload of
+   ``min_bytes`` or more is its response, the others are revisits that refer to
+   it.  Digests that hold more than a thousandth of all rows, fewer than a
+   thousand by that, are broadcast instead.
+3. The verdicts go back to the blocks, each of which one task reads and writes
+   into archives with fresh headers: a gzip member a record, an information
+   record first, files of a bounded size.
+4. The archives are read back by stretches of members.
 
 A null payload is empty.  Smaller payloads are all responses.  Rows that repeat
-the smallest key of a payload are responses, too; rows with a null key never are
-the original if another key exists.  An empty table gives no records.
+the smallest key of a payload are responses, too, each with a record id of its
+own; rows with a null key never are the original if another key exists.  Long
+payloads are read and written as a whole.  Other columns are not looked at,
+whatever their names.  An empty table gives no records.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import session_of, shared_folder, written
+from pricewright.llm.shared import by_bytes, byte_texts, joined_by_key, remove_folder, session_of, shared_folder, written
 
 MIN_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes after which a file is closed, and bytes that one task reads at a time.
-FILE_BYTES, STRETCH_BYTES = 64 << 20, 4 << 20
-DATE = "2024-01-01T00:00:00Z"
-
-
-def resolved(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, url, payload, digest, record_type, refers_to, refers_to_url) for every row."""
-    body = F.coalesce(F.col(payload), F.lit(""))
-    digest, size = F.sha2(body.cast("binary"), 256), F.octet_length(body)
-    headers = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), digest.alias("digest"), size.alias("size")).where(F.col("size") >= min_bytes)
-    first = headers.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "url")).alias("first")).where("n > 1")
-    first = first.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url"))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.when(F.lit(True), body).alias("payload"), digest.alias("digest"))
-    rows = rows.join(first, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+#: Bytes after which a file is closed, bytes that one task reads at a time, and bytes of payloads packed in one block.
+FILE_BYTES, STRETCH_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20, 4 << 20
+#: Bytes that are unpacked at a time.
+PIECE = 8192
+
+HEADERS = "key long, url string, digest string, size long, file string, offset long, bytes long, at int"
+
+
+def packed(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Put the payloads into blocks of files; a header per row, with the payload's place.
+
+    A task that runs again writes a file of another name, which no header names.
+    """
+    store, root = pafs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        name, offset, out = f"payloads-{uuid.uuid4().hex}", 0, None
+        for batch in batches:
+            for part in by_bytes(batch, 2, BLOCK_BYTES):
+                payloads = byte_texts(part.column(2))
+                sink = pa.BufferOutputStream()
+                block = pa.RecordBatch.from_arrays([pa.array(payloads, pa.large_binary())], names=["payload"])
+                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(block)
+                data, n = sink.getvalue(), part.num_rows
+                if out is None:
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(data)
+                digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+                places = [pa.array([name] * n, pa.string()), pa.array([offset] * n, pa.int64()), pa.array([data.size] * n, pa.int64()), pa.array(range(n), pa.int32())]
+                columns = [part.column(0), part.column(1).cast(pa.string()), pa.array(digests, pa.string()), pa.array(map(len, payloads), pa.int64()), *places]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in HEADERS.split(", ")])
+                offset += data.size
+        if out is not None:
+            out.close()
+
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
+    return written(rows.mapInArrow(pack, HEADERS), "warc-headers")
+
+
+def resolved(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """The headers with record_type and, for revisits, key, address and place of their response."""
+    large, total = headers.where(F.col("size") >= min_bytes), headers.count()
+    first = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "url", "file", "offset", "at")).alias("first")).where("n > 1")
+    again = F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first.key"))
+    rows = joined_by_key(headers, first, "digest", total)
     return rows.select(
-        "key", "url", F.when(~again, F.col("payload")).alias("payload"), "digest", F.octet_length("payload").alias("size"),
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_to_url"),
+        *headers.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.key")).alias("refers_to"),
+        F.when(again, F.col("first.url")).alias("refers_to_url"), F.when(again, F.concat_ws("/", "first.file", "first.offset", "first.at")).alias("refers_to_place"),
     )
 
 
-def record(row: dict, date: str = DATE) -> bytes:
-    """One record with fresh headers."""
-    line = lambda s: str(s).replace("\r", "%0D").replace("\n", "%0A")
+def record_id(run: str, place: str) -> str:
+    """A record's id: one for each place of a payload and run, so that revisits can name it before it is written."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.UUID(run), place)}>"
+
+
+def lines_of(fields: list[tuple[str, object]]) -> bytes:
+    clean = lambda x: str(x).replace("\r", "%0D").replace("\n", "%0A")
+    return "\r\n".join(["WARC/1.1", *(f"{name}: {clean(x)}" for name, x in fields if x is not None)]).encode() + b"\r\n\r\n"
+
+
+def information(date: str, name: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: pricewright\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]
+    return lines_of(fields) + block + b"\r\n\r\n"
+
+
+def record(row: dict, payload: bytes, run: str, date: str) -> bytes:
+    """One record with fresh headers; a revisit keeps the length of the payload it leaves out."""
     revisit = row["record_type"] == "revisit"
-    payload = b"" if revisit else (row["payload"] or "").encode()
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['size']}\r\n\r\n".encode() + payload
-    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{'none' if row['key'] is None else row['key']}>", f"WARC-Date: {date}"]
-    if row["url"] is not None:
-        head.append(f"WARC-Target-URI: {line(row['url'])}")
-    head.append(f"WARC-Payload-Digest: sha256:{row['digest']}")
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['size']}\r\n\r\n".encode() + (b"" if revisit else payload)
+    fields = [
+        ("WARC-Type", row["record_type"]), ("WARC-Record-ID", record_id(run, f"{row['file']}/{row['offset']}/{row['at']}")), ("WARC-Date", date),
+        ("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("Page-ID", row["key"]),
+    ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
-        if row["refers_to_url"] is not None:
-            head.append(f"WARC-Refers-To-Target-URI: {line(row['refers_to_url'])}")
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(run, row["refers_to_place"])), ("WARC-Refers-To-Target-URI", row["refers_to_url"]), ("Refers-To-Page-ID", row["refers_to"])]
+    fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block))]
+    return lines_of(fields) + block + b"\r\n\r\n"
 
 
 def parsed(data: bytes) -> dict:
@@ -82,35 +138,51 @@ def parsed(data: bytes) -> dict:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a stretch, unpacked."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+    """The gzip members of a stretch, unpacked, in time that grows with its length."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + PIECE]
+            if not piece:
+                raise ValueError("a record is cut short")
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(parts)
 
 
 MANIFEST = "file string, offset long, bytes long, records int"
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write resolved rows; returns the stretches of the files that stand.
+def write_archives(rows: DataFrame, payloads: str, folder: str, date: str | None = None) -> DataFrame:
+    """Write resolved headers with their payloads; returns the stretches of the files that stand.
 
-    A task that runs again writes files of other names, so half-written ones are
-    in no manifest.
+    Only headers are shuffled, to bring those of a block together.  A task that
+    runs again writes files of other names, so half-written ones are in no
+    manifest.
     """
-    store, at = pafs.FileSystem.from_uri(folder)
-    store.create_dir(at, recursive=True)
+    store, root = pafs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    run, date = str(uuid.uuid4()), date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = pafs.FileSystem.from_uri(folder)
+        store, root = pafs.FileSystem.from_uri(folder)
         out, name, size, begin, n = None, "", 0, 0, 0
         stretches: list[tuple] = []
+        block, body = None, None
         for batch in batches:
             for row in batch.to_pylist():
+                if block != (row["file"], row["offset"]):
+                    block = (row["file"], row["offset"])
+                    source, base = pafs.FileSystem.from_uri(payloads)
+                    with source.open_input_file(f"{base}/{row['file']}") as f:
+                        f.seek(row["offset"])
+                        body = pa.ipc.open_stream(f.read(row["bytes"])).read_all()["payload"].chunk(0)
                 if out is None:
-                    name, size, begin, n = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0, 0
-                    out = store.open_output_stream(f"{at}/{name}", compression=None)
-                size += out.write(gzip.compress(record(row), 5, mtime=0))
+                    name = f"pages-{uuid.uuid4().hex}.warc.gz"
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    size, begin, n = out.write(gzip.compress(information(date, name), 5, mtime=0)), 0, 1
+                size += out.write(gzip.compress(record(row, body[row["at"]].as_py(), run, date), 5, mtime=0))
                 n += 1
                 if size - begin >= STRETCH_BYTES:
                     stretches.append((name, begin, size - begin, n))
@@ -122,59 +194,55 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
             if n:
                 stretches.append((name, begin, size - begin, n))
-        names, begins, sizes, counts = list(zip(*stretches, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int32())], names=["file", "offset", "bytes", "records"])
+        columns = list(zip(*stretches, strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    return written(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "at")
+    return written(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-RECORD = "key long, url string, record_type string, digest string, size long, refers_to long"
+RECORD = "record_id string, key long, url string, record_type string, digest string, size long, refers_to long, refers_to_id string"
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per record; digest and size of responses are taken from their payloads."""
+    """A row per record of a page; digest and size of responses are taken from their payloads."""
 
-    def page(uri: str | None) -> int | None:
-        found = (uri or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(found) if found.lstrip("-").isdigit() else None
+    def number(text: str | None) -> int | None:
+        return None if text is None else int(text)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    def facts(x: dict) -> tuple:
+        digest, size = x["warc-payload-digest"].removeprefix("sha256:"), int(x["block"].partition(b"Content-Length: ")[2].partition(b"\r\n")[0])
+        if x["warc-type"] == "response" and (digest, size) != (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"])):
+            raise ValueError("a payload does not match its record")
+        return (x["warc-record-id"], number(x.get("page-id")), x.get("warc-target-uri"), x["warc-type"], digest, size, number(x.get("refers-to-page-id")), x.get("warc-refers-to"))
 
-        store, at = pafs.FileSystem.from_uri(folder)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for stretch in batch.to_pylist():
-                with store.open_input_file(f"{at}/{stretch['file']}") as f:
+                with store.open_input_file(f"{root}/{stretch['file']}") as f:
                     f.seek(stretch["offset"])
                     data = f.read(stretch["bytes"])
-                rows = []
-                for x in map(parsed, members(data)):
-                    response = x["warc-type"] == "response"
-                    digest = hashlib.sha256(x["payload"]).hexdigest() if response else x["warc-payload-digest"].removeprefix("sha256:")
-                    rows.append((page(x["warc-record-id"]), x.get("warc-target-uri"), x["warc-type"], digest, len(x["payload"]) if response else None, page(x.get("warc-refers-to"))))
-                if len(rows) != stretch["records"]:
+                found = list(map(parsed, members(data)))
+                if len(found) != stretch["records"]:
                     raise ValueError(f"{stretch['file']} lacks records")
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "url", "record_type", "digest", "size", "refers_to"])
+                columns = list(zip(*(facts(x) for x in found if x["warc-type"] != "warcinfo"), strict=True)) or [()] * 8
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     return manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, RECORD)
 
 
-def resolve_sizes(records: DataFrame) -> DataFrame:
-    """Give each revisit the payload size of the response it refers to, by a join of headers."""
-    responses = records.where("record_type = 'response'")
-    originals = responses.groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.first("size").alias("found"))
-    revisits = records.where("record_type = 'revisit'")
-    found = revisits.join(originals, (revisits["refers_to"] == originals["k"]) & (revisits["digest"] == originals["d"]), "left")
-    return responses.unionByName(found.withColumn("size", F.col("found")).select(*records.columns))
-
-
 def written_and_read(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Write the archives of a table in the shared folder and read them back."""
     spark = session_of(pages)
-    folder = shared_folder(spark, "warc")
-    manifest = write_archives(resolved(pages, key, url, payload), folder)
-    return resolve_sizes(written(read_archives(spark, manifest, folder), "warc-records"))
+    folder, payloads = shared_folder(spark, "warc"), shared_folder(spark, "warc-payloads")
+    headers = packed(pages, payloads, key, url, payload)
+    manifest = write_archives(resolved(headers), payloads, folder)
+    remove_folder(spark, payloads)
+    return read_archives(spark, manifest, folder)
 
 
 def report(pages: DataFrame) -> DataFrame:

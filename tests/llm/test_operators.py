@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -265,12 +267,32 @@ def test_warc(spark, sf_dir):
     assert warc.report(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_warc_records_are_fresh_and_refer_to_each_other(spark):
+    rows = [(k, f"http://a/{k}", "<p>same</p>" * 30) for k in range(40)] + [(1, None, "<p>same</p>" * 30), (99, "u", "y" * 3_000_000)]
+    out = warc.written_and_read(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(out) == len(rows) and len({r.record_id for r in out}) == len(rows)
+    first = {r.record_id for r in out if r.key == 0}
+    assert all(r.refers_to == 0 and {r.refers_to_id} == first for r in out if r.record_type == "revisit")
+    assert {r.key for r in out if r.record_type == "response"} == {0, 99}
+
+
+def test_warc_payloads_are_not_shuffled(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200)], PAGES)
+    headers = warc.packed(pages, f"file://{tmp_path}/payloads")
+    assert "payload" not in headers.columns and [r.size for r in warc.resolved(headers).collect()] == [200]
+
+
 def test_warc_record():
-    data = warc.record({"key": 7, "url": "http://x/", "digest": "ab", "record_type": "response", "payload": "é", "size": 2, "refers_to": None, "refers_to_url": None})
+    row = {"key": 7, "url": "http://x/\r\n", "digest": "ab", "record_type": "response", "size": 2, "file": "f", "offset": 0, "at": 3, "refers_to": None, "refers_to_url": None}
+    data = warc.record(row, "é".encode(), str(uuid.uuid4()), "2024-01-01T00:00:00Z")
     parsed = warc.parsed(data)
-    assert parsed["warc-type"] == "response" and parsed["payload"] == "é".encode()
+    assert parsed["warc-type"] == "response" and parsed["payload"] == "é".encode() and parsed["page-id"] == "7" and parsed["warc-target-uri"] == "http://x/%0D%0A"
     with pytest.raises(ValueError, match="length"):
         warc.parsed(data[:-3])
+    packed = [gzip.compress(random.Random(k).randbytes(k)) for k in (0, 1, 20_000, 3)]
+    assert [len(x) for x in warc.members(b"".join(packed))] == [0, 1, 20_000, 3]
+    with pytest.raises(ValueError, match="short"):
+        list(warc.members(packed[0] + packed[2][:-4]))
 
 
 # --- 8: token counts ----------------------------------------------------------
