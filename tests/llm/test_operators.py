@@ -162,8 +162,11 @@ def test_decontamination(spark, documents):
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
     assert got == contaminated(docs, items)
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, block_words=40).collect()} == got
-    clean = decontamination.clean(df, bench)
-    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+    assert {r.item_id for r in decontamination.left_out(bench).withColumnRenamed("item", "item_id").collect()} == {4, 10}
+    for clean in (decontamination.clean(df, bench, block_words=40), decontamination.clean(df, bench)):
+        assert clean.columns == df.columns
+        assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {x for x, _ in got})
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontamination.contaminated(df, bench.limit(0)).collect() == []
     assert decontamination.contaminated(df.limit(0), bench).collect() == []
 
@@ -184,6 +187,57 @@ def test_decontamination_of_short_items_with_every_substitution(spark, documents
     assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_all_item_lengths_and_very_long_texts(spark, documents):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 31)] + [(50, "same " * 40)]
+    docs = [(None, "x " * 5), (-1, "same " * 20_000), (-2, "word " * 50_000 + items[29][1]), (-2, "word " * 50_000 + items[29][1])]
+    for n, item in items[:30]:
+        for changed in range(4):
+            words = item.split()
+            for at in rng.sample(range(n), min(n, changed)):
+                words[at] = "other"
+            docs.append((len(docs), " ".join(["before", *words, "after"])))
+            docs.append((len(docs), " ".join(words[1:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = documents(*docs)
+    want = contaminated([x for x in docs if x[0] is None or x[0] >= 0], items) | {(-1, 50), (-2, 30)}
+    rows = [decontamination.contaminated(df, bench, block_words=n).collect() for n in (10**6, 20)]
+    assert sorted(map(tuple, rows[0])) == sorted(map(tuple, rows[1])) and len(rows[0]) == len(want) + 1
+    assert {(r.doc_id, r.item_id) for r in rows[0]} == want
+
+
+def test_decontamination_of_a_whole_table(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got and got == {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, block_words=20).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id % 10 == 0 or r.doc_id in {d for d, _ in got}]
+    assert {x for x in got if x[0] in dict(rows)} == near_passages(rows, [tuple(r) for r in bench.select("item_id", "text").collect()])
+
+
+def near_passages(docs, items):
+    """``contaminated`` by arrays: every shift of every item along every text."""
+
+    def plain(t):
+        return [x for x in ("".join(filter(str.isalnum, w.lower())) for w in re.split(r"[ \t-\r]+", t or "")) if x]
+
+    number, out = {}, set()
+    numbers = lambda t: np.array([number.setdefault(w, len(number)) for w in plain(t)], np.int32)
+    items = [(i, numbers(t)) for i, t in items]
+    for d, text in docs:
+        words = np.r_[np.full(40, -1, np.int32), numbers(text), np.full(40, -1, np.int32)]
+        for i, item in items:
+            window = min(decontamination.WINDOW, item.size)
+            if item.size < decontamination.MIN_WORDS:
+                continue
+            need = window if item.size < decontamination.SPAN else int(np.ceil(decontamination.SHARE * window))
+            for at in range(item.size - window + 1):
+                same = sum((words[k : words.size - window + k + 1] == item[at + k]).astype(np.int8) for k in range(window))
+                if same[40 : words.size - 40 - window + 1].max(initial=0) >= need:
+                    out.add((d, i))
+                    break
+    return out
+
+
 # --- 5: token files -----------------------------------------------------------
 
 
