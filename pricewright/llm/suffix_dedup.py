@@ -14,19 +14,21 @@ as UTF-8 bytes; no string crosses from one document to another.
    comes again unchanged counts once, with its smallest key.
 4. A piece that is alone with its anchor can share no window.  The others are
    split into shards, some anchors at a time.  Each shard gets its own
-   sorted suffixes and Burrows-Wheeler transform.  The transforms are merged by
-   refining their interleave: a round takes every row back by one symbol (five
-   bytes) with a stable counting sort, which orders the interleave by one symbol
-   more, and rows that still have all symbols in common stay in one interval.
-   After ten rounds the intervals are those of suffixes with a common prefix of
-   50 bytes; no suffix is sorted again.  The smallest key of each interval
-   decides about its windows.
+   sorted suffixes and Burrows-Wheeler transform, of the rows that can become the
+   start of a window.  The transforms are merged by refining their interleave: a
+   round takes every row back by one symbol (five bytes) with a stable counting
+   sort, which orders the interleave by one symbol more, and rows that still have
+   all symbols in common stay in one interval.  After ten rounds the intervals
+   are those of suffixes with a common prefix of 50 bytes; no suffix is sorted
+   again.  The smallest key of each interval decides about its windows.
 5. What a bucket found goes back to the chunks, which cut the bytes out.
 
-An anchor with more than ``heavy`` chunks' worth of occurrences would make one
-bucket large; its pieces are dealt out window by window, by the window's own hash.
+An anchor that more than about ``heavy`` documents have would make one bucket
+large; its pieces are dealt out window by window, by the window's own hash, equal
+windows of a chunk once with their places.
 
-A null text is empty.  A null key is larger than any other, and rows with equal
+Texts of any length are read as a whole; a chunk holds one at least.  A null text
+is empty.  A null key is larger than any other, and rows with equal
 keys never remove from each other.  An empty table gives no rows.  Other columns
 are not looked at.
 """
@@ -50,9 +52,9 @@ GRAM = 16
 SYMBOL = 5
 #: A chunk is small enough for its packed text to be no large object to a JVM of small regions.
 CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 8 << 20
-#: Suffixes of a shard, and bytes of pieces whose shards are merged with each other, about.
-SHARD_ROWS, MERGE_BYTES = 1 << 18, 1 << 19
-#: Chunks with the same anchor above which its pieces are dealt out by windows.
+#: Windows of a shard, and bytes of pieces whose shards are merged with each other, about.
+SHARD_ROWS, MERGE_BYTES = 1 << 15, 1 << 18
+#: Documents with the same anchor (counted to a factor of two) above which its pieces are dealt out by windows.
 HEAVY = 20_000
 NO_KEY = np.iinfo(np.int64).max
 
@@ -68,7 +70,7 @@ def unpacked(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
 
-#: Columns of a block of pieces, before their bytes; of a block of marks, which has none.
+#: Columns of a block of pieces (document, start, key, which of the bodies that follow); of a block of marks, which has none.
 PIECES, MARKS = ("<i4", "<i8", "<i8", "<i4"), ("<i4", "<i8", "<i8")
 
 
@@ -161,7 +163,7 @@ def runs(texts: list[bytes], length: int, at_once: int = 1 << 18) -> Iterator[tu
 
 
 def chunk_anchors(chunks: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(range, chunk, anchors): sorted; twice, if a second document of the chunk has it."""
+    """(range, chunk, anchors, levels): sorted; level k says that 2**(k - 1) documents of the chunk or more have it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,19 +175,17 @@ def chunk_anchors(chunks: DataFrame, ranges: int, length: int) -> DataFrame:
                     parts.append(a[np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1])]])
                 if not parts:
                     continue
-                a = np.sort(np.concatenate(parts))
-                third = np.zeros(a.size, bool)
-                third[2:] = a[2:] == a[:-2]
-                a = a[~third]
+                a, n = np.unique(np.concatenate(parts), return_counts=True)
+                level = (np.log2(n).astype(np.uint8) + 1).astype(np.uint8)
                 of = ((a >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 cuts = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
                 own = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array(np.full(own.size, chunk), pa.int64()), pa.array([a[cuts[r] : cuts[r + 1]].tobytes() for r in own], pa.binary())],
-                    names=["range", "chunk", "anchors"],
+                    [pa.array(own, pa.int32()), pa.array(np.full(own.size, chunk), pa.int64()), *(pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in own], pa.binary()) for x in (a, level))],
+                    names=["range", "chunk", "anchors", "levels"],
                 )
 
-    return chunks.select("chunk", "block").mapInArrow(find, "range int, chunk long, anchors binary")
+    return chunks.select("chunk", "block").mapInArrow(find, "range int, chunk long, anchors binary, levels binary")
 
 
 def repeated_anchors(found: DataFrame, heavy: int) -> DataFrame:
@@ -193,11 +193,12 @@ def repeated_anchors(found: DataFrame, heavy: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         blocks = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
-        value, of, count = np.unique(np.concatenate(blocks), return_inverse=True, return_counts=True)
+        value, of = np.unique(np.concatenate(blocks), return_inverse=True)
+        levels = np.frombuffer(b"".join(table["levels"].to_pylist()), np.uint8)
+        count = np.bincount(of, np.exp2(levels - 1.0), value.size)
         cuts = np.cumsum([b.size for b in blocks])[:-1]
         rows = []
         for chunk, own in zip(table["chunk"].to_pylist(), np.split(of, cuts), strict=True):
-            own = np.unique(own)
             often = count[own] > heavy
             rows.append((chunk, value[own[(count[own] > 1) & ~often]].tobytes(), value[own[often]].tobytes()))
         columns = list(zip(*rows, strict=True))
@@ -245,7 +246,11 @@ def pieces(chunks: DataFrame, again: DataFrame, buckets: int, length: int) -> Da
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 d, s = doc[low:high], start[low:high]
                 body = [texts[i][a:b] for i, a, b in zip(d.tolist(), s.tolist(), end[low:high].tolist(), strict=True)]
-                out.append((int(bucket[low]), chunk, squeezed(PIECES, (d, s, keys[d], end[low:high] - s), b"".join(body))))
+                # Equal pieces of a chunk go along once.
+                own: dict[bytes, int] = {}
+                which = np.fromiter((own.setdefault(x, len(own)) for x in body), np.int64, len(body))
+                sizes = np.fromiter(map(len, own), "<i4", len(own))
+                out.append((int(bucket[low]), chunk, squeezed(PIECES, (d, s, keys[d], which), b"".join([len(own).to_bytes(4, "little"), sizes.tobytes(), *own]))))
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table({"bucket": pa.array(columns[0], pa.int32()), "chunk": pa.array(columns[1], pa.int64()), "block": pa.array(columns[2], pa.binary())})
 
@@ -270,100 +275,84 @@ def stable_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-class Strings:
-    """Pieces as rows of symbols: one row a byte, and SYMBOL end rows a piece.
+class Windows:
+    """The windows of pieces, and the symbols that come before them on their way back.
 
-    Row p holds the symbol of the SYMBOL bytes from p on; the next symbol of its
-    suffix is that of row p + SYMBOL.  End rows hold 0, smaller than all others.
+    A symbol is SYMBOL bytes.  Round r looks at the rows that lie r symbols before
+    their window's end, so it needs just one row a window, whose symbol before is
+    always there: ``before(r, rows)``.  After length / SYMBOL rounds the rows are
+    the windows' own starts.
     """
 
-    def __init__(self, bodies: list[bytes]):
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + SYMBOL
-        data = np.frombuffer((b"\0" * SYMBOL).join(bodies) + b"\0" * (2 * SYMBOL), np.uint8)
-        self.starts = np.r_[0, np.cumsum(sizes)]
-        n = int(self.starts[-1])
-        code = np.zeros(n, np.int64)
+    def __init__(self, bodies: list[bytes], length: int):
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        windows = np.maximum(sizes - length + 1, 0)
+        self.piece = np.repeat(np.arange(len(bodies)), windows)
+        self.rounds = length // SYMBOL
+        starts = np.cumsum(sizes) - sizes
+        self.start = np.repeat(starts - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        code = np.zeros(max(0, data.size - SYMBOL + 1), np.int64)
         for k in range(SYMBOL):
-            code = (code << 8) | data[k : n + k]
-        self.piece = np.repeat(np.arange(len(bodies)), sizes)
-        self.place = np.arange(n) - self.starts[self.piece]
-        end = self.place >= (sizes - SYMBOL)[self.piece]
-        self.symbol = np.unique(code, return_inverse=True)[1].astype(np.int32) + 1
-        self.symbol[end] = 0
-        self.before = np.zeros(n, np.int32)
-        self.before[SYMBOL:] = self.symbol[:-SYMBOL]
-        self.before[self.place < SYMBOL] = 0
-
-
-def transform(strings: Strings, low: int, high: int, rounds: int) -> np.ndarray:
-    """Rows low..high, a shard's, sorted by their first symbols: radix passes, last symbol first."""
-    symbol, end = strings.symbol[low:high], np.flatnonzero(strings.symbol[low:high] == 0)
-    order = np.arange(high - low)
-    # For each row the end row that its suffix stops at: symbols beyond it are 0.
-    last = np.full(high - low, high - low, np.int64)
-    last[end] = end
-    last = np.minimum.accumulate(last[::-1])[::-1]
-    for k in range(rounds - 1, -1, -1):
-        at = order + k * SYMBOL
-        inside = at < last[order]
-        key = np.where(inside, symbol[np.minimum(at, high - low - 1)], 0)
-        order = order[stable_order(key)]
-    return order + low
-
-
-def merged(shards: list[np.ndarray], strings: Strings, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all shards in merged order, and the interval of each.
+            code = (code << 8) | data[k : k + code.size]
+        self.symbol = np.unique(code, return_inverse=True)[1].astype(np.int32)
+
+    def before(self, done: int, rows: np.ndarray) -> np.ndarray:
+        return self.symbol[self.start[rows] + (self.rounds - 1 - done) * SYMBOL]
+
+
+def transform(windows: Windows, low: int, high: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A shard's transform: of its rows in sorted order the symbols before them, in every round; and its windows sorted."""
+    rows, symbols = np.arange(low, high), []
+    for done in range(windows.rounds):
+        symbols.append(windows.before(done, rows))
+        rows = rows[stable_order(symbols[-1])]
+    return symbols, rows
+
+
+def merged(shards: list[tuple[list[np.ndarray], np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of all shards in merged order, and the interval of each.
 
     ``interleave`` tells for every place of the merged order from which shard it
-    comes; a shard's own rows keep their order.  Rows in one interval agree in
-    ``rounds`` symbols.
+    comes; a shard's own rows keep their order.  A round takes the shards'
+    symbols in the order of the interleave and sorts the interleave by them,
+    stably, which orders it by one symbol more.  Rows in one interval agree in
+    all the symbols that were taken: that is their common prefix.
     """
-    rows = np.concatenate(shards)
-    before = strings.before[rows]
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.size for s in shards])
-    ends = shard[strings.symbol[rows] == 0]
-    interleave, interval = shard, np.zeros(rows.size, np.int32)
-    begins = np.r_[0, np.cumsum([s.size for s in shards])]
-
-    def row_of_each() -> np.ndarray:
-        at = np.empty(rows.size, np.int32)
-        for k in range(len(shards)):
-            at[np.flatnonzero(interleave == k)] = np.arange(begins[k], begins[k + 1], dtype=np.int32)
+    sizes = [rows.size for _, rows in shards]
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    interval = np.zeros(interleave.size, np.int32)
+    begins = np.cumsum(sizes) - sizes
+
+    def places() -> np.ndarray:
+        at = np.empty(interleave.size, np.int32)
+        for k, (begin, n) in enumerate(zip(begins.tolist(), sizes, strict=True)):
+            at[np.flatnonzero(interleave == k)] = np.arange(begin, begin + n, dtype=np.int32)
         return at
 
-    for _ in range(rounds):
-        symbol = before[row_of_each()]
-        going = np.flatnonzero(symbol)
-        symbol, source, block = symbol[going], interleave[going], interval[going]
+    for done in range(rounds):
+        symbol = np.concatenate([symbols[done] for symbols, _ in shards])[places()]
         order = stable_order(symbol)
-        symbol, block = symbol[order], block[order]
-        new = np.ones(order.size, bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        interleave = np.concatenate([ends, source[order]])
-        interval = np.concatenate([np.zeros(ends.size, np.int32), np.cumsum(new, dtype=np.int32)])
-    return rows[row_of_each()], interval
-
-
-def smallest_keys(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:
-    """For each piece and window of it the smallest key of a piece with that window."""
-    if not bodies:
-        return []
-    strings, rounds = Strings(bodies), length // SYMBOL
-    cuts, last = [0], 0
-    for start in strings.starts[1:].tolist():
-        if start - last >= shard_rows or start == strings.starts[-1]:
-            cuts.append(start)
-            last = start
-    shards = [transform(strings, a, b, rounds) for a, b in zip(cuts, cuts[1:], strict=False)]
-    rows, interval = merged(shards, strings, rounds)
-    sizes = np.diff(strings.starts) - SYMBOL
-    piece = strings.piece[rows]
-    key = np.where(strings.place[rows] <= sizes[piece] - length, keys[piece], NO_KEY)
+        symbol, interval, interleave = symbol[order], interval[order], interleave[order]
+        new = np.zeros(order.size, bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        interval = np.cumsum(new, dtype=np.int32)
+    return np.concatenate([rows for _, rows in shards])[places()], interval
+
+
+def smallest_keys(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows: int = SHARD_ROWS) -> np.ndarray:
+    """For each window of the pieces in a row the smallest key of a piece with that window."""
+    windows = Windows(bodies, length)
+    n = windows.piece.size
+    if not n:
+        return np.zeros(0, np.int64)
+    cuts = [*range(0, n, shard_rows), n]
+    rows, interval = merged([transform(windows, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], windows.rounds)
     first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-    least = np.minimum.reduceat(key, first)
-    found = np.empty(rows.size, np.int64)
-    found[rows] = np.repeat(least, np.diff(np.r_[first, rows.size]))
-    return [found[a : a + max(0, n - length + 1)] for a, n in zip(strings.starts[:-1].tolist(), sizes.tolist(), strict=True)]
+    least = np.minimum.reduceat(keys[windows.piece[rows]], first)
+    found = np.empty(n, np.int64)
+    found[rows] = np.repeat(least, np.diff(np.r_[first, n]))
+    return found
 
 
 def least_by_window(bodies: list[bytes], keys: np.ndarray, length: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +377,7 @@ def least_by_window(bodies: list[bytes], keys: np.ndarray, length: int, shard_ro
         size += len(bodies[i])
         if last[k] and (size >= MERGE_BYTES or k + 1 == shared.size):
             part = shared[low : k + 1]
-            found = np.concatenate(smallest_keys([bodies[j] for j in part.tolist()], keys[part], length, shard_rows))
+            found = smallest_keys([bodies[j] for j in part.tolist()], keys[part], length, shard_rows)
             n = windows[part]
             every[np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())] = found
             low, size = k + 1, 0
@@ -403,9 +392,11 @@ def repeats(parts: DataFrame, length: int, shard_rows: int) -> DataFrame:
         least: list[int] = []
         blocks = []
         for chunk, block in zip(table["chunk"].to_pylist(), table["block"].to_pylist(), strict=True):
-            (doc, start, keys, sizes), bodies = unsqueezed(PIECES, block)
-            ends = np.cumsum(sizes)
-            of = np.fromiter((known.setdefault(bodies[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, doc.size)
+            (doc, start, keys, which), rest = unsqueezed(PIECES, block)
+            n = int.from_bytes(rest[:4], "little")
+            sizes = np.frombuffer(rest, "<i4", n, 4).astype(np.int64)
+            ends = 4 + 4 * n + np.cumsum(sizes)
+            of = np.fromiter((known.setdefault(rest[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, n)[which]
             least += [NO_KEY] * (len(known) - len(least))
             for i, k in zip(of.tolist(), keys.tolist(), strict=True):
                 if k < least[i]:

@@ -49,7 +49,8 @@ def test_smallest_keys_of_shards(shard_rows):
         for i in range(len(b) - 49):
             known[b[i : i + 50]] = min(known.get(b[i : i + 50], 99), k)
     got = suffix_dedup.smallest_keys(bodies, keys, 50, shard_rows)
-    assert [g.tolist() for g in got] == [[known[b[i : i + 50]] for i in range(len(b) - 49)] for b in bodies]
+    assert got.tolist() == [known[b[i : i + 50]] for b in bodies for i in range(len(b) - 49)]
+    assert suffix_dedup.smallest_keys([], keys, 50, shard_rows).size == 0
 
 
 def planted(seed=1, n=60):
