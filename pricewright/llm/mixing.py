@@ -11,9 +11,11 @@ Weights 1, 2, 3, repeating, go to the sources in code-point order, null last.
 A target stops at ``cap`` times its source's size, and the excess is shared by
 weight among the others.  Budgets are targets rounded down to whole words.
 
-Null or empty texts have size 0 and are taken with 0 words.  Documents with the
-same id count each on its own; ties of the key go by id and size.  An empty
-table gives no rows; an extra column of any name but ``_mix`` is carried along.
+Null or empty texts have size 0 and are taken with 0 words.  A null id's random
+key is that of its text.  Documents with the same id count each on its own; ties
+of the key go by id, size and the text's digest, so that reruns agree.  Texts of
+any length are counted and cut as a whole.  An empty table gives no rows; extra
+columns of any names are carried along.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def random_key(key: str, seed: str) -> Column:
-    """60 random bits from the id; a null id has a key, too."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+def random_key(key: str, text: str, seed: str) -> Column:
+    """60 random bits from the id, or from the text where the id is null."""
+    of_text = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), of_text)).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -64,9 +67,10 @@ def source_targets(sizes: DataFrame, cap: int = 3, weights: int = 3) -> DataFram
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", range_rows: int = RANGE_ROWS, keep_columns: bool = False) -> DataFrame:
     """Rows with size, source_size, target and taken in one column ``_mix``.
 
-    With ``keep_columns`` all columns of ``docs`` stay; otherwise its key alone.
+    With ``keep_columns`` all columns of ``docs`` stay, in one column ``row``;
+    otherwise its key alone.
     """
-    facts = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), random_key(key, seed).alias("random"))
+    facts = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), random_key(key, text, seed).alias("random"), F.xxhash64(text).alias("digest"))
     facts = written(facts, "mix-sizes")
     targets = written(source_targets(facts), "mix-targets")
     ranges = F.ceil(F.col("n_docs") / range_rows)
@@ -77,20 +81,20 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     starts = sums.select(F.col("source").alias("s"), F.col("place").alias("p"), (F.sum("n").over(run) - F.col("n")).alias("range_start"))
     if keep_columns:
         rows = docs.select(
-            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), random_key(key, seed).alias("random")
+            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), random_key(key, text, seed).alias("random"), F.xxhash64(text).alias("digest")
         )
     else:
         rows = facts
     rows = rows.join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).withColumn("place", place)
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")))
-    within = Window.partitionBy("source", "place").orderBy("random", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "place").orderBy("random", "key", "size", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("size").over(within) - F.col("size") + F.col("range_start")
     budget = F.floor("target").cast("long")
     rounds = F.coalesce(F.floor(budget / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     rest = budget - rounds * F.col("source_size") - F.col("before")
     taken = rounds * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
     mix = F.struct("size", "source_size", "target", taken.alias("taken"))
-    return rows.withColumn("before", before).select("row.*" if keep_columns else F.col("key").alias(key), mix.alias("_mix"))
+    return rows.withColumn("before", before).select("row" if keep_columns else F.col("key").alias(key), mix.alias("_mix"))
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -105,16 +109,17 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rows = rows.where(taken > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     left = taken - (F.col("_copy") - 1) * size
     # Each word with the white space before it, so that the head keeps the text's own.
-    words_apart = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
+    whole = F.col("row").getField(text)
+    words_apart = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
     head = F.array_join(F.slice(words_apart, F.lit(1), left.cast("int")), "")
-    cut = F.when(left >= size, F.col(text)).otherwise(head)
-    return rows.withColumn(text, cut).select(*docs.columns)
+    cut = F.when(left >= size, whole).otherwise(head)
+    return rows.select(*(cut.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS random
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS random
   FROM documents
 ), t AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
