@@ -11,7 +11,9 @@ the list a host takes back to its pages is short, whatever the host's size.
 
 A null page has no lines; a null address belongs to the host ''.  A line that
 repeats within a page counts once for that page, and all its occurrences go
-together.  Repeated rows count each as a page.
+together.  Repeated rows count each as a page.  Pages of any length are read as a
+whole.  An empty table gives no rows.  Other columns stay in the column ``row``,
+so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -52,20 +54,19 @@ def boilerplate(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 3) ->
 
 
 def deduped(pages: DataFrame, lines: Column, site: Column, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """The rows with ``_host``, ``_n_lines`` and ``_kept``, the lines that stay."""
+    """(row, host, n_lines, kept): the rows as they came, and of each the lines that stay."""
     facts = pages.select(site.alias("host"), lines.alias("lines"))
     # Written, its size is known: small, it is broadcast and the pages are not shuffled; large, a host's pages can be split.
     drop = written(boilerplate(facts, max_ratio, min_pages), "boilerplate")
-    rows = pages.select("*", site.alias("_host"), lines.alias("_lines"))
-    rows = rows.join(drop, rows["_host"] == drop["host"], "left")
-    kept = F.when(F.col("drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("drop", F.md5(x.cast("binary")))))
-    return rows.select(*(rows[c] for c in pages.columns), "_host", F.size("_lines").alias("_n_lines"), kept.alias("_kept"))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), site.alias("host"), lines.alias("lines"))
+    rows = rows.join(drop, "host", "left")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", F.md5(x.cast("binary")))))
+    return rows.select("row", "host", F.size("lines").alias("n_lines"), kept.alias("kept"))
 
 
 def report(pages: DataFrame) -> DataFrame:
     rows = deduped(pages.select("page_id", "url", "html"), html_lines("html"), host("url"))
-    kept = F.concat_ws("\n", "_kept")
-    return rows.select("page_id", F.col("_host").alias("host"), F.col("_n_lines").alias("n_lines"), (F.col("_n_lines") - F.size("_kept")).alias("n_dropped"), kept.alias("kept_text"))
+    return rows.select("row.page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.concat_ws("\n", "kept").alias("kept_text"))
 
 
 ORACLE = r"""
