@@ -107,26 +107,24 @@ def constant(n: int, toxic: int, rank: int = RANK) -> Machine:
 
 
 def fitted(
-    y: np.ndarray, sizes: np.ndarray, found: np.ndarray, counts: np.ndarray, words: np.ndarray, places: list[int], rank: int = RANK,
+    y: np.ndarray, sizes: np.ndarray, at: np.ndarray, x: np.ndarray, places: list[int], rank: int = RANK,
     epochs: int = 25, last_epochs: int = 10, rate: float = 0.2, shrink: float = 0.1, prune_from: int = 3, seed: int = 7,
 ) -> Machine:
     """Weights by adaptive gradient steps on the logistic loss; same rows, same weights.
 
-    Row k has label ``y[k]``, ``words[k]`` words and ``sizes[k]`` entries of
-    ``found`` (places) and ``counts``.
+    Row k has label ``y[k]`` and ``sizes[k]`` entries of ``at`` (numbers of
+    ``places``) and ``x`` (their values).
     """
     y, m = y.astype(float), len(places)
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, rank)), math.log(y.mean() / (1 - y.mean()))
     gw, gv, gb = np.full(m, 1e-2), np.full((m, rank), 1e-2), 1e-1
-    at = np.searchsorted(np.array(places, np.int64), found).astype(np.int32)
-    x = (10 * np.log1p(counts) / np.sqrt(np.maximum(np.repeat(words, sizes), 1))).astype(np.float32)
     batches = max(1, y.size // min(256, max(16, y.size // 64)))
     number = np.zeros(m, np.int64)
     for epoch in range(epochs + last_epochs):
         if epoch >= prune_from:
             stay = ((w != 0) | (v != 0).any(1))[at]
-            sizes = np.bincount(np.repeat(np.arange(y.size), sizes)[stay], minlength=y.size)
+            sizes = np.diff(np.r_[0, np.cumsum(stay, dtype=np.int64)][np.r_[0, np.cumsum(sizes)]])
             at, x = at[stay], x[stay]
         less = shrink if epoch < epochs else 0.02 * shrink
         starts = np.cumsum(sizes) - sizes
@@ -198,20 +196,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return constant(n, toxic)
     seen = rows.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("docs"))
     places = sorted(r["place"] for r in seen.where(F.col("docs") >= min_docs).select("place").collect())
-    known = np.zeros(PLACES, bool)
-    known[places] = True
+    number = np.full(PLACES, -1, np.int32)
+    number[places] = np.arange(len(places))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, counts = batch.column(3), batch.column(4)
-            stay = known[lists.flatten().to_numpy()]
-            ends = np.r_[0, np.cumsum(stay)][np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]]
-            own = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.flatten().filter(pa.array(stay))) for x in (lists, counts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=batch.schema.names)
-
-    sample = rows.mapInArrow(keep, rows.schema).orderBy("key").drop("key").toArrow().combine_chunks()
-    own, counts = sample["places"].combine_chunks(), sample["counts"].combine_chunks()
-    return fitted(sample["y"].to_numpy(), own.value_lengths().to_numpy(), own.flatten().to_numpy(), counts.flatten().to_numpy(), sample["words"].to_numpy(), places)
+            lists, counts, words = batch.column(3), batch.column(4), batch.column(2).to_numpy()
+            sizes, at = lists.value_lengths().to_numpy(), number[lists.flatten().to_numpy()]
+            x = (10 * np.log1p(counts.flatten().to_numpy()) / np.sqrt(np.maximum(np.repeat(words, sizes), 1))).astype(np.float32)
+            ends = pa.array(np.r_[0, np.cumsum(at >= 0)][np.r_[0, np.cumsum(sizes)]], pa.int32())
+            own = [pa.ListArray.from_arrays(ends, pa.array(v[at >= 0])) for v in (at, x)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *own], names=["y", "key", "at", "x"])
+
+    sample = rows.mapInArrow(keep, "y int, key string, at array<int>, x array<float>").orderBy("key").drop("key").toArrow()
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in sample["at"].chunks])
+    at, x = (np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks]) for name in ("at", "x"))
+    y = sample["y"].to_numpy()
+    del sample
+    return fitted(y, sizes, at, x, places)
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
