@@ -25,8 +25,13 @@ million at most.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with
 one key are one node; all of them get its result, and ``kept``.  A null key is
-in no group: its ``component_id`` is null and the row is kept.  Other columns are
-not looked at.  An empty table gives no rows.
+in no group: its ``component_id`` is null and the row is kept.  Texts of any
+length are hashed as a whole.  Other columns, whatever their names, are not
+looked at; ``distinct_documents`` carries them along.  An empty table gives no
+rows.
+
+Sets and band values that more than a thousandth of all rows share are fewer than
+a thousand and are broadcast, so that no task gathers their rows.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, session_of, written
+from pricewright.llm.shared import byte_texts, joined_by_key, session_of, written
 
 BINS = 120
 WORDS, PERCENT = 3, 85
@@ -317,14 +322,15 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     session_of(docs)
     signed = written(signatures(docs, key, text, words, percent), "near-signatures")
     full = signed.where("n_shingles > 0 AND key IS NOT NULL")
-    sets = full.groupBy("digest").agg(F.min("key").alias("node"))
-    same = written(full.select("key", "digest").join(sets, "digest").select("key", "node"), "near-sets")
+    sets = full.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n")).where("n > 1")
+    same = joined_by_key(full.select("key", "digest"), sets, "digest", signed.count())
+    same = written(same.select("key", F.coalesce("node", "key").alias("node")), "near-sets")
     # Rows of one key with several sets bring the bands of all of them.
     nodes = full.join(same.where("key = node").select("node").distinct(), F.col("key") == F.col("node"), "left_semi")
     nodes = nodes.select(F.col("key").alias("node"), "bands").distinct()
     values = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = values.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n_nodes")).where("n_nodes > 1")
-    near = values.join(written(hubs, "near-hubs"), "band").where("node <> hub")
+    hubs = written(values.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
+    near = joined_by_key(values, hubs, "band", hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "inner").where("node <> hub")
     pairs = written(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes")
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
@@ -344,8 +350,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose key is its group's smallest, with all their columns."""
-    gone = grouped(docs, key, text, words, percent).where("NOT kept").select(F.col("key").alias("_gone")).distinct()
-    return docs.join(written(gone, "near-gone"), docs[key] == F.col("_gone"), "left_anti")
+    gone = grouped(docs, key, text, words, percent).where("NOT kept").select(F.col("key").alias("gone")).distinct()
+    gone = written(gone, "near-gone")
+    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
