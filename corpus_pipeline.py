@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-dedup, decontamination, mixing, token files.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``.  What nulls,
+empty and very long texts, ties, repeated rows, empty tables and extra columns
+give is what the stages' operators state; all stages take each of them.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ pre-tokens (a run of spaces with the characters up to the next space), each
 distinct pre-token is merged once, and its count is remembered.
 
 Null and empty texts have no tokens.  Very long pre-tokens take more rounds of
-the same arrays; nothing is truncated.
+the same arrays; nothing is truncated.  Every row is counted, repeated ones each
+and those with a null id, too; an empty table gives no rows.  Other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

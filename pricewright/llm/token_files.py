@@ -24,8 +24,9 @@ the writers but the files' names and order.  The frequency table (one
 count a vocabulary entry, 2**20 in sum) is written beside the files.
 
 Rows with a null or empty text hold the end id alone.  Rows with a null key come
-first.  Repeated keys stay separate rows, the shorter first.  An empty table
-gives no files and no rows.
+first.  Repeated keys stay separate rows, the shorter first.  A text of any
+length is one document of one block.  An empty table gives no files and no rows.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -33,8 +33,9 @@ def test_line_dedup(spark):
     assert got[20, "b.example"] == (1, 0, "Menu")
     assert got[21, ""] == (0, 0, "") and got[22, "a.example"] == (0, 0, "")
     assert line_dedup.report(spark.createDataFrame([], PAGES)).collect() == []
-    wide = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS host", "2 AS lines", "3 AS drop", "4 AS digest")
-    assert line_dedup.report(wide).count() == len(rows)
+    wide = spark.createDataFrame([*rows, (30, "http://c/", "<p>long line</p>" * 100_000)], PAGES).selectExpr("*", "1 AS host", "2 AS lines", "3 AS drop", "4 AS digest", "5 AS _host", "6 AS _lines", "7 AS kept")
+    assert line_dedup.report(wide).count() == len(rows) + 1
+    assert line_dedup.deduped(wide, line_dedup.html_lines("html"), line_dedup.host("url")).select("row.*").columns == wide.columns
 
 
 # --- 2: quality ---------------------------------------------------------------
@@ -83,9 +84,10 @@ def test_quality_order_and_clean_documents(spark, sf_dir):
 def test_mixing(spark, documents):
     rng = random.Random(0)
     rows = [(k, "w " * rng.randrange(0, 40), rng.choice(["a", "a", "a", "b", None])) for k in range(300)] + [(7, None, "c"), (8, "", "c"), (9, "x", "tiny"), (9, "x", "tiny")]
-    docs = documents(*rows).selectExpr("*", "1 AS size", "2 AS taken", "3 AS random")
+    rows += [(None, f"no id {k}", "a") for k in range(50)] + [(400, "long " * 50_000, "b")]
+    docs = documents(*rows).selectExpr("*", "1 AS size", "2 AS taken", "3 AS random", "4 AS _mix", "5 AS _copy", "6 AS row")
     out = mixing.report(docs).collect()
-    assert len(out) == len(rows) and sorted(map(tuple, mixing.report(docs).collect())) == sorted(map(tuple, out))
+    assert len(out) == len(rows) and sorted(map(tuple, mixing.report(docs).collect()), key=str) == sorted(map(tuple, out), key=str)
     total = sum(r.size for r in out)
     by = {}
     for r in out:
@@ -98,7 +100,8 @@ def test_mixing(spark, documents):
     split = mixing.mixed(docs, range_rows=10).select("_mix.taken").collect()
     assert sum(r.taken for r in split) == sum(r.taken for r in out)
     mixture = mixing.mixture(docs)
-    assert mixture.columns == docs.columns
+    assert mixture.columns == docs.columns and {tuple(r)[5:] for r in mixture.collect()} == {(1, 2, 3, 4, 5, 6)}
+    assert docs.where("doc_id IS NULL").select(mixing.random_key("doc_id", "text", "s")).distinct().count() == 50
     words = sum(len((r.text or "").split()) for r in mixture.collect())
     assert words == sum(r.taken for r in out)
     assert mixing.report(documents().limit(0)).collect() == []
@@ -434,9 +437,10 @@ def test_toxicity_against_loops_over_all_pairs():
         rows.append((int(len(found) > 2 and 6 in found), rng.randrange(1, 30), found))
     options = dict(rank=3, epochs=3, rate=0.2, shrink=0.1, seed=4)
     w, v, b, score, value = plain_machine(rows, **options)
-    y, sizes, words = (np.array(x) for x in zip(*((y, len(f), n) for y, n, f in rows), strict=True))
-    found, counts = (np.array([x for *_, f in rows for x in part(f)]) for part in (dict.keys, dict.values))
-    machine = toxicity.fitted(y, sizes, found, counts, words, sorted(w), last_epochs=0, **options)
+    y, sizes = (np.array(x) for x in zip(*((y, len(f)) for y, _, f in rows), strict=True))
+    at = np.array([sorted(w).index(p) for *_, f in rows for p in f], np.int32)
+    x = np.array([n for f in value for n in f.values()], np.float32)
+    machine = toxicity.fitted(y, sizes, at, x, sorted(w), last_epochs=0, **options)
     assert machine.bias == pytest.approx(b, rel=1e-6)
     for p in w:
         k = machine.places.get(p)

@@ -35,3 +35,16 @@ def test_stages(spark):
     tokens = stages["token_output"](spark, kept[4], SMALL)
     assert tokens.count() == kept[4].count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == {r.doc_id for r in tokens.collect()}
+
+
+def test_stages_with_odd_rows_and_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = [(None, docs.first()["text"], "en", None, 3), (-1, None, None, "s", None), (-2, "", "en", "s", 0), (-3, "word and more of it " * 20_000, "en", "s", 1)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).union(docs.limit(5)).selectExpr("*", "1 AS key", "2 AS _gone", "3 AS _mix", "4 AS row", "5 AS node")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = written(stage(spark, rows, SMALL), "test-stage")
+            assert rows.columns == docs.columns, name
+        tokens = corpus_pipeline.token_output(spark, rows, SMALL)
+        assert tokens.count() == rows.count()
+    assert rows.count() == 0
