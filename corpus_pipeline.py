@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricewright.llm import decontamination, mixing, near_dedup, quality, token_files
 from pricewright.llm.queries import table, tokenizer
-from pricewright.llm.shared import written
+from pricewright.llm.shared import remove, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if name != STAGES[0][0]:
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, joined_by_key, session_of, written
+from pricewright.llm.shared import byte_texts, joined_by_key, scratch, session_of, written
 
 BINS = 120
 WORDS, PERCENT = 3, 85
@@ -319,8 +319,17 @@ def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, w
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row."""
-    session_of(docs)
+    spark = session_of(docs)
     signed = written(signatures(docs, key, text, words, percent), "near-signatures")
+    with scratch(spark):
+        groups = written(_groups(docs, signed, key, text, words, percent), "near-components", keep=True)
+    of = F.coalesce("label", "key")
+    rows = signed.select("key", "n_shingles").join(groups, signed["key"] == groups["node"], "left")
+    return rows.select("key", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("key"), F.lit(True)).alias("kept"))
+
+
+def _groups(docs: DataFrame, signed: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(node, label) of the keys that are linked with another."""
     full = signed.where("n_shingles > 0 AND key IS NOT NULL")
     sets = full.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n")).where("n > 1")
     same = joined_by_key(full.select("key", "digest"), sets, "digest", signed.count())
@@ -343,9 +352,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     if more.limit(1).count():
         old = groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
         groups = components(old.unionByName(more))
-    of = F.coalesce("label", "key")
-    rows = signed.select("key", "n_shingles").join(groups, signed["key"] == groups["node"], "left")
-    return rows.select("key", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("key"), F.lit(True)).alias("kept"))
+    return groups
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

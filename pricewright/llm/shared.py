@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,27 +32,46 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's address below ``spark.checkpoint.dir``, which all machines share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Only where the setting is absent and all runs in one process (tests) a
+    temporary folder takes its place; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="pricewright-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders that the open ``scratch`` blocks delete at their end.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` inside is deleted at the end; what is to be kept, at the end of the next outer block."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for at in _SCRATCH.pop():
+            remove_folder(spark, at)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
     This cuts the lineage with copies that survive a lost executor.
     """
     spark = df.sparkSession
     at = shared_folder(spark, name)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, session_of, written
+from pricewright.llm.shared import byte_texts, scratch, session_of, written
 
 PLACES = 1 << 18
 MAX_ROWS, MAX_ENTRIES = 20_000, 12_000_000
@@ -169,7 +169,11 @@ def held_out(key: str) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, min_docs: int = MIN_DOCS) -> Machine:
     """Fit a machine on labelled rows that are not held out."""
-    session_of(docs)
+    with scratch(session_of(docs)):
+        return _learnt(docs, labels, key, text, label, max_rows, max_entries, min_docs)
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_entries: int, min_docs: int) -> Machine:
     train = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     total = train.count()
     if total > max_rows:

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import by_bytes, byte_texts, joined_by_key, remove_folder, session_of, shared_folder, written
+from pricewright.llm.shared import by_bytes, byte_texts, joined_by_key, remove_folder, scratch, session_of, shared_folder, written
 
 MIN_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -200,7 +200,7 @@ def write_archives(rows: DataFrame, payloads: str, folder: str, date: str | None
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "at")
-    return written(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
+    return written(dealt.mapInArrow(write, MANIFEST), "warc-manifest", keep=True)
 
 
 RECORD = "record_id string, key long, url string, record_type string, digest string, size long, refers_to long, refers_to_id string"
@@ -239,8 +239,8 @@ def written_and_read(pages: DataFrame, key: str = "page_id", url: str = "url", p
     """Write the archives of a table in the shared folder and read them back."""
     spark = session_of(pages)
     folder, payloads = shared_folder(spark, "warc"), shared_folder(spark, "warc-payloads")
-    headers = packed(pages, payloads, key, url, payload)
-    manifest = write_archives(resolved(headers), payloads, folder)
+    with scratch(spark):
+        manifest = write_archives(resolved(packed(pages, payloads, key, url, payload)), payloads, folder)
     remove_folder(spark, payloads)
     return read_archives(spark, manifest, folder)
 
