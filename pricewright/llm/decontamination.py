@@ -67,7 +67,7 @@ class WordHashes(dict):
         import xxhash
 
         plain = "".join(filter(str.isalnum, word.decode("utf-8", "replace").lower()))
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = (xxhash.xxh3_64_intdigest(plain.encode()) | 1) if plain else 0
         return found

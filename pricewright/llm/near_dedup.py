@@ -74,7 +74,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -240,19 +240,21 @@ def components(edges: DataFrame) -> DataFrame:
     the smaller ones in turn, until every group is a star; written in each turn.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
+    edges = written(edges, "near-edges")
+    before, n = None, edges.count()
     while True:
+        # A hub's edges are never gathered: its smallest neighbour is broadcast to them.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", F.least("w", "m"))
-        large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(least, large["u"] == least["w"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "near-groups")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = joined_by_key(both, least, "u", 2 * n, "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "near-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_by_key(large, least, "u", large.count(), "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "near-groups")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
+        before, n = now, now[0]
 
 
 def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:

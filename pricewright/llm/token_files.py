@@ -59,7 +59,7 @@ HEAD, POINT, LAST = "<4s6I", "<QQQI", "<QI4s"
 BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
 LANES, IDS_A_LANE = 1024, 64
 #: Parts of words that a worker remembers before it starts anew, and bytes of text encoded in one go.
-REMEMBERED, BYTES_AT_ONCE = 800_000, 4 << 20
+REMEMBERED, BYTES_AT_ONCE = 400_000, 2 << 20
 
 
 # --- tokenising -------------------------------------------------------------
