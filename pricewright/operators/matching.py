@@ -26,7 +26,9 @@ def candidates(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(request, level, rank, snapshot columns): the ranked candidates of each level."""
     s = snapshots.select(*(F.col(c).alias(f"s_{c}") for c in snapshots.columns))
     r = requests.withColumn("_variant", F.trim(known_variant(F.col("variant"))))
-    pairs = r.join(s, (F.trim(r["make"]) == s["s_make"]) & (F.trim(r["model"]) == s["s_model"]) & (F.abs(r["year"] - s["s_year"]) <= 2))
+    # The years around a request are part of the key, so a popular model is no one key.
+    r = r.withColumn("_year", F.explode(F.sequence(F.col("year") - 2, F.col("year") + 2)))
+    pairs = r.join(s, (F.trim(r["make"]) == s["s_make"]) & (F.trim(r["model"]) == s["s_model"]) & (r["_year"] == s["s_year"])).drop("_year")
     gap = F.abs(F.col("year") - F.col("s_year"))
     fits = F.col("_variant").isNull() | (F.col("_variant") == F.col("s_variant"))
     levels = F.array_compact(F.array(F.when(fits & (gap == 0), 1), F.when(fits & (gap <= 1), 2), F.lit(3)))

@@ -7,19 +7,26 @@ compared null-safely only where stated.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.operators.listings import first_of, total_order
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``old`` with the ``update`` columns from ``new`` where the key is known, and the rows of new keys.
 
-    Without ``update`` every column but the keys is replaced.
+    Without ``update`` every column but the keys is replaced.  Null keys are equal
+    to each other; of new rows with one key the first in the order of all columns
+    counts.
     """
     update = [c for c in new.columns if c not in keys] if update is None else list(update)
+    new = first_of(new, list(keys), total_order(new, *keys))
     left, right = old.withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
-    both = left.alias("o").join(right.alias("n"), list(keys), "full_outer")
+    same = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
+    both = left.alias("o").join(right.alias("n"), same, "full_outer")
 
     def value(c: str) -> Column:
         if c not in new.columns:
@@ -27,7 +34,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence
         first = F.col("_new") if c in update else F.col("_old").isNull()
         return F.when(first, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
 
-    return both.select(*keys, *(value(c) for c in old.columns if c not in keys))
+    return both.select(*(F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys), *(value(c) for c in old.columns if c not in keys))
 
 
 def find_or_create(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,17 +72,28 @@ def replace_groups(rows: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
 def publish(rows: DataFrame, folder: str, version: str, min_rows: int = 1) -> None:
     """Write a version beside the others, and then point to it.
 
-    Readers that resolved the pointer before go on with the version they have;
-    a version with too few rows is not pointed to.
+    A pointer is a new folder with the next number, complete once its _SUCCESS
+    file is there, and none is ever rewritten: readers find the one before until
+    then, also after a crash, and those that resolved it go on with their version.
+    A version with too few rows is not pointed to.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{folder}/version={version}")
     if spark.read.parquet(f"{folder}/version={version}").limit(min_rows).count() < min_rows:
         raise ValueError("the new version has too few rows")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_current")
+    number = max(_pointers(spark, folder), default=0) + 1
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{folder}/_current-{number:012d}")
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete pointers of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_current-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()
+    return [int(x.getPath().getParent().getName().rpartition("-")[2]) for x in found]
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that the pointer names."""
-    version = spark.read.parquet(f"{folder}/_current").first()["version"]
+    """The version that the newest complete pointer names."""
+    number = max(_pointers(spark, folder))
+    version = spark.read.parquet(f"{folder}/_current-{number:012d}").first()["version"]
     return spark.read.parquet(f"{folder}/version={version}")

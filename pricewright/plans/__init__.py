@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.plans import catalogue, market
+from pricewright.plans import catalogue, jobs, market
 
-MODULES = (market, catalogue)
+MODULES = (market, catalogue, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

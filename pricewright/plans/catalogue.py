@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +56,7 @@ def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid and quarantined scraped listings, by what became of them; all parts fold into 500 ids."""
-    return _quarantined(spark, sf_dir, F.col("id") % 500, 50)
-
-
-def quarantine_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with an id for every two neighbouring parts and prices within the bounds, so that both halves grow with the table."""
+    """Valid and quarantined scraped listings, by what became of them; two neighbouring parts share an id."""
     return _quarantined(spark, sf_dir, F.floor(F.col("id") / 2), 60)
 
 
@@ -130,9 +128,9 @@ def flat_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.specs(spark, sf_dir).where("year = 1998")
+    rows = V.specs(spark, sf_dir)
     packages = rows.where("package IS NOT NULL").select("make", "model", "package").distinct()
-    return prices.catalogue(rows.select("make", "model", "variant"), packages, (1999, 2000, 2001), ["make", "model"]).select("make", "model", "variant", "package", "year")
+    return prices.catalogue(rows.select("make", "model", "variant").distinct(), packages, (1999, 2000, 2001), ["make", "model"]).select("make", "model", "variant", "package", "year")
 
 
 def spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,16 +183,19 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def published_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A version that is written, checked, pointed to and read again."""
+def versions_folder(spark: SparkSession) -> str:
+    """A new folder for versions of a table below ``spark.checkpoint.dir``; in tests on one machine a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="versions-")
-    import uuid
+    return f"{base.rstrip('/')}/versions-{uuid.uuid4().hex}"
+
 
-    folder = f"{base.rstrip('/')}/versions-{uuid.uuid4().hex}"
+def published_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version that is written, checked, pointed to and read again."""
+    folder = versions_folder(spark)
     rows = V.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
     mutations.publish(rows.limit(0).unionByName(rows), folder, "a")
     mutations.publish(rows.where("n > 0"), folder, "b")
@@ -251,11 +252,6 @@ def unknown_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the customers with keys up to 1,000; ``permission_check_all`` has every customer."""
-    return _permissions(V.table(spark, sf_dir, "customer").where("c_custkey <= 1000"))
-
-
-def permission_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _permissions(V.table(spark, sf_dir, "customer"))
 
 
@@ -266,11 +262,6 @@ def _permissions(rows: DataFrame) -> DataFrame:
 
 
 def damage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the distinct conditions of order lines; ``damage_points_all`` has every line."""
-    return _points(spark, sf_dir)
-
-
-def damage_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir, "l_orderkey", "l_linenumber")
 
 
@@ -311,7 +302,6 @@ def dimension_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing rows out of pages' HTML, by regular expressions."""
     return html.rows_by_pattern(_pages(spark, sf_dir), "body").select("page", "year", "price", "tag")
 
 
@@ -320,31 +310,15 @@ def html_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pages by an HTML parser; agrees with the patterns."""
     return html.rows_by_class(_pages(spark, sf_dir), "body", ["page"]).select("page", "listing_id", "title", "year", "price", "tag")
 
 
-def html_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.rows_by_pattern(_all_pages(spark, sf_dir), "body").select("page", "year", "price", "tag")
-
-
-def html_prices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.harvested_prices(_all_pages(spark, sf_dir), "body").groupBy("page").agg(F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most"))
-
-
-def html_parsed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.rows_by_class(_all_pages(spark, sf_dir), "body", ["page"]).select("page", "listing_id", "title", "year", "price", "tag")
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A results page for every model, of the listings whose price is a multiple of 40; ``_all_pages`` has all."""
-    rows = V.unique_listings(spark, sf_dir).where("price % 40 = 0")
-    return _paged(rows, F.concat_ws("/", "make", F.concat("model", F.lit(".html"))))
+    return pages_of(V.unique_listings(spark, sf_dir))
 
 
-def _all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages_of(rows: DataFrame) -> DataFrame:
     """Results pages of all listings, as many a model as give about ``PAGE_ROWS`` listings each."""
-    rows = V.unique_listings(spark, sf_dir)
     models = rows.groupBy("make", "model").agg(F.ceil(F.count("*") / html.PAGE_ROWS).alias("pages"))
     number = F.conv(F.substring(F.md5(F.col("listing_id").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("pages")
     return _paged(rows.join(models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")))
@@ -386,9 +360,9 @@ def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    canonical_names, cleaned_names, quarantine_split, quarantine_split_all, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
+    canonical_names, cleaned_names, quarantine_split, parsed_numbers, technical_data, depreciation, recalibrated_prices, inflation_sync, fallback_prices, flat_prices, spec_cross, spec_lookup,
     models_without_specs, upsert_merge, find_or_create, conditional_update, replace_prices, filtered_delete, cascade_delete, published_version, facets, dashboard_kpis, latest_page, recent_joined, price_list,
-    text_search, term_search, nested_exists, unknown_brands, permission_check, permission_check_all, damage_points, damage_points_all, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, html_rows_all, html_prices_all, html_parsed_all, price_display, event_windows,
+    text_search, term_search, nested_exists, unknown_brands, permission_check, damage_points, json_details, import_rows, dimension_keys, html_rows, html_prices, html_parsed, price_display, event_windows,
     event_sessions, price_rollup,
 )
 
@@ -451,7 +425,8 @@ _PACKAGE = "CASE " + " ".join(f"WHEN pkg IN {tuple(n)} THEN {_D(f)}" for n, f in
 _OLD_NEW = """WITH o AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_partkey % 3 <> 0), n AS (
   SELECT p_partkey, p_brand, p_size + 100 AS p_size, CASE WHEN p_size % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_partkey % 3 <> 1)"""
 _SEGMENT = lambda k: f"CASE WHEN {_any(['lower(make)'], curves.SEGMENTS[0][0])} THEN {curves.SEGMENTS[0][k]} WHEN {_any(['lower(make)'], curves.SEGMENTS[1][0])} THEN {curves.SEGMENTS[1][k]} WHEN {_any(['lower(make)'], curves.SEGMENTS[2][0])} OR contains(lower(model), 'clio') THEN {curves.SEGMENTS[2][k]} ELSE {curves.DEFAULT_SEGMENT[k - 1]} END"
-_HTML = f"""WITH {V.LISTINGS}, shown AS (SELECT concat(make, '/', model, '.html') AS page, * FROM unique_listings WHERE price % 40 = 0)"""
+_HTML = f"""WITH {V.LISTINGS}, counted AS (SELECT *, ceil(count(*) OVER (PARTITION BY make, model) / {html.PAGE_ROWS})::BIGINT AS pages FROM unique_listings),
+shown AS (SELECT concat(make, '/', model, '-', ('0x' || substr(md5(listing_id), 1, 8))::BIGINT % pages, '.html') AS page, * FROM counted)"""
 _STATE = lambda k: f"['DEGISEN', 'BOYALI', 'LOKAL', 'ORIJINAL'][1 + (n + {k}) % 4]"
 _PARTS = {"Motor Kaputu": _STATE("0"), "Tavan": _STATE("1"), "Sol Kapı": _STATE("2"), "Sağ Kapı": _STATE("n % 3")}
 _POINTS = " + ".join(f"CASE {s} " + " ".join(f"WHEN '{state}' THEN {v[0] if part in serving.MAIN_PARTS else v[1]}" for state, v in serving.PART_POINTS.items()) + " ELSE 0 END" for part, s in _PARTS.items())
@@ -464,7 +439,7 @@ ORACLES = {
       regexp_matches(lower({_fold("coalesce(title, '')")}), '\\b(agir hasar\\w*|pert)\\b') AS is_damaged_strict, CASE WHEN trim(coalesce(variant, '')) NOT IN ('', 'Standart', 'FarkliVaryant') THEN variant END AS known_variant,
       regexp_matches(trim(coalesce(variant, '')), '^[0-9]+$') AS is_number FROM c""",
     "quarantine_split": f"""WITH {_CANONICAL}, judged AS (
-        SELECT (id % 500)::VARCHAR AS listing_id, cmake, cmodel, cvariant, title, (1990 + id % 40)::INT AS year, id * 997 % 300000 AS mileage, round(p_retailprice * 50)::BIGINT AS price, raw_make, raw_model, {_DAMAGED} AS is_damaged,
+        SELECT (id // 2)::VARCHAR AS listing_id, cmake, cmodel, cvariant, title, (1990 + id % 40)::INT AS year, id * 997 % 300000 AS mileage, round(p_retailprice * 60)::BIGINT AS price, raw_make, raw_model, {_DAMAGED} AS is_damaged,
           CASE WHEN price NOT BETWEEN 50000 AND 150000000 THEN '{listings.BAD_PRICE}' WHEN year NOT BETWEEN 1980 AND 2026 THEN '{listings.BAD_YEAR}' ELSE reason END AS why FROM canonical),
       bad AS (SELECT * FROM judged WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id, why ORDER BY price, listing_id, why, raw_make NULLS LAST, raw_model NULLS LAST, year) = 1),
       good AS (SELECT *, CASE WHEN mileage NOT IN (year, price) THEN mileage END AS km FROM judged WHERE why IS NULL
@@ -493,8 +468,8 @@ ORACLES = {
       SELECT make, model, variant, year, CASE WHEN a IS NULL THEN 'Fallback Model' ELSE 'Scraped' END AS source, coalesce(a, b) AS average, coalesce(c, {_R('b * 1.05::DOUBLE')}) AS clean_average FROM back LEFT JOIN known USING (make, model, variant, year)""",
     "flat_prices": f"""WITH {V.LISTINGS}, v AS (SELECT make, model, list(price ORDER BY price) AS v FROM listings GROUP BY ALL)
       SELECT make, model, unnest([2024, 2023, 2022, 2021, 2020]) AS year, len(v)::INT AS n, {", ".join(f"v[1 + floor(len(v) * {p}::DOUBLE)::INT] AS {c}" for c, p in (("min_price", 0.05), ("cash_price", 0.35), ("average", 0.5), ("listing_price", 0.6), ("max_price", 0.95)))} FROM v""",
-    "spec_cross": f"""WITH {V.SPECS}, p AS (SELECT DISTINCT make, model, package FROM specs WHERE year = 1998 AND package IS NOT NULL)
-      SELECT s.make, s.model, variant, p.package, unnest([1999, 2000, 2001]) AS year FROM specs s LEFT JOIN p ON s.make = p.make AND s.model = p.model WHERE s.year = 1998""",
+    "spec_cross": f"""WITH {V.SPECS}, p AS (SELECT DISTINCT make, model, package FROM specs WHERE package IS NOT NULL), v AS (SELECT DISTINCT make, model, variant FROM specs)
+      SELECT v.make, v.model, variant, p.package, unnest([1999, 2000, 2001]) AS year FROM v LEFT JOIN p ON v.make = p.make AND v.model = p.model""",
     "spec_lookup": f"""WITH {V.LISTINGS}, {V.SPECS} SELECT listing_id, coalesce(body, '') AS body, coalesce(fuel, '') AS fuel, coalesce(transmission, '') AS transmission
       FROM listings l LEFT JOIN specs s ON lower(s.make) = lower(l.make) AND s.model = l.model AND lower(s.variant) = lower(l.variant) AND s.year = l.year + l.price % 2""",
     "models_without_specs": f"WITH {V.SPECS} SELECT DISTINCT make, variant FROM specs EXCEPT SELECT make, variant FROM specs WHERE size > 10",
@@ -519,9 +494,9 @@ ORACLES = {
     "term_search": "SELECT p_partkey, p_brand, p_type FROM part WHERE contains(p_brand, '#13') OR contains(p_type, 'PROMO') OR contains(p_brand, 'PROMO') OR contains(p_type, '#13')",
     "nested_exists": "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (FROM customer WHERE c_nationkey = n_nationkey AND EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000))",
     "unknown_brands": "SELECT DISTINCT p_brand FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size > 45)",
-    "permission_check": """SELECT c_custkey, c_custkey % 5 = 0 OR c_custkey % 7 <> 0 AND c_mktsegment = 'BUILDING' AS permitted FROM customer WHERE c_custkey <= 1000""",
-    "damage_points": f"""WITH l AS (SELECT DISTINCT l_quantity, l_returnflag, l_linestatus, l_tax, l_quantity::INT AS n FROM lineitem)
-      SELECT l_quantity, l_returnflag, l_linestatus, l_tax, least(60, {_POINTS} + CASE WHEN l_returnflag = 'R' THEN 35 ELSE 0 END + CASE WHEN l_tax > 0.07::DOUBLE THEN 25 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END)::INT AS points,
+    "permission_check": """SELECT c_custkey, c_custkey % 5 = 0 OR c_custkey % 7 <> 0 AND c_mktsegment = 'BUILDING' AS permitted FROM customer""",
+    "damage_points": f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus, l_tax, l_quantity::INT AS n FROM lineitem)
+      SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus, l_tax, least(60, {_POINTS} + CASE WHEN l_returnflag = 'R' THEN 35 ELSE 0 END + CASE WHEN l_tax > 0.07::DOUBLE THEN 25 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END)::INT AS points,
       {_IN_STATE('DEGISEN')} AS replaced, {_IN_STATE('BOYALI')} AS painted FROM l""",
     "json_details": """SELECT event_id, k, CASE WHEN k IS NULL THEN concat('{"id":', event_id, '}') ELSE concat('{"k":', k, ',"id":', event_id, '}') END AS json
       FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN (props->>'$.k')::INT END AS k FROM events)""",
@@ -541,11 +516,3 @@ ORACLES = {
       c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY 1""",
     "price_rollup": f"WITH {V.LISTINGS} SELECT make, model, year, count(*) AS n, sum(price)::BIGINT AS total, grouping(make, model, year)::INT AS level FROM listings GROUP BY ROLLUP (make, model, year)",
 }
-
-# Whole tables: the same SQL without its cut.
-ORACLES["permission_check_all"] = ORACLES["permission_check"].replace(" WHERE c_custkey <= 1000", "")
-_ALL_HTML = f"""WITH {V.LISTINGS}, counted AS (SELECT *, ceil(count(*) OVER (PARTITION BY make, model) / {html.PAGE_ROWS})::BIGINT AS pages FROM unique_listings),
-shown AS (SELECT concat(make, '/', model, '-', ('0x' || substr(md5(listing_id), 1, 8))::BIGINT % pages, '.html') AS page, * FROM counted)"""
-ORACLES |= {f"{k}_all": ORACLES[k].replace(_HTML, _ALL_HTML) for k in ("html_rows", "html_prices", "html_parsed")}
-ORACLES["quarantine_split_all"] = ORACLES["quarantine_split"].replace("(id % 500)", "(id // 2)").replace("p_retailprice * 50)", "p_retailprice * 60)")
-ORACLES["damage_points_all"] = ORACLES["damage_points"].replace("SELECT DISTINCT l_quantity", "SELECT l_orderkey, l_linenumber, l_quantity").replace("SELECT l_quantity, l_returnflag", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag", 1)

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.operators import imports, listings, mutations, serving, snapshots
+from pricewright.operators import imports, listings, mutations, requests, serving, snapshots
 from pricewright.operators.normalize import BAD_MAKE, BAD_MODEL, canonical
 from pricewright.sources import files, html
 from pricewright.streaming import jobs
@@ -62,6 +62,38 @@ def test_mutations(spark):
     assert get(mutations.upsert(old.limit(0), new, ["id"])) == [(2, "B", 25), (3, "c", 30)]
 
 
+def test_upsert_of_repeated_and_null_keys(spark):
+    schema = "id int, name string, price int"
+    old = spark.createDataFrame([(1, "a", 10), (None, "n", 1)], schema)
+    new = spark.createDataFrame([(1, "b", 7), (1, "b", 5), (None, "m", 2), (4, "d", 4), (4, "c", 9)], schema)
+    assert sorted(map(tuple, mutations.upsert(old, new, ["id"]).collect()), key=str) == sorted([(1, "b", 5), (None, "m", 2), (4, "c", 9)], key=str)
+
+
+def test_an_incomplete_pointer_is_not_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    mutations.publish(spark.range(3), folder, "1")
+    (tmp_path / "t" / "_current-000000000009").mkdir()
+    assert mutations.current(spark, folder).count() == 3
+    mutations.publish(spark.range(4), folder, "2")
+    assert mutations.current(spark, folder).count() == 4
+
+
+def test_checked_requests(spark):
+    rows = spark.createDataFrame([("34ABC123", "05321234567", "5"), ("82A12", "5321234567", "-1"), (None, "123", "x"), ("34ABC123", "05321234567", " ")], "plate string, phone string, desired string")
+    found = requests.checked(rows, ["plate", "phone", "desired"], not_negative=["desired"])
+    assert [r.errors for r in found.collect()] == [[], ["desired:negative", "plate:pattern"], ["desired:number", "phone:pattern", "plate:required"], ["desired:required"]]
+    good, bad = requests.accepted(found)
+    assert good.columns == rows.columns and (good.count(), bad.count()) == (1, 3)
+
+
+def test_log_is_only_appended_to(spark, tmp_path):
+    events = spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS ts, 'x' AS what")
+    for _ in range(2):
+        requests.logged(events, f"file://{tmp_path}/log")
+    assert spark.read.parquet(f"file://{tmp_path}/log").where("day = '2024-01-02'").count() == 2
+    assert requests.by_key(events, "what", "x").count() == 1
+
+
 def test_publish_keeps_readers_and_refuses_empty_versions(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     mutations.publish(spark.range(3), folder, "1")
