@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pricewright.config import DEFAULT, PricingConfig
 from pricewright.functions.curves import by_year, fallback_price, market_prices
-from pricewright.functions.numbers import at_rank, half_up
+from pricewright.functions.numbers import half_up
 from pricewright.operators.listings import first_of
+from pricewright.operators.snapshots import at, ranked
 
 
 def recalibrated(specs: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
@@ -41,9 +42,10 @@ def with_fallback(specs: DataFrame, averages: DataFrame, keys: Sequence[str], co
 
 def fanned_out(listings: DataFrame, keys: Sequence[str], years: Sequence[int]) -> DataFrame:
     """The prices of a file, taken flat for each of some fixed years."""
-    rows = listings.groupBy(*keys).agg(F.array_sort(F.collect_list("price")).alias("v"))
-    points = {name: at_rank(F.col("v"), share) for name, share in (("min_price", 0.05), ("cash_price", 0.35), ("average", 0.5), ("listing_price", 0.6), ("max_price", 0.95))}
-    return rows.select(*keys, F.explode(F.array(*map(F.lit, years))).alias("year"), F.size("v").alias("n"), *(x.alias(k) for k, x in points.items()))
+    shares = {"min_price": 0.05, "cash_price": 0.35, "average": 0.5, "listing_price": 0.6, "max_price": 0.95}
+    points = [at(F.floor(F.col("total") * F.lit(share))).alias(name) for name, share in shares.items()]
+    rows = ranked(listings, keys, F.col("price")).groupBy(*keys).agg(F.first("total").cast("int").alias("n"), *points)
+    return rows.select(*keys, F.explode(F.array(*map(F.lit, years))).alias("year"), "n", *shares)
 
 
 def catalogue(variants: DataFrame, packages: DataFrame, years: Sequence[int], keys: Sequence[str]) -> DataFrame:

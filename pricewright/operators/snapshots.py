@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricewright.config import DEFAULT, PricingConfig
 from pricewright.functions.numbers import at_rank, clamp, half_up, slope, spread, total, without_outliers
@@ -77,12 +78,39 @@ def with_specs(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def percentile_prices(prices: DataFrame, keys: Sequence[str], price: str = "price") -> DataFrame:
-    """Interpolated percentiles and trimmed mean of positive prices per key."""
-    from pricewright.functions.numbers import interpolated, trimmed_mean
-
-    rows = prices.where(F.col(price) > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(price).cast("double"))).alias("v"))
-    points = {f"p{p}": interpolated(F.col("v"), p) for p in (5, 35, 50, 60, 95)}
-    return rows.select(*keys, F.size("v").alias("n"), *(x.alias(k) for k, x in points.items()), trimmed_mean(F.col("v")).alias("clean_average"))
+    """Interpolated percentiles and trimmed mean of positive prices per key.
+
+    A percentile between two prices is rounded.  For the mean the lowest and
+    highest tenth goes, one price at least at each end, if there are five or more.
+    """
+    rows = ranked(prices.where(F.col(price) > 0), keys, F.col(price).cast("double"))
+    n, aggregates, points = F.col("total"), [], {}
+    for p in (5, 35, 50, 60, 95):
+        place = F.lit(p / 100.0) * (n - 1)
+        aggregates += [at(F.floor(place)).alias(f"low{p}"), at(F.ceil(place)).alias(f"high{p}")]
+        weight = F.lit(p / 100.0) * (F.col("n") - 1)
+        weight = weight - F.floor(weight)
+        points[f"p{p}"] = F.when(weight == 0, F.col(f"low{p}")).otherwise(half_up(F.col(f"low{p}") * (1 - weight) + F.col(f"high{p}") * weight).cast("double"))
+    cut = F.when(n <= 4, 0).otherwise(F.greatest(F.lit(1), F.floor(n * F.lit(0.1))))
+    inside = F.greatest(F.lit(0), F.least(F.col("before") + F.col("times"), n - cut) - F.greatest(F.col("before"), cut))
+    found = rows.groupBy(*keys).agg(F.first("total").alias("n"), *aggregates, F.sum(F.col("value") * inside).alias("sum"), F.sum(inside).alias("used"))
+    return found.select(*keys, F.col("n").cast("int").alias("n"), *(x.alias(k) for k, x in points.items()), half_up(F.col("sum") / F.col("used")).alias("clean_average"))
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """(keys, value, times, before, total): how often each value of a key occurs, how many are smaller, and how many there are.
+
+    Equal values are counted before the shuffle by key, and no key's values are
+    gathered in one row.  Nulls count 0 times.
+    """
+    counts = rows.select(*keys, value.alias("value")).groupBy(*keys, "value").agg(F.count("value").alias("times"))
+    run = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.select(*keys, "value", "times", (F.sum("times").over(run) - F.col("times")).alias("before"), F.sum("times").over(Window.partitionBy(*keys)).alias("total"))
+
+
+def at(rank: Column) -> Column:
+    """The value at a rank from 0, an aggregate over ``ranked`` rows; null beyond the last."""
+    return F.min(F.when(F.col("before") + F.col("times") > rank, F.col("value")))
 
 
 def two_averages(listings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.operators import imports, listings, mutations, requests, serving, snapshots
+from pricewright.functions import numbers
+from pricewright.operators import imports, listings, mutations, prices, requests, serving, snapshots
 from pricewright.operators.normalize import BAD_MAKE, BAD_MODEL, canonical
 from pricewright.sources import files, html
 from pricewright.streaming import jobs
@@ -189,3 +190,14 @@ def test_streams(spark, tmp_path):
     snaps = spark.createDataFrame([("A", "B", "C", 2020, 100)], "make string, model string, variant string, year int, p50 int")
     rows = spark.createDataFrame([("A", "B", "C", 2020, 80), ("A", "B", "C", 2020, 90)], "make string, model string, variant string, year int, price int")
     assert [r.price for r in jobs.price_alerts(rows, snaps).collect()] == [80]
+
+
+def test_percentiles_without_lists_agree_with_those_of_arrays(spark):
+    prices_of = {"a": [5, 1, 1, 9, 7, 3, 3, 3, 8, 2, 6, 4], "b": [10], "c": [4, 4], "d": [1, 2, 3, 4, 5], "e": [None], "f": list(range(1, 101))}
+    rows = spark.createDataFrame([(k, x) for k, v in prices_of.items() for x in v], "k string, price long")
+    got = {r.k: r for r in snapshots.percentile_prices(rows, ["k"]).collect()}
+    arrays = rows.where("price > 0").groupBy("k").agg(F.array_sort(F.collect_list(F.col("price").cast("double"))).alias("v"))
+    want = arrays.select("k", F.size("v").alias("n"), *(numbers.interpolated(F.col("v"), p).alias(f"p{p}") for p in (5, 35, 50, 60, 95)), numbers.trimmed_mean(F.col("v")).alias("clean_average"))
+    assert got == {r.k: r for r in want.collect()} and "e" not in got
+    flat = {r.k: (r.n, r.cash_price, r.max_price) for r in prices.fanned_out(rows, ["k"], (2024,)).collect()}
+    assert flat == {k: (len(v), v[int(len(v) * 0.35)] if v else None, v[int(len(v) * 0.95)] if v else None) for k, v in ((k, sorted(x for x in v if x is not None)) for k, v in prices_of.items())}
