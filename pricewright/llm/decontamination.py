@@ -300,7 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         rows = written(docs.select(F.col(key).alias("key"), F.md5(F.col(text).cast("binary")).alias("digest")), "document-digests")
         held = found.groupBy("digest").agg(F.collect_list(F.struct("item", "n_matched", "n_item_words")).alias("held"))
         often = rows.join(found.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.count("*").alias("n"))
-        rows = joined_by_key(rows, held.join(often, "digest"), "digest", rows.count(), "inner")
+        rows = joined_by_key(rows, written(held.join(often, "digest"), "benchmark-held"), "digest", rows.count(), "inner")
         return rows.select(F.col("key").alias(key), F.explode("held").alias("held")).select(F.col(f"`{key}`"), F.col("held.item").alias(item), "held.n_matched", "held.n_item_words")
     index = _broadcast_index(items, min_words)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` long, n_matched int, n_item_words int"

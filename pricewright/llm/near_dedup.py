@@ -187,7 +187,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int =
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(sign, SIGNATURES)
 
 
-def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, n_pairs: int, words: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough, from (node, text) rows.
 
     For each a the texts of its partners are streamed past its own.  An a with
@@ -196,7 +196,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKS).alias("parts"))
     legs = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     legs = legs.select(F.col("b").alias("id"), "a", "part").unionByName(legs.select(F.col("a").alias("id"), "a", "part").distinct())
-    rows = texts.withColumnRenamed("node", "id").join(written(legs, "near-checks"), "id")
+    rows = texts.withColumnRenamed("node", "id").join(written(legs, "near-checks", rows=2 * n_pairs), "id")
     rows = rows.select("a", "part", (F.col("id") != F.col("a")).alias("partner"), F.col("id").alias("b"), "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "partner", "b")
@@ -233,11 +233,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (a.size + b.size - both)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of (a, b) edges can reach.
+def components(edges: DataFrame, n: int) -> DataFrame:
+    """(node, label): the smallest node that each node of ``n`` (a, b) edges, at most, can reach.
 
     Edges are turned to the smallest neighbour, of the larger neighbours and of
     the smaller ones in turn, until every group is a star; written in each turn.
+    No turn makes more edges than there were.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
@@ -248,14 +249,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, large["u"] == least["w"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "near-groups")
+        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "near-groups", rows=n)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
+        before, n = now, now[0]
 
 
-def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, n_nodes: int, words: int, percent: int) -> DataFrame:
     """(a, b): links between different groups of ``candidates``, (node, label) clusters.
 
     A cluster's largest group is its core.  Blocks of the other nodes meet each
@@ -264,10 +265,10 @@ def crossing_links(texts: DataFrame, candidates: DataFrame, groups: DataFrame, w
     likeliest first, skips those that are joined already, and gives what joins.
     """
     members = candidates.select(F.col("label").alias("cluster"), "node").unionByName(candidates.select(F.col("label").alias("cluster"), F.col("label").alias("node")).distinct())
-    members = written(members.join(groups, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("group")), "near-members")
+    members = written(members.join(groups, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("group")), "near-members", rows=n_nodes)
     sizes = members.groupBy("cluster", "group").agg(F.count("*").alias("n"))
     clusters = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("core"), F.max("n").alias("n_core"), F.sum("n").alias("n")).where("n > n_core AND n > 2")
-    rows = members.join(written(clusters, "near-clusters"), "cluster")
+    rows = members.join(written(clusters, "near-clusters", rows=n_nodes), "cluster")
     rows = rows.withColumns({"others": F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int"), "cores": F.ceil(F.col("n_core") / BLOCK).cast("int")})
     inside = F.col("group") == F.col("core")
     own = F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
@@ -322,36 +323,39 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     spark = session_of(docs)
     signed = written(signatures(docs, key, text, words, percent), "near-signatures")
     with scratch(spark):
-        groups = written(_groups(docs, signed, key, text, words, percent), "near-components", keep=True)
+        n = signed.count()
+        groups = written(_groups(docs, signed, n, key, text, words, percent), "near-components", keep=True, rows=n)
     of = F.coalesce("label", "key")
     rows = signed.select("key", "n_shingles").join(groups, signed["key"] == groups["node"], "left")
     return rows.select("key", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("key"), F.lit(True)).alias("kept"))
 
 
-def _groups(docs: DataFrame, signed: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(node, label) of the keys that are linked with another."""
+def _groups(docs: DataFrame, signed: DataFrame, n: int, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(node, label) of the keys that are linked with another; ``signed`` has n rows."""
     full = signed.where("n_shingles > 0 AND key IS NOT NULL")
     sets = full.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n")).where("n > 1")
-    same = joined_by_key(full.select("key", "digest"), sets, "digest", signed.count())
-    same = written(same.select("key", F.coalesce("node", "key").alias("node")), "near-sets")
+    same = joined_by_key(full.select("key", "digest"), written(sets, "near-digests", rows=n), "digest", n)
+    same = written(same.select("key", F.coalesce("node", "key").alias("node")), "near-sets", rows=n)
     # Rows of one key with several sets bring the bands of all of them.
     nodes = full.join(same.where("key = node").select("node").distinct(), F.col("key") == F.col("node"), "left_semi")
     nodes = nodes.select(F.col("key").alias("node"), "bands").distinct()
     values = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = written(values.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
-    near = joined_by_key(values, hubs, "band", hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "inner").where("node <> hub")
-    pairs = written(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes")
+    hubs = written(values.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs", rows=n * banding(percent) // 2)
+    n_near = hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = joined_by_key(values, hubs, "band", n_near, "inner").where("node <> hub")
+    pairs = written(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs", rows=n_near)
+    n_pairs = pairs.count()
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes", rows=n)
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
     texts = written(texts, "near-texts")
-    links = verified(texts, pairs, words, percent)
+    links = verified(texts, pairs, n_pairs, words, percent)
     alike = same.where("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
     # Keys of one set are joined from the start: a key may stand for several sets.
-    groups = components(links.unionByName(alike))
-    more = crossing_links(texts, components(pairs), groups, words, percent)
-    if more.limit(1).count():
+    groups = components(links.unionByName(alike), n_pairs + n)
+    more = crossing_links(texts, components(pairs, n_pairs), groups, n, words, percent)
+    if n_more := more.count():
         old = groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        groups = components(old.unionByName(more))
+        groups = components(old.unionByName(more), n + n_more)
     return groups
 
 

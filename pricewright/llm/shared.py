@@ -63,12 +63,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, at)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+#: Rows of a part file where a frame's number of rows is known to be small.
+FILE_ROWS = 10_000
+
+
+def written(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
-    This cuts the lineage with copies that survive a lost executor.
+    This cuts the lineage with copies that survive a lost executor.  ``rows`` is
+    a bound for the number of its rows, which are short: then there are no more
+    tasks and files than that takes.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     at = shared_folder(spark, name)
     if len(_SCRATCH) > keep:
         _SCRATCH[-1 - keep].append(at)
@@ -100,9 +108,9 @@ def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, how:
     Fewer than ``HOT_SHARE`` keys can have more than that share of ``n_rows``
     each, so those facts are small whatever the table, and are broadcast; the
     rows of all others are shuffled.  Both frames have no columns in common but
-    the key, which is not null in ``facts``.
+    the key, which is not null in ``facts``.  ``facts`` are read twice, so they
+    are best ``written``.
     """
-    facts = written(facts, "facts")
     hot, cold = F.broadcast(facts.where(F.col("n") * HOT_SHARE > n_rows)), facts.where(F.col("n") * HOT_SHARE <= n_rows)
     others = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
     return rows.join(hot, key).unionByName(others)

@@ -84,7 +84,7 @@ def resolved(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     large, total = headers.where(F.col("size") >= min_bytes), headers.count()
     first = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "url", "file", "offset", "at")).alias("first")).where("n > 1")
     again = F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first.key"))
-    rows = joined_by_key(headers, first, "digest", total)
+    rows = joined_by_key(headers, written(first, "warc-first"), "digest", total)
     return rows.select(
         *headers.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.key")).alias("refers_to"),
         F.when(again, F.col("first.url")).alias("refers_to_url"), F.when(again, F.concat_ws("/", "first.file", "first.offset", "first.at")).alias("refers_to_place"),
