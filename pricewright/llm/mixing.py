@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from pricewright.llm.shared import WORD_PATTERN, written
 
 #: Documents of a key range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def words(text: str) -> Column:
