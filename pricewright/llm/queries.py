@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_files, toxicity, warc
+from pricewright.llm import collocations, decontamination, importance, languages, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op6_near_dedup, op7_warc, op8_token_counts, op9_suffix_dedup, op10_toxicity)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.predicted(docs, languages.learn(docs))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_line_dedup, op2_quality_rules, op3_source_mix, op4_decontamination, op5_token_files, op6_near_dedup, op7_warc, op8_token_counts, op9_suffix_dedup, op10_toxicity, op11_importance, op12_languages, op13_collocations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_source_mix": mixing.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_source_mix": mixing.ORACLE, "op7_warc": warc.ORACLE, "op11_importance": importance.ORACLE, "op13_collocations": collocations.ORACLE}

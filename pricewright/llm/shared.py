@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import functools
 import re
 import tempfile
 import uuid
@@ -48,18 +50,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that the open ``scratch`` blocks delete at their end.
-_SCRATCH: list[list[str]] = []
+#: Folders that the open ``scratch`` blocks of this thread or task delete at their end.
+#: Each has a stack of its own, so queries that run side by side in one session do not meet.
+_SCRATCH: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is ``written`` inside is deleted at the end; what is to be kept, at the end of the next outer block."""
-    _SCRATCH.append([])
+    own: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), own))
     try:
         yield
     finally:
-        for at in _SCRATCH.pop():
+        _SCRATCH.reset(token)
+        for at in own:
             remove_folder(spark, at)
 
 
@@ -78,8 +83,9 @@ def written(df: DataFrame, name: str, keep: bool = False, rows: int | None = Non
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
     at = shared_folder(spark, name)
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(at)
+    blocks = _SCRATCH.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -131,3 +137,44 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if part.size else np.zeros(1, int)
     for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield batch.slice(low, high - low)
+
+
+#: Lengths for which the effect of appended bytes on a checksum is tabulated whole.
+SHORT = 128
+
+
+@functools.lru_cache(maxsize=1)
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """How a crc32 moves on when bytes follow: by 0 to SHORT - 1 bytes, and by 2**k bytes.
+
+    A table has the effect of each byte of the checksum, which add up by xor.
+    """
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, (step >> 1) ^ np.uint32(0xEDB88320), step >> 1)
+    short = [np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]]
+    for _ in range(SHORT - 1):
+        short.append((short[-1] >> 8) ^ step[short[-1] & 255])
+    doubled = [short[1]]
+    for _ in range(31):
+        t = doubled[-1]
+        doubled.append(t[0][t & 255] ^ t[1][(t >> 8) & 255] ^ t[2][(t >> 16) & 255] ^ t[3][t >> 24])
+    return np.array(short), np.array(doubled)
+
+
+def crc_after(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """crc32 of joint byte strings, from those of their two parts and the right part's ``size`` in bytes."""
+    short, doubled = _crc_tables()
+    moved = np.empty_like(left)
+    if size.size and int(size.max()) >= SHORT:
+        few = size < SHORT
+        moved[few] = crc_after(left[few], np.zeros_like(right[few]), size[few])
+        c, n = left[~few], size[~few]
+        for k in range(32):
+            on = ((n >> k) & 1).astype(bool)
+            x, t = c[on], doubled[k]
+            c[on] = t[0][x & 255] ^ t[1][(x >> 8) & 255] ^ t[2][(x >> 16) & 255] ^ t[3][x >> 24]
+        moved[~few] = c
+    else:
+        moved = short[size, 0, left & 255] ^ short[size, 1, (left >> 8) & 255] ^ short[size, 2, (left >> 16) & 255] ^ short[size, 3, left >> 24]
+    return moved ^ right
