@@ -33,8 +33,11 @@ def sane_mileage(mileage: Column, year: Column, price: Column, config: PricingCo
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in the given order, which must be total to be repeatable."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rank = "_rank"
+    while rank in map(str.lower, rows.columns):  # a name that the rows lack
+        rank = f"_{rank}"
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(rank, number).where(F.col(rank) == 1).drop(rank)
 
 
 def total_order(rows: DataFrame, *first: str) -> list[Column]:
@@ -43,20 +46,21 @@ def total_order(rows: DataFrame, *first: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in (*first, *rest)]
 
 
-def judged(raw: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
+def judged(raw: DataFrame, config: PricingConfig = DEFAULT, damage: Column | None = None) -> DataFrame:
     """Raw listings of texts with parsed numbers, canonical names, damage and a reason of quarantine.
 
     ``raw`` has source, listing_id, make, model, variant, title, year, mileage and price, all texts.
+    Damage is looked for in the title, or in ``damage``.
     """
     c = F.col
     rows = raw.select(
         "source", "listing_id", "title", digits(c("year")).cast("int").alias("year"), digits(c("mileage")).alias("mileage"), digits(c("price")).alias("price"),
-        canonical(c("make"), c("model"), c("variant"), c("title")).alias("name"), c("make").alias("raw_make"), c("model").alias("raw_model"),
+        canonical(c("make"), c("model"), c("variant"), c("title")).alias("name"), c("make").alias("raw_make"), c("model").alias("raw_model"), damaged(c("title") if damage is None else damage).alias("is_damaged"),
     )
     reason = F.when(~sane_price(c("price"), config), BAD_PRICE).when(~sane_year(c("year"), config), BAD_YEAR).otherwise(c("name.reason"))
     return rows.select(
         "source", "listing_id", "name.make", "name.model", "name.variant", "title", "year",
-        sane_mileage(c("mileage"), c("year"), c("price"), config).alias("mileage"), "price", damaged(c("title")).alias("is_damaged"), reason.alias("reason"), "raw_make", "raw_model",
+        sane_mileage(c("mileage"), c("year"), c("price"), config).alias("mileage"), "price", "is_damaged", reason.alias("reason"), "raw_make", "raw_model",
     )
 
 

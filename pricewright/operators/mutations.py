@@ -1,4 +1,4 @@
-"""Upserts, deletes and version swaps on plain tables, as DataFrame rewrites.
+"""Upserts and deletes on plain tables, as DataFrame rewrites.
 
 Each function returns the new table; writing it is the caller's.  Keys are
 compared null-safely only where stated.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.operators.listings import first_of, total_order
@@ -24,17 +24,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence
     """
     update = [c for c in new.columns if c not in keys] if update is None else list(update)
     new = first_of(new, list(keys), total_order(new, *keys))
-    left, right = old.withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
-    same = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
-    both = left.alias("o").join(right.alias("n"), same, "full_outer")
+    # A row is one struct, so no column can clash with another or with a flag; a row that is missing is a null.
+    left, right = (rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias(name)) for rows, name in ((old, "o"), (new, "n")))
+    same = reduce(lambda a, b: a & b, (F.col("o").getField(k).eqNullSafe(F.col("n").getField(k)) for k in keys))
+    both = left.join(right, same, "full_outer")
 
     def value(c: str) -> Column:
         if c not in new.columns:
-            return F.col(f"o.{c}")
-        first = F.col("_new") if c in update else F.col("_old").isNull()
-        return F.when(first, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+            return F.col("o").getField(c)
+        first = F.col("n").isNotNull() if c in update else F.col("o").isNull()
+        return F.when(first, F.col("n").getField(c)).otherwise(F.col("o").getField(c))
 
-    return both.select(*(F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys), *(value(c) for c in old.columns if c not in keys))
+    return both.select(*(F.when(F.col("o").isNull(), F.col("n").getField(k)).otherwise(F.col("o").getField(k)).alias(k) for k in keys), *(value(c).alias(c) for c in old.columns if c not in keys))
 
 
 def find_or_create(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,33 +68,3 @@ def cascade(tables: Sequence[tuple[DataFrame, str, str]], gone: DataFrame, key:
 def replace_groups(rows: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` with all rows of each key in ``new`` replaced by the new ones."""
     return delete_keys(rows, new, keys).unionByName(new)
-
-
-def publish(rows: DataFrame, folder: str, version: str, min_rows: int = 1) -> None:
-    """Write a version beside the others, and then point to it.
-
-    A pointer is a new folder with the next number, complete once its _SUCCESS
-    file is there, and none is ever rewritten: readers find the one before until
-    then, also after a crash, and those that resolved it go on with their version.
-    A version with too few rows is not pointed to.
-    """
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{folder}/version={version}")
-    if spark.read.parquet(f"{folder}/version={version}").limit(min_rows).count() < min_rows:
-        raise ValueError("the new version has too few rows")
-    number = max(_pointers(spark, folder), default=0) + 1
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{folder}/_current-{number:012d}")
-
-
-def _pointers(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete pointers of a folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_current-*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()
-    return [int(x.getPath().getParent().getName().rpartition("-")[2]) for x in found]
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that the newest complete pointer names."""
-    number = max(_pointers(spark, folder))
-    version = spark.read.parquet(f"{folder}/_current-{number:012d}").first()["version"]
-    return spark.read.parquet(f"{folder}/version={version}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewright.config import DEFAULT, PricingConfig
 from pricewright.functions.pricing import priced
 from pricewright.operators.matching import matched
+from pricewright.operators.snapshots import members
 
 SUCCESS, MANUAL, INSUFFICIENT = "SUCCESS", "MANUAL_EVALUATION_REQUIRED", "INSUFFICIENT_DATA"
 OFFER = (
@@ -25,11 +26,10 @@ def valued(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DE
     return rows.withColumns({c: F.when(F.col("status") != INSUFFICIENT, F.col(c)) for c in OFFER})
 
 
-def comparables(valuations: DataFrame, snapshots: DataFrame, listings: DataFrame, n: int = 5) -> DataFrame:
-    """The first n listings of each valuation's snapshot."""
-    ids = snapshots.select("snapshot_id", F.posexplode(F.slice("listing_ids", 1, n)).alias("position", "listing_id"))
+def comparables(valuations: DataFrame, listings: DataFrame, n: int = 5) -> DataFrame:
+    """The first n listings of each valuation's snapshot; no more than those n of a segment are joined."""
     wanted = valuations.where("snapshot_id IS NOT NULL").select("request_id", "snapshot_id")
-    return wanted.join(ids, "snapshot_id").join(listings, "listing_id").select("request_id", "position", "listing_id", "price", "mileage")
+    return wanted.join(members(listings, n), "snapshot_id").select("request_id", "position", "listing_id", "price", "mileage")
 
 
 def intake(applications: DataFrame, valuations: DataFrame, requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricewright.functions import curves, inference
 from pricewright.functions import numbers as N
 from pricewright.functions import text as X
-from pricewright.operators import imports, listings, mutations, prices, serving, snapshots
+from pricewright.operators import imports, listings, mutations, prices, serving, snapshots, versions
 from pricewright.operators.normalize import BAD_MAKE as N_BAD_MAKE
 from pricewright.operators.normalize import BAD_MODEL as N_BAD_MODEL
 from pricewright.operators.normalize import MAKES as N_MAKES
@@ -186,6 +186,9 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def versions_folder(spark: SparkSession) -> str:
     """A new folder for versions of a table below ``spark.checkpoint.dir``; in tests on one machine a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
@@ -197,9 +200,9 @@ def published_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version that is written, checked, pointed to and read again."""
     folder = versions_folder(spark)
     rows = V.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    mutations.publish(rows.limit(0).unionByName(rows), folder, "a")
-    mutations.publish(rows.where("n > 0"), folder, "b")
-    return mutations.current(spark, folder)
+    versions.publish(rows.limit(0).unionByName(rows), folder, "a")
+    versions.publish(rows.where("n > 0"), folder, "b")
+    return versions.read(spark, folder)
 
 
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,18 +320,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(V.unique_listings(spark, sf_dir))
 
 
-def pages_of(rows: DataFrame) -> DataFrame:
+def pages_of(rows: DataFrame, title: str = "model") -> DataFrame:
     """Results pages of all listings, as many a model as give about ``PAGE_ROWS`` listings each."""
     models = rows.groupBy("make", "model").agg(F.ceil(F.count("*") / html.PAGE_ROWS).alias("pages"))
     number = F.conv(F.substring(F.md5(F.col("listing_id").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("pages")
-    return _paged(rows.join(models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")))
+    return _paged(rows.join(models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")), title)
 
 
-def _paged(rows: DataFrame, page: Column) -> DataFrame:
+def _paged(rows: DataFrame, page: Column, title: str) -> DataFrame:
     cell = lambda css, text: F.concat(F.lit(f'<td class="{css}">'), text, F.lit("</td>"))
     row = F.concat(
         F.lit('<tr class="searchResultsItem" data-id="'), F.col("listing_id"), F.lit('">'), cell("searchResultsTagAttributeValue", F.concat(F.lit(" "), F.regexp_replace("variant", " ", "-"), F.lit(" "))),
-        cell("searchResultsTitleValue", F.concat(F.lit("<a>"), F.col("model"), F.lit("</a>"))), cell("searchResultsAttributeValue", F.concat(F.lit(" "), F.col("year").cast("string"))),
+        cell("searchResultsTitleValue", F.concat(F.lit("<a>"), F.col(title), F.lit("</a>"))), cell("searchResultsAttributeValue", F.concat(F.lit(" "), F.col("year").cast("string"))),
         cell("searchResultsAttributeValue", F.coalesce(F.col("mileage").cast("string"), F.lit(""))), cell("searchResultsPriceValue", F.concat(F.lit("<span>"), X.thousands(F.col("price")), F.lit(" TL</span>"))), F.lit("</tr>"),
     )
     body = F.concat(F.lit("<html><body><p>1.234 TL</p><table>"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("</table></body></html>"))

@@ -18,7 +18,7 @@ MILEAGE = ("make", "model", "variant", "year", "n_mileages", "median_mileage", "
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.snapshots(V.listings(spark, sf_dir), V.specs(spark, sf_dir), V.CONFIG)
+    return snapshots.snapshots(V.listings(spark, sf_dir), V.specs(spark, sf_dir), V.CONFIG, ids=False).withColumns({c: F.col(c).cast("int") for c in ("n_kept", "n_mileages")})
 
 
 def dedup_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ def snapshot_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshots.segments(V.listings(spark, sf_dir))
-    return rows.select(*snapshots.SEGMENT, "n", F.array_join("listing_ids", ",").alias("listing_ids"))
+    """The ids of every segment as one text: the list is the result."""
+    rows = V.listings(spark, sf_dir).where("NOT is_damaged").groupBy(*snapshots.SEGMENT).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("listing_id")).alias("ids"))
+    return rows.select(*snapshots.SEGMENT, "n", F.array_join("ids", ",").alias("listing_ids"))
 
 
 def model_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +111,8 @@ def valuation_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snaps = _snapshots(spark, sf_dir)
-    found = matching.matched(V.requests(spark, sf_dir), snaps, V.CONFIG)
-    return valuation.comparables(found, snaps, V.listings(spark, sf_dir))
+    found = matching.matched(V.requests(spark, sf_dir), _snapshots(spark, sf_dir), V.CONFIG)
+    return valuation.comparables(found, V.listings(spark, sf_dir))
 
 
 def consignment_intake(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,23 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pricewright.operators import versions
 from pricewright.operators.listings import first_of, total_order
-from pricewright.operators.mutations import publish, upsert
+from pricewright.operators.mutations import upsert
 
 
 def ingest(new: DataFrame, folder: str, checkpoint: str, keys: tuple[str, ...] = ("source", "listing_id")) -> StreamingQuery:
-    """Upsert a stream of listings into the table below ``folder``, one version a batch.
+    """Upsert a stream of listings into the versioned table in ``folder``, one version a batch.
 
-    A batch that runs again writes the version of the same name from the version
-    before it, so the table does not depend on retries.
+    A pointer notes the stream and the batch it came from: a batch that runs again
+    after a crash finds itself served and does nothing.  A stream whose checkpoint
+    was lost is a new one, and goes on from the table that is served.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = first_of(batch, keys, total_order(batch, *keys))
-        if number:
-            rows = upsert(spark.read.parquet(f"{folder}/version={number - 1}"), rows, keys)
-        publish(rows, folder, str(number), min_rows=0)
+        stream = versions.stream_id(spark, checkpoint)
+
+        def change(base: versions.Pointer | None):
+            if base is not None and base.notes.get("stream") == stream and base.notes["batch"] >= number:
+                return None
+            rows = first_of(batch, keys, total_order(batch, *keys))
+            return rows if base is None else upsert(versions.read(spark, folder, pointer=base), rows, keys)
+
+        versions.update(spark, folder, change, f"batch{number}", {"stream": stream, "batch": number})
 
     return new.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

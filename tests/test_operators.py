@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.functions import numbers
-from pricewright.operators import imports, listings, mutations, prices, requests, serving, snapshots
+from pricewright.operators import imports, listings, mutations, prices, requests, serving, snapshots, versions
 from pricewright.operators.normalize import BAD_MAKE, BAD_MODEL, canonical
 from pricewright.sources import files, html
 from pricewright.streaming import jobs
@@ -72,11 +72,11 @@ def test_upsert_of_repeated_and_null_keys(spark):
 
 def test_an_incomplete_pointer_is_not_read(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
-    mutations.publish(spark.range(3), folder, "1")
-    (tmp_path / "t" / "_current-000000000009").mkdir()
-    assert mutations.current(spark, folder).count() == 3
-    mutations.publish(spark.range(4), folder, "2")
-    assert mutations.current(spark, folder).count() == 4
+    versions.publish(spark.range(3), folder, "1")
+    (tmp_path / "t" / "._current-000000000009.json-left").write_text("{")
+    assert versions.read(spark, folder).count() == 3
+    versions.publish(spark.range(4), folder, "2")
+    assert versions.read(spark, folder).count() == 4
 
 
 def test_checked_requests(spark):
@@ -97,13 +97,13 @@ def test_log_is_only_appended_to(spark, tmp_path):
 
 def test_publish_keeps_readers_and_refuses_empty_versions(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
-    mutations.publish(spark.range(3), folder, "1")
-    reader = mutations.current(spark, folder)
-    mutations.publish(spark.range(5), folder, "2")
-    assert (reader.count(), mutations.current(spark, folder).count()) == (3, 5)
+    versions.publish(spark.range(3), folder, "1")
+    reader = versions.read(spark, folder)
+    versions.publish(spark.range(5), folder, "2")
+    assert (reader.count(), versions.read(spark, folder).count()) == (3, 5)
     with pytest.raises(ValueError, match="too few"):
-        mutations.publish(spark.range(0), folder, "3")
-    assert mutations.current(spark, folder).count() == 5
+        versions.publish(spark.range(0), folder, "3")
+    assert versions.read(spark, folder).count() == 5
 
 
 def test_snapshot_of_a_segment(spark):
@@ -179,8 +179,8 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         jobs.ingest(stream, f"file://{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination()
-        assert mutations.current(spark, f"file://{tmp_path}/table").count() == 2 + k
-    assert sorted(r.price for r in mutations.current(spark, f"file://{tmp_path}/table").collect()) == [10, 25, 30]
+        assert versions.read(spark, f"file://{tmp_path}/table").count() == 2 + k
+    assert sorted(r.price for r in versions.read(spark, f"file://{tmp_path}/table").collect()) == [10, 25, 30]
     events = spark.createDataFrame([("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 05:00:00", "a", 2.0), ("2024-01-05 00:00:00", "b", 1.0)], "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
