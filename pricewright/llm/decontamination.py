@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, by_bytes, joined_by_key, session_of, written
+from pricewright.llm.shared import LONG_WORD, byte_texts, by_bytes, joined_by_key, session_of, written
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
@@ -67,9 +67,11 @@ class WordHashes(dict):
         import xxhash
 
         plain = "".join(filter(str.isalnum, word.decode("utf-8", "replace").lower()))
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = found = (xxhash.xxh3_64_intdigest(plain.encode()) | 1) if plain else 0
+        found = (xxhash.xxh3_64_intdigest(plain.encode()) | 1) if plain else 0
+        if len(word) <= LONG_WORD:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = found
         return found
 
 

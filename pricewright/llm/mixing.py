@@ -11,8 +11,8 @@ Weights 1, 2, 3, repeating, go to the sources in code-point order, null last.
 A target stops at ``cap`` times its source's size, and the excess is shared by
 weight among the others.  Budgets are targets rounded down to whole words.
 
-Null or empty texts have size 0 and are taken with 0 words.  A null id's random
-key is that of its text.  Documents with the same id count each on its own; ties
+Null or empty texts have size 0 and are taken with 0 words.  A null id counts
+as an empty one.  Documents with the same id count each on its own; ties
 of the key go by id, size and the text's digest, so that reruns agree.  Texts of
 any length are counted and cut as a whole.  An empty table gives no rows; extra
 columns of any names are carried along.
@@ -36,9 +36,9 @@ def words(text: str) -> Column:
 
 
 def random_key(key: str, text: str, seed: str) -> Column:
-    """60 random bits from the id, or from the text where the id is null."""
+    """60 random bits from id and text; an id that many documents share is no one key."""
     of_text = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), of_text)).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), of_text).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -119,7 +119,7 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS random
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS random
   FROM documents
 ), t AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, joined_by_key, scratch, session_of, written
+from pricewright.llm.shared import LONG_WORD, byte_texts, joined_by_key, scratch, session_of, written
 
 BINS = 120
 WORDS, PERCENT = 3, 85
@@ -74,9 +74,11 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = found
         return found
 
 

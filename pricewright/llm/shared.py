@@ -68,6 +68,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, at)
 
 
+#: A word of more bytes is not remembered by the tasks: texts without spaces make words of whole sentences.
+LONG_WORD = 100
+
 #: Rows of a part file where a frame's number of rows is known to be small.
 FILE_ROWS = 10_000
 

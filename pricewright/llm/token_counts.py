@@ -11,8 +11,9 @@ never cross from a character to a following space; a text is therefore cut into
 pre-tokens (a run of spaces with the characters up to the next space), each
 distinct pre-token is merged once, and its count is remembered.
 
-Null and empty texts have no tokens.  Very long pre-tokens take more rounds of
-the same arrays; nothing is truncated.  Every row is counted, repeated ones each
+Null and empty texts have no tokens.  Pre-tokens of very many symbols, of which
+each round would merge but a few, are merged pair by pair from a heap instead, by
+the same ranks; nothing is truncated.  Every row is counted, repeated ones each
 and those with a null id, too; an empty table gives no rows.  Other columns,
 whatever their names, are not looked at.
 """
@@ -20,6 +21,7 @@ whatever their names, are not looked at.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +34,8 @@ from pricewright.llm.shared import byte_texts, session_of
 SPACE = "▁"
 #: Distinct pre-tokens whose counts a task remembers before it starts anew.
 REMEMBERED = 300_000
+#: A pre-token of more symbols is merged pair by pair from a heap, and not remembered.
+LONG = 200
 NEVER = np.int64(1 << 40)
 _PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -71,6 +75,46 @@ class PieceCounter:
         self.order = np.append(np.array(order, np.int64)[by], NEVER)
         self.remembered: dict[str, int] = {}
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and joint symbol by a pair's code, for long pre-tokens."""
+        return dict(zip(self.codes[:-1].tolist(), zip(self.order[:-1].tolist(), self.joined[:-1].tolist(), strict=True), strict=True))
+
+    def count_long(self, word: str) -> int:
+        """Surviving symbols of one long pre-token, in time that grows with its length times its logarithm.
+
+        The lowest-rank pair, the leftmost among equals, is taken from a heap; a
+        merge puts at most two new pairs into it, and pairs that are gone are
+        skipped when they come up.
+        """
+        word = word if word.startswith(SPACE) else SPACE + word
+        found = self.single[np.frombuffer(word.encode("utf-32-le"), np.uint32)].astype(np.int64)
+        count = found.size
+        if self.bytes_known:
+            count += sum(len(word[i].encode()) - 1 for i in np.flatnonzero(found < 0).tolist())
+        rank, joint = self._pairs(found[:-1], found[1:])
+        at = np.flatnonzero(rank != NEVER)
+        heap = list(zip(rank[at].tolist(), at.tolist(), found[at].tolist(), found[at + 1].tolist(), joint[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        symbols, n, pairs = found.tolist(), found.size, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, i, left, right, joined = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = joined, None
+            after[i] = k = after[j]
+            count -= 1
+            if k < n:
+                before[k] = i
+                if symbols[k] >= 0 and (new := pairs.get((joined << 32) | symbols[k])):
+                    heapq.heappush(heap, (new[0], i, joined, symbols[k], new[1]))
+            h = before[i]
+            if h >= 0 and symbols[h] >= 0 and (new := pairs.get((symbols[h] << 32) | joined)):
+                heapq.heappush(heap, (new[0], h, symbols[h], joined, new[1]))
+        return count
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and joint symbol of each pair; NEVER where there is none."""
         code = (left << 32) | right
@@ -165,9 +209,13 @@ class PieceCounter:
             self.remembered.clear()
         known = self.remembered
         new = sorted({w for words in cut for w in words if w not in known}, key=len)
+        long = {w: self.count_long(w) for w in new if len(w) > LONG}
+        new = new[: len(new) - len(long)]
         for k in range(0, len(new), 1 << 15):
             part = new[k : k + (1 << 15)]
             known.update(zip(part, self.count_pre_tokens(part).tolist(), strict=True))
+        if long:
+            return [sum(long[w] if w in long else known[w] for w in words) for words in cut]
         return [sum(map(known.__getitem__, words)) for words in cut]
 
 

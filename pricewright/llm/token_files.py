@@ -58,8 +58,8 @@ HEAD, POINT, LAST = "<4s6I", "<QQQI", "<QI4s"
 #: Ids after which a block is closed (at a document's end), and bytes after which a file is.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
 LANES, IDS_A_LANE = 1024, 64
-#: Parts of words that a worker remembers before it starts anew, and bytes of text encoded in one go.
-REMEMBERED, BYTES_AT_ONCE = 400_000, 2 << 20
+#: Parts of words that a worker remembers before it starts anew, their bytes with those of their ids, and bytes of text encoded in one go.
+REMEMBERED, REMEMBERED_BYTES, BYTES_AT_ONCE = 400_000, 64 << 20, 2 << 20
 
 
 # --- tokenising -------------------------------------------------------------
@@ -162,7 +162,7 @@ class WordEncoder:
         if not self.by_words:
             found = [x.ids for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return pa.array([np.array([*ids, end_id], self.width).tobytes() for ids in found], pa.large_binary())
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes + self.flat.nbytes > REMEMBERED_BYTES:
             self.forget()
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()

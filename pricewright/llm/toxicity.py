@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.shared import byte_texts, scratch, session_of, written
+from pricewright.llm.shared import LONG_WORD, byte_texts, scratch, session_of, written
 
 PLACES = 1 << 18
 MAX_ROWS, MAX_ENTRIES = 20_000, 12_000_000
@@ -55,9 +55,10 @@ class TermPlaces(dict):
             places = (zlib.crc32(b"w" + plain.encode()) % PLACES,)
             if len(plain) > 5:
                 places += (zlib.crc32(b"p" + plain[:5].encode()) % PLACES,)
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = places
+        if len(word) <= LONG_WORD:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = places
         return places
 
 

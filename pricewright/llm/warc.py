@@ -39,6 +39,8 @@ MIN_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes after which a file is closed, bytes that one task reads at a time, and bytes of payloads packed in one block.
 FILE_BYTES, STRETCH_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20, 4 << 20
+#: Unpacked bytes after which a stretch is closed, too: repetitive pages pack to a thousandth.
+UNPACKED_BYTES = 64 << 20
 #: Bytes that are unpacked at a time.
 PIECE = 8192
 
@@ -82,9 +84,14 @@ def packed(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url"
 def resolved(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The headers with record_type and, for revisits, key, address and place of their response."""
     large, total = headers.where(F.col("size") >= min_bytes), headers.count()
+    # Small payloads are all responses; they meet in few digests, so they stay out of the join.
+    small = headers.where(F.col("size") < min_bytes)
     first = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "url", "file", "offset", "at")).alias("first")).where("n > 1")
-    again = F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first.key"))
-    rows = joined_by_key(headers, written(first, "warc-first"), "digest", total)
+    again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first.key"))
+    first = written(first, "warc-first")
+    rows = joined_by_key(large, first, "digest", total)
+    none = dict(first.dtypes)
+    rows = rows.unionByName(small.withColumns({c: F.lit(None).cast(none[c]) for c in ("n", "first")}))
     return rows.select(
         *headers.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.key")).alias("refers_to"),
         F.when(again, F.col("first.url")).alias("refers_to_url"), F.when(again, F.concat_ws("/", "first.file", "first.offset", "first.at")).alias("refers_to_place"),
@@ -167,7 +174,7 @@ def write_archives(rows: DataFrame, payloads: str, folder: str, date: str | None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
-        out, name, size, begin, n = None, "", 0, 0, 0
+        out, name, size, begin, n, unpacked = None, "", 0, 0, 0, 0
         stretches: list[tuple] = []
         block, body = None, None
         for batch in batches:
@@ -182,11 +189,12 @@ def write_archives(rows: DataFrame, payloads: str, folder: str, date: str | None
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     size, begin, n = out.write(gzip.compress(information(date, name), 5, mtime=0)), 0, 1
-                size += out.write(gzip.compress(record(row, body[row["at"]].as_py(), run, date), 5, mtime=0))
-                n += 1
-                if size - begin >= STRETCH_BYTES:
+                whole = record(row, body[row["at"]].as_py(), run, date)
+                size += out.write(gzip.compress(whole, 5, mtime=0))
+                n, unpacked = n + 1, unpacked + len(whole)
+                if size - begin >= STRETCH_BYTES or unpacked >= UNPACKED_BYTES:
                     stretches.append((name, begin, size - begin, n))
-                    begin, n = size, 0
+                    begin, n, unpacked = size, 0, 0
                     if size >= FILE_BYTES:
                         out.close()
                         out = None
@@ -225,10 +233,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                 with store.open_input_file(f"{root}/{stretch['file']}") as f:
                     f.seek(stretch["offset"])
                     data = f.read(stretch["bytes"])
-                found = list(map(parsed, members(data)))
+                # One record at a time is unpacked, and only its facts are kept.
+                found = [None if x["warc-type"] == "warcinfo" else facts(x) for x in map(parsed, members(data))]
                 if len(found) != stretch["records"]:
                     raise ValueError(f"{stretch['file']} lacks records")
-                columns = list(zip(*(facts(x) for x in found if x["warc-type"] != "warcinfo"), strict=True)) or [()] * 8
+                columns = list(zip(*(x for x in found if x is not None), strict=True)) or [()] * 8
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
