@@ -24,10 +24,21 @@ def trimmed(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """A name without page suffix and junk, separators as single spaces; '' for null."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*-\s*[0-9]+$", "")
+    """A name without page suffix and junk, separators as single spaces; '' for null.
+
+    One search for any fragment comes first; only texts that hold one go through
+    the deletions.  They stand in a lambda, which Spark does not compile: a chain
+    of so many patterns costs more to compile than most tables take to clean.
+    """
+    return F.get(F.transform(F.array(text), _cleaned), F.lit(0))
+
+
+def _cleaned(text: Column) -> Column:
+    name = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*-\s*[0-9]+$", "")
+    out = name
     for fragment in JUNK:
         out = F.regexp_replace(out, "(?i)" + fragment, "")
+    out = F.when(name.rlike("(?i)" + "|".join(JUNK)), out).otherwise(name)
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[-_]", " "), r"\s+", " "))
 
 

@@ -65,9 +65,16 @@ def judged(raw: DataFrame, config: PricingConfig = DEFAULT, damage: Column | Non
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantined): one row per listing, and a quarantined listing is not valid, too."""
-    kept = rows.where("reason IS NULL").drop("reason", "raw_make", "raw_model")
+    """(valid, quarantined): one row per listing, and a quarantined listing is not valid, too.
+
+    Whether any row of a listing is refused is told by a window over the key by
+    which valid rows are dealt anyway, so rows are judged once for each half.
+    """
+    refused = "_refused"
+    while refused in map(str.lower, rows.columns):
+        refused = f"_{refused}"
+    marked = rows.withColumn(refused, F.max(F.col("reason").isNotNull()).over(Window.partitionBy("source", "listing_id")))
+    kept = marked.where(~F.col(refused)).drop("reason", "raw_make", "raw_model", refused)
     valid = first_of(kept, ["source", "listing_id"], total_order(kept, "price", "mileage"))
     bad = rows.where("reason IS NOT NULL").select("source", "listing_id", "reason", "raw_make", "raw_model", "year", "price")
-    quarantined = first_of(bad, ["source", "listing_id", "reason"], total_order(bad, "price"))
-    return valid.join(quarantined.select("source", "listing_id").distinct(), ["source", "listing_id"], "left_anti"), quarantined
+    return valid, first_of(bad, ["source", "listing_id", "reason"], total_order(bad, "price"))

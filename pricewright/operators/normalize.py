@@ -67,8 +67,10 @@ def canonical(make: Column, model: Column, variant: Column | None = None, title:
     Nulls are empty names; an empty make or model is quarantined.
     """
     empty = F.lit("")
-    raw = {"make": cleaned(make), "model": cleaned(model), "variant": cleaned(variant if variant is not None else empty), "title": cleaned(title if title is not None else empty)}
-    names = F.struct(*(x.alias(k) for k, x in raw.items()), *(folded_upper(x).alias(f"upper_{k}") for k, x in raw.items()))
+    given = {"make": make, "model": model, "variant": variant if variant is not None else empty, "title": title if title is not None else empty}
+    # One chain for all four, each as cleaned and folded.
+    texts = F.transform(F.transform(F.array(*given.values()), cleaned), lambda x: F.struct(x.alias("plain"), folded_upper(x).alias("upper")))
+    names = F.transform(F.array(texts), lambda t: F.struct(*(t[k]["plain"].alias(n) for k, n in enumerate(given)), *(t[k]["upper"].alias(f"upper_{n}") for k, n in enumerate(given))))[0]
     # A one-element array binds the names once, so that every rule reads the same value.
     return F.transform(F.array(names), lambda n: _canonical(n, F.coalesce(make, empty), F.coalesce(model, empty)))[0]
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.plans import catalogue, jobs, market
+from pricewright.plans import catalogue, jobs, market, names
 
-MODULES = (market, catalogue, jobs)
+MODULES = (market, catalogue, jobs, names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
