@@ -19,7 +19,12 @@ OFFER = (
 
 def valued(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
     """Each request with its match, its offer and ``status``; no offer where data are insufficient."""
-    rows = priced(matched(requests, snapshots, config), config)
+    return offered(matched(requests, snapshots, config), config)
+
+
+def offered(matches: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
+    """Matched requests with their offer and ``status``."""
+    rows = priced(matches, config)
     enough = (F.col("level") < 4) & (F.col("p50") > 0)
     status = F.when(~F.coalesce(enough, F.lit(False)), INSUFFICIENT).when(F.col("manual"), MANUAL).otherwise(SUCCESS)
     rows = rows.withColumn("status", status)

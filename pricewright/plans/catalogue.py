@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from pricewright.operators.normalize import MODELS as N_MODELS
 from pricewright.operators.normalize import VARIANT_DEBRIS as N_VARIANT_DEBRIS
 from pricewright.operators.normalize import canonical
 from pricewright.plans import views as V
+from pricewright.plans.folders import versions_folder
 from pricewright.sources import html
 
 # Raw names as scraping leaves them: make, model, variant, title.
@@ -183,19 +181,6 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def versions_folder(spark: SparkSession) -> str:
-    """A new folder for versions of a table below ``spark.checkpoint.dir``; in tests on one machine a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not base and held.isDefined():
-        base = held.get()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="versions-")
-    return f"{base.rstrip('/')}/versions-{uuid.uuid4().hex}"
-
-
 def published_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version that is written, checked, pointed to and read again."""
     folder = versions_folder(spark)

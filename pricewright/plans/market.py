@@ -10,8 +10,9 @@ from pricewright.config import COMMISSION_TIERS, RESERVE_TIERS
 from pricewright.functions import pricing as P
 from pricewright.functions.numbers import half_up, tier
 from pricewright.operators import listings as L
-from pricewright.operators import matching, serving, snapshots, valuation
+from pricewright.operators import audit, matching, serving, snapshots, valuation, versions
 from pricewright.plans import views as V
+from pricewright.plans.folders import versions_folder
 
 PERCENTILES = ("make", "model", "variant", "year", "n", "n_kept", "p5", "p35", "p50", "p60", "p95", "min_price", "max_price")
 MILEAGE = ("make", "model", "variant", "year", "n_mileages", "median_mileage", "mean_mileage", "decay", "decay_source")
@@ -129,6 +130,28 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.audit(rows, rows).select("field", "n_equal", "n_probes")
 
 
+AUDITED = ("level", "n", "fmv", "adjusted_p35", "required", "cash_offer", "listing_price", "customer_net", "gross_reserve", "net_profit", "status")
+
+
+def audit_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored offers, some of which were changed since, against the match and against offers made anew.
+
+    Changed are the cash offers of damaged vehicles of 1999 and the numbers of
+    listings of requests at a multiple of 7,000 km.
+    """
+    folder = versions_folder(spark)
+    asked, snaps = V.requests(spark, sf_dir), _snapshots(spark, sf_dir)
+    found = matching.matched(asked, snaps, V.CONFIG)
+    again = valuation.offered(found, V.CONFIG).select("request_id", *AUDITED, "year", "damage", "mileage")
+    versions.publish(again, folder, "offers")
+    stored = versions.read(spark, folder)
+    changed = stored.withColumns({
+        "cash_offer": F.when((F.col("year") == 1999) & (F.col("damage") == "YES"), F.col("cash_offer") + 5000).otherwise(F.col("cash_offer")), "n": F.when(F.col("mileage") % 7000 == 0, F.col("n") + 1).otherwise(F.col("n")),
+    })
+    layers = {"match": found.select("request_id", "level", "n"), "stored": changed.select("request_id", *AUDITED), "recomputed": again.select("request_id", *AUDITED)}
+    return audit.summary(layers, "request_id", AUDITED)
+
+
 def offer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reserve, commission and roundings of every order's value."""
     x = F.col("price")
@@ -156,7 +179,7 @@ def probe_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     dedup_listings, dedup_prices, sanity_bounds, clean_listings, snapshot_percentiles, snapshot_mileage, snapshot_quality, snapshot_members, model_percentiles, dual_mean, best_snapshot,
-    top_snapshots, match_candidates, year_rate, match_cascade, valuation_preview, comparables, consignment_intake, audit_report, offer_tiers, group_count, model_breakdown, probe_cap,
+    top_snapshots, match_candidates, year_rate, match_cascade, valuation_preview, comparables, consignment_intake, audit_report, audit_layers, offer_tiers, group_count, model_breakdown, probe_cap,
 )
 
 _SNAP = f"WITH {V.LISTINGS}, {V.SPECS}, {V.SNAPSHOTS}"
@@ -263,6 +286,8 @@ ORACLES = {
     "consignment_intake": f"""{_VALUED} SELECT request_id, status, CASE WHEN status <> 'INSUFFICIENT_DATA' THEN customer_net END AS customer_net, CASE WHEN status <> 'INSUFFICIENT_DATA' THEN expected_sale END AS expected_sale
       FROM valued WHERE damage <> 'YES'""",
     "audit_report": f"{_MATCH} SELECT unnest(['level', 'n', 'fmv', 'adjusted_p35', 'required', 'cash_offer', 'listing_price', 'customer_net', 'gross_reserve', 'net_profit', 'status']) AS field, count(*) AS n_equal, count(*) AS n_probes FROM matched GROUP BY 1",
+    "audit_layers": f"""{_VALUED}, v AS (SELECT status, mileage, damage = 'YES' AND year = 1999 AND status <> 'INSUFFICIENT_DATA' AS planted FROM (SELECT v.*, r.mileage FROM valued v JOIN requests r USING (request_id)))
+      SELECT f.field, count(*) FILTER (NOT (f.field = 'cash_offer' AND planted OR f.field = 'n' AND mileage % 7000 = 0)) AS n_equal, count(*) AS n_probes FROM v CROSS JOIN (SELECT unnest({list(AUDITED)}) AS field) f GROUP BY 1""",
     "offer_tiers": f"""WITH o AS (SELECT o_orderkey, floor(o_totalprice * 20 + 0.5::DOUBLE)::BIGINT AS price FROM orders)
       SELECT o_orderkey, price, {_tiers('price', RESERVE_TIERS, 1)} AS reserve_rate, ({_tiers('price', RESERVE_TIERS, 2)})::INT AS least_reserve, ({_reserve('price', '12')})::BIGINT AS reserve, ({_reserve('price', '3')})::BIGINT AS reserve_few,
       {_tiers('price', COMMISSION_TIERS, 1)} AS commission_rate, greatest({_tiers('price', COMMISSION_TIERS, 2)}, {_round(f"price * ({_tiers('price', COMMISSION_TIERS, 1)})")})::BIGINT AS commission,

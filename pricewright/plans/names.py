@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pricewright.functions.inference import TRIMS
 from pricewright.functions.numbers import half_up
 from pricewright.functions.tiers import OTHERS, TIERS
-from pricewright.operators import detection, reference, versions
+from pricewright.operators import detection, ledger, reference, versions
 from pricewright.plans import views as V
-from pricewright.plans.catalogue import _BY_YEAR, _NAMES, _R, raw_names, versions_folder
+from pricewright.plans.catalogue import _BY_YEAR, _NAMES, _R, raw_names
+from pricewright.plans.folders import versions_folder
 
 # Catalogue names that parts are dealt to: make, model, variant.
 VEHICLES = (
@@ -41,7 +42,35 @@ def classified_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "make", "model", "variant", "year", "tier", "base_price", "new_msrp", "market_average", "clean_average", "listing_average", "min_price", "max_price", "selling_days", "changed")
 
 
-QUERIES = (detected_names, classified_prices)
+def _imported(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of two imports: part of a catalogue file, twice, and the file with higher prices."""
+    part = V.table(spark, sf_dir, "part")
+
+    def rows(part: DataFrame, factor: int) -> DataFrame:
+        return part.select(
+            F.col("p_partkey").alias("line"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_brand")).alias("Brand"), F.lit(None).cast("string").alias("brand"), F.col("p_type").alias("Model"), F.col("p_name").alias("variant"),
+            F.when(F.col("p_size") % 2 == 0, "Comfort").alias("package"), (1995 + F.col("p_partkey") % 3).cast("string").alias("Year"), F.col("p_size").cast("string").alias("horsepower"),
+            F.when(F.col("p_partkey") % 5 == 0, "4x4").alias("driveType"), (F.col("p_partkey") % 4 + 2).cast("string").alias("doors"), (F.col("p_size") * factor).cast("string").alias("price"),
+        )
+
+    folder = versions_folder(spark)
+    for name, found in (("a", rows(part.where("p_partkey % 3 <> 0"), 1000)), ("a", rows(part.where("p_partkey % 3 <> 0"), 1000)), ("b", rows(part, 1001))):
+        ledger.run(found, folder, name)
+    return folder
+
+
+def import_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every row of two imports, one of which ran twice."""
+    return versions.read(spark, _imported(spark, sf_dir), "ledger").select("import_id", "line", "outcome")
+
+
+def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spec after two imports, with its names, its variant's engine and its price."""
+    rows = ledger.chain(spark, _imported(spark, sf_dir))
+    return rows.select("make", "model", "variant", "package", "year", "body", "fuel", "transmission", "drive", "horsepower", "doors", "market_average", "listing_average", F.get_json_object("regional", "$.Ankara").cast("double").alias("ankara"))
+
+
+QUERIES = (detected_names, classified_prices, import_ledger, import_chain)
 
 _Q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
 _HIT = lambda field, needles: "(" + " OR ".join(f"contains({field}, {_Q(n)})" for n in needles) + ")"
@@ -69,4 +98,20 @@ t AS (SELECT p.*, make, model, variant, coalesce(tier, '{OTHERS[0]}') AS tier, c
 m AS (SELECT *, {_R(f'base * {_BY_YEAR}')} AS new_msrp FROM t), a AS (SELECT *, {_R('new_msrp / 1.2::DOUBLE')} AS average FROM m)
 SELECT p_partkey, make, model, variant, model_year AS year, tier, base AS base_price, new_msrp, average AS market_average, {_R('average * 1.05::DOUBLE')} AS clean_average, {_R('average * 1.03::DOUBLE')} AS listing_average,
   {_R('average * 0.92::DOUBLE')} AS min_price, {_R('average * 1.08::DOUBLE')} AS max_price, CASE WHEN tier = 'economy' THEN 12 ELSE 20 END AS selling_days, new_msrp <> msrp AS changed FROM a"""
-ORACLES = {"detected_names": _DETECT, "classified_prices": _CLASSIFIED}
+# Rows of both imports in order; of a spec the first line creates and the last stands.
+_IMPORTS = """WITH r AS (
+  SELECT i.import_id, i.nth, p_partkey AS line, p_partkey % 11 <> 0 AS valid, p_brand AS make, p_type AS model, p_name AS variant, CASE WHEN p_size % 2 = 0 THEN 'Comfort' END AS package, (1995 + p_partkey % 3)::INT AS year,
+    coalesce(nullif(p_size, 0), 110)::DOUBLE AS horsepower, CASE WHEN p_partkey % 5 = 0 THEN '4x4' ELSE 'Önden Çekiş' END AS drive, (p_partkey % 4 + 2)::DOUBLE AS doors, coalesce(nullif(p_size * i.factor, 0), 500000)::DOUBLE AS average
+  FROM part CROSS JOIN (VALUES ('a', 1, 1000), ('b', 2, 1001)) i(import_id, nth, factor) WHERE i.nth = 2 OR p_partkey % 3 <> 0
+  QUALIFY row_number() OVER (PARTITION BY import_id, CASE WHEN p_partkey % 11 <> 0 THEN p_brand ELSE '' END, p_type, p_name, p_size, p_partkey % 3, p_partkey % 5 = 0, p_partkey % 4 ORDER BY p_partkey DESC) = 1
+), v AS (SELECT * FROM r WHERE valid)"""
+_LAST = "row_number() OVER (PARTITION BY make, model, variant, package, year ORDER BY nth DESC, line DESC)"
+ORACLES = {
+    "detected_names": _DETECT, "classified_prices": _CLASSIFIED,
+    "import_ledger": f"""{_IMPORTS} SELECT import_id, line, CASE WHEN row_number() OVER (PARTITION BY make, model, variant, package, year ORDER BY nth, line) = 1 THEN 'created' ELSE 'updated' END AS outcome FROM v
+      UNION ALL SELECT import_id, line, 'rejected' FROM r WHERE NOT valid""",
+    "import_chain": f"""{_IMPORTS}, s AS (SELECT *, first_value(drive) OVER (PARTITION BY make, model, variant, package, year ORDER BY nth, line) AS first_drive FROM v QUALIFY {_LAST} = 1),
+      e AS (SELECT make, model, variant, horsepower FROM v QUALIFY row_number() OVER (PARTITION BY make, model, variant ORDER BY nth DESC, line DESC) = 1)
+      SELECT s.make, s.model, s.variant, package, year, 'Sedan' AS body, 'Benzin' AS fuel, 'Manuel' AS transmission, first_drive AS drive, e.horsepower, doors, average AS market_average, average * 1.03::DOUBLE AS listing_average, 0.98::DOUBLE AS ankara
+      FROM s JOIN e ON e.make = s.make AND e.model = s.model AND e.variant = s.variant""",
+}
