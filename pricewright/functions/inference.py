@@ -34,6 +34,8 @@ FOUR_WHEELS = (
     "4x4", "4matic", "quattro", "xdrive", "awd", "4orce", "4xe", "gtx", "allroad", "all-terrain", "cross country", "4motion", "wrangler", "defender",
     "land cruiser", "g serisi", "g 350", "g 400", "g 500", "g 63",
 )
+# Makes that run on gas, and those with manual gears.
+GAS_MAKES, MANUAL_MAKES = ("tofaş", "tofas"), ("tofaş", "tofas", "anadol")
 SUV = (
     "suv", "cross", "x-trail", "qashqai", "tucson", "sportage", "cr-v", "hr-v", "rav4", "kuga", "duster", "ateca", "karoq", "kodiaq", "tiguan", "touareg", "macan", "cayenne",
     "bentayga", "cullinan", "dbx", "defender", "discovery", "range rover", "escalade", "navigator", "x1", "x2", "x3", "x4", "x5", "x6", "x7", "gla", "glb", "glc", "gle", "gls",
@@ -71,17 +73,26 @@ def engine(model: Column, variant: Column) -> Column:
     return F.struct(F.round(litres * 1000).cast("int").alias("engine_cc"), power.alias("horsepower"), F.floor(power * 1.8 + 0.5).cast("int").alias("torque"))
 
 
-def fuel(variant: Column, electric: Column | None = None, hybrid: Column | None = None) -> Column:
+def fuel(variant: Column, electric: Column | None = None, hybrid: Column | None = None, make: Column | None = None) -> Column:
     out = F.when(electric if electric is not None else F.lit(False), "Elektrik").when(hybrid if hybrid is not None else F.lit(False), "Hibrit")
+    if make is not None:
+        out = out.when(first_match([F.lower(make)], [(GAS_MAKES, True)], F.lit(False)), "LPG")
     return out.when(first_match([F.lower(variant)], [(DIESEL, True)], F.lit(False)), "Dizel").otherwise("Benzin")
 
 
+def transmission(make: Column) -> Column:
+    return first_match([F.lower(make)], [(MANUAL_MAKES, "Manuel")], F.lit("Otomatik"))
+
+
 def body(variant: Column) -> Column:
     return first_match([F.lower(variant)], BODIES, F.lit("Sedan"))
 
 
-def drive(variant: Column) -> Column:
-    return first_match([F.lower(variant)], [(FOUR_WHEELS, "4x4")], F.lit("Önden Çekiş"))
+def drive(variant: Column, electric: Column | None = None, exotic: Column | None = None) -> Column:
+    """Four wheels by the name; rear wheels for exotic cars, and for electric ones without a hint in the name."""
+    electric, exotic = (x if x is not None else F.lit(False) for x in (electric, exotic))
+    by_name = first_match([F.lower(variant)], [(FOUR_WHEELS, "4x4")], F.when(electric, "Arkadan İtiş").otherwise("Önden Çekiş"))
+    return F.when(exotic & ~electric, "Arkadan İtiş").otherwise(by_name)
 
 
 def trim_level(title: Column, tag: Column) -> Column:

@@ -55,9 +55,10 @@ def through(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str,
     return left.join(bridge.select(left_key, right_key).distinct(), left_key).join(right, right_key)
 
 
-def model_years(spark, first: int, last: int) -> DataFrame:
-    """The years to choose from, the newest first."""
-    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year")).orderBy(F.col("year").desc())
+def model_years(rows: DataFrame, year: str = "year") -> DataFrame:
+    """The years to choose from: all from the newest of the rows' years down to the oldest."""
+    ends = rows.agg(F.max(year).alias("newest"), F.min(year).alias("oldest")).where("newest IS NOT NULL")
+    return ends.select(F.explode(F.sequence("newest", "oldest", F.lit(-1))).alias("year"))
 
 
 def by_key(rows: DataFrame, key: str, value: object) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricewright.functions.numbers import half_up
 
@@ -34,6 +35,24 @@ def facets(specs: DataFrame, base: Mapping[str, object], chosen: Mapping[str, ob
     return found.withColumn("auto", F.when(F.size("choices") == 1, F.element_at("choices", 1)))
 
 
+def facet_counts(specs: DataFrame, base: Mapping[str, object], chosen: Mapping[str, object] | None = None, names: Sequence[str] = FACETS, top: int = 50) -> DataFrame:
+    """(facet, choice, n, rank, n_choices): the most frequent choices of each facet under what is chosen in the others.
+
+    One scan: a row counts for each facet whose other facets it fits, as grouping
+    sets would have it.  Counts are summed before the shuffle, and a facet gives at
+    most ``top`` rows, however many choices it has; equal counts go by choice.
+    """
+    chosen = {k: v for k, v in (chosen or {}).items() if v is not None}
+    rows = specs.where(where_given(**base))
+    fits = {name: F.coalesce(F.col(name) == value, F.lit(False)) for name, value in chosen.items()}
+    counts = [F.when(reduce(lambda a, b: a & b, (x for name, x in fits.items() if name != facet), F.lit(True)), F.struct(F.lit(facet).alias("facet"), F.col(facet).cast("string").alias("choice"))) for facet in names]
+    cells = rows.select(F.explode(F.array_compact(F.array(*counts))).alias("c")).select("c.*").where("choice IS NOT NULL")
+    found = cells.groupBy("facet", "choice").agg(F.count("*").alias("n"))
+    total = found.groupBy("facet").agg(F.count("*").alias("n_choices"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "choice"))).where(F.col("rank") <= top)
+    return ranked.join(total, "facet")
+
+
 def dashboard(evaluations: DataFrame, consignments: DataFrame) -> DataFrame:
     """One row of counts by status and the rounded mean valuation, 0 without any."""
     mean = F.coalesce(half_up(F.sum("estimated_value") / F.nullif(F.count("*"), F.lit(0))), F.lit(0))

@@ -22,6 +22,15 @@ def valued(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DE
     return offered(matched(requests, snapshots, config), config)
 
 
+def persisted(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
+    """The valuations that are stored: as ``valued``, but matched without the request's trim, and successful ones alone."""
+    rows = valued(requests.withColumn("trim", F.lit("")), snapshots, config)
+    # The status depends on every step of the price.  A condition that needs a row number stays above the
+    # columns it reads; pushed below them, it would repeat each step in the next.
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    return rows.where((F.col("status") == SUCCESS) & (F.col("_number") >= 0)).drop("_number")
+
+
 def offered(matches: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
     """Matched requests with their offer and ``status``."""
     rows = priced(matches, config)

@@ -83,7 +83,7 @@ def technical_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = inference.engine(F.col("model"), F.col("variant"))
     return rows.select(
         "id", engine["engine_cc"].alias("engine_cc"), engine["horsepower"].alias("horsepower"), engine["torque"].alias("torque"), inference.fuel(F.coalesce("variant", F.lit(""))).alias("fuel"), kind.alias("body"),
-        inference.doors(kind).alias("doors"), inference.seats(kind).alias("seats"), inference.drive(F.coalesce("model", F.lit(""))).alias("drive"), inference.trim_level(F.col("title"), F.col("variant")).alias("trim"),
+        inference.doors(kind).alias("doors"), inference.seats(kind).alias("seats"), inference.drive(F.coalesce("variant", F.lit(""))).alias("drive"), inference.trim_level(F.col("title"), F.col("variant")).alias("trim"),
     )
 
 
@@ -442,7 +442,7 @@ ORACLES = {
       f AS (SELECT *, {_case(['name'], inference.ENGINES, '120', lambda v: str(v[1]))} AS horsepower, {_case(['lv'], inference.BODIES, "'Sedan'")} AS body FROM e)
       SELECT id, round(({_case(['name'], inference.ENGINES, '1.6', lambda v: str(v[0]))}) * 1000)::INT AS engine_cc, horsepower::INT AS horsepower, floor(horsepower * 1.8::DOUBLE + 0.5::DOUBLE)::INT AS torque,
       CASE WHEN {_any(['lv'], inference.DIESEL)} THEN 'Dizel' ELSE 'Benzin' END AS fuel, body, CASE WHEN body IN ('Coupe', 'Cabrio') THEN 2 WHEN body = 'Hatchback' THEN 5 ELSE 4 END AS doors, CASE WHEN body = 'Coupe' THEN 4 ELSE 5 END AS seats,
-      CASE WHEN {_any(["lower(coalesce(model, ''))"], inference.FOUR_WHEELS)} THEN '4x4' ELSE 'Önden Çekiş' END AS drive, {_case(['tt'], inference.TRIMS, "'Paket'")} AS trim FROM f""",
+      CASE WHEN {_any(['lv'], inference.FOUR_WHEELS)} THEN '4x4' ELSE 'Önden Çekiş' END AS drive, {_case(['tt'], inference.TRIMS, "'Paket'")} AS trim FROM f""",
     "depreciation": f"""{_TIERED} SELECT make, model, variant, year, {_R('msrp * 0.25::DOUBLE + (msrp - msrp * 0.25::DOUBLE) * pow(0.88::DOUBLE, age)')} AS to_floor, {_R('msrp * pow(0.92::DOUBLE, age)')} AS geometric,
       {_R(f'msrp * greatest(0.48::DOUBLE, 1 - age * 0.025::DOUBLE - pow(age::DOUBLE, 1.2::DOUBLE) * 0.002::DOUBLE) * {_PACKAGE}')} AS concave, {_R(f'msrp * {_BY_YEAR}')} AS by_year,
       {_R('msrp * greatest(0.30::DOUBLE, 1 - age * 0.06::DOUBLE)')} AS linear,

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.functions import inference
 from pricewright.functions.inference import TRIMS
 from pricewright.functions.numbers import half_up
 from pricewright.functions.tiers import OTHERS, TIERS
-from pricewright.operators import detection, ledger, reference, versions
+from pricewright.operators import detection, ledger, reference, serving, versions
 from pricewright.plans import views as V
-from pricewright.plans.catalogue import _BY_YEAR, _NAMES, _R, raw_names
+from pricewright.plans.catalogue import _BY_YEAR, _HTML, _NAMES, _R, pages_of, raw_names
 from pricewright.plans.folders import versions_folder
+from pricewright.sources import heads, html
 
 # Catalogue names that parts are dealt to: make, model, variant.
 VEHICLES = (
@@ -70,7 +72,36 @@ def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("make", "model", "variant", "package", "year", "body", "fuel", "transmission", "drive", "horsepower", "doors", "market_average", "listing_average", F.get_json_object("regional", "$.Ankara").cast("double").alias("ankara"))
 
 
-QUERIES = (detected_names, classified_prices, import_ledger, import_chain)
+def power_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuel, gears and drive of every part's scraped name, some of them electric, hybrid or exotic."""
+    rows = raw_names(spark, sf_dir)
+    electric, hybrid, exotic = F.col("id") % 7 == 0, F.col("id") % 5 == 0, F.col("id") % 11 == 0
+    make, variant = F.coalesce("make", F.lit("")), F.coalesce("variant", F.lit(""))
+    return rows.select("id", inference.fuel(variant, electric, hybrid, make).alias("fuel"), inference.transmission(make).alias("transmission"), inference.drive(variant, electric, exotic).alias("drive"))
+
+
+def page_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand of every page by its address's last part and its head, the first characters here, else its host."""
+    parts = F.split("url", "/")
+    rows = V.table(spark, sf_dir, "pages").select("page_id", F.get(parts, F.lit(2)).alias("host"), F.translate(F.element_at(parts, -1), "-_", "  ").alias("name"), F.substring("html", 1, heads.HEAD_BYTES).alias("head"))
+    return heads.with_brand(rows, F.col("host"), F.col("name"), F.col("head")).select("page_id", "brand")
+
+
+def page_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of listing pages, from their rows, or from the whole text for the pages whose rows are not marked."""
+    rows = pages_of(V.unique_listings(spark, sf_dir))
+    bare = F.length("page") % 2 == 0
+    rows = rows.withColumn("body", F.when(bare, F.replace("body", F.lit("searchResultsItem"), F.lit("item"))).otherwise(F.replace("body", F.lit("<table>"), F.lit("<p>999.999 TL</p><table>"))))
+    return html.prices_or_harvest(rows, "body", "page").groupBy("page").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+
+
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices of all facets with their numbers of listings, each under what is chosen in the others."""
+    rows = V.listings(spark, sf_dir).withColumns(V.spec_data("make", "model", "variant"))
+    return serving.facet_counts(rows, {"year": 1999}, {"body": "Sedan", "fuel": "Dizel", "make": None}, ("make", "variant", "body", "fuel", "transmission"), top=20)
+
+
+QUERIES = (detected_names, classified_prices, import_ledger, import_chain, power_trains, page_brands, page_prices, facet_counts)
 
 _Q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
 _HIT = lambda field, needles: "(" + " OR ".join(f"contains({field}, {_Q(n)})" for n in needles) + ")"
@@ -108,6 +139,19 @@ _IMPORTS = """WITH r AS (
 _LAST = "row_number() OVER (PARTITION BY make, model, variant, package, year ORDER BY nth DESC, line DESC)"
 ORACLES = {
     "detected_names": _DETECT, "classified_prices": _CLASSIFIED,
+    "power_trains": f"""WITH {_NAMES}, n AS (SELECT id, lower(coalesce(make, '')) AS lm, lower(coalesce(variant, '')) AS lv, id % 7 = 0 AS electric, id % 5 = 0 AS hybrid, id % 11 = 0 AS exotic FROM raw_names)
+      SELECT id, CASE WHEN electric THEN 'Elektrik' WHEN hybrid THEN 'Hibrit' WHEN {_HIT('lm', inference.GAS_MAKES)} THEN 'LPG' WHEN {_HIT('lv', inference.DIESEL)} THEN 'Dizel' ELSE 'Benzin' END AS fuel,
+        CASE WHEN {_HIT('lm', inference.MANUAL_MAKES)} THEN 'Manuel' ELSE 'Otomatik' END AS transmission,
+        CASE WHEN exotic AND NOT electric THEN 'Arkadan İtiş' WHEN {_HIT('lv', inference.FOUR_WHEELS)} THEN '4x4' WHEN electric THEN 'Arkadan İtiş' ELSE 'Önden Çekiş' END AS drive FROM n""",
+    "page_brands": f"""WITH p AS (SELECT page_id, string_split(url, '/')[3] AS host, lower(translate(string_split(url, '/')[-1], '-_', '  ')) AS name, lower(left(html, 5000)) AS head FROM pages)
+      SELECT page_id, coalesce(CASE {" ".join(f"WHEN contains(name, {_Q(b.lower() + ' ')}) THEN {_Q(b)}" for b in heads.BRANDS)} END, CASE {" ".join(f"WHEN contains(head, {_Q(b.lower())}) THEN {_Q(b)}" for b in heads.BRANDS)} END, host) AS brand FROM p""",
+    "page_prices": f"""{_HTML}, p AS (SELECT page, price, row_number() OVER (PARTITION BY page ORDER BY listing_id) AS r FROM shown)
+      SELECT page, count(*) AS n, sum(price)::BIGINT AS total FROM p WHERE (length(page) % 2 = 0 OR r <= {html.PAGE_ROWS}) AND price > 50000 AND price < 100000000 GROUP BY page""",
+    "facet_counts": f"""WITH {V.LISTINGS}, s AS (SELECT l.*, {V.DATA} FROM (SELECT *, concat_ws('|', make, model, variant) AS name FROM listings WHERE year = 1999) l),
+      c AS (SELECT 'make' AS facet, make AS choice FROM s WHERE body = 'Sedan' AND fuel = 'Dizel' UNION ALL SELECT 'variant', variant FROM s WHERE body = 'Sedan' AND fuel = 'Dizel' UNION ALL SELECT 'body', body FROM s WHERE fuel = 'Dizel'
+        UNION ALL SELECT 'fuel', fuel FROM s WHERE body = 'Sedan' UNION ALL SELECT 'transmission', transmission FROM s WHERE body = 'Sedan' AND fuel = 'Dizel'),
+      n AS (SELECT facet, choice, count(*) AS n FROM c GROUP BY ALL)
+      SELECT facet, choice, n, (row_number() OVER (PARTITION BY facet ORDER BY n DESC, choice))::INT AS rank, count(*) OVER (PARTITION BY facet) AS n_choices FROM n QUALIFY rank <= 20""",
     "import_ledger": f"""{_IMPORTS} SELECT import_id, line, CASE WHEN row_number() OVER (PARTITION BY make, model, variant, package, year ORDER BY nth, line) = 1 THEN 'created' ELSE 'updated' END AS outcome FROM v
       UNION ALL SELECT import_id, line, 'rejected' FROM r WHERE NOT valid""",
     "import_chain": f"""{_IMPORTS}, s AS (SELECT *, first_value(drive) OVER (PARTITION BY make, model, variant, package, year ORDER BY nth, line) AS first_drive FROM v QUALIFY {_LAST} = 1),

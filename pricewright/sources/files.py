@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import re
-import zipfile
-from collections.abc import Iterator
 from dataclasses import fields, replace
-from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.config import PricingConfig
+from pricewright.sources import workbook
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,41 +32,11 @@ def settings(text: str | None, default: PricingConfig) -> PricingConfig:
     return replace(default, **{k: v for k, v in given.items() if k in known and v is not None})
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _sheet(data: bytes) -> Iterator[dict[str, str]]:
-    """Rows of a workbook's first sheet under its first row's names."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in x.iter(f"{_MAIN}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        header: dict[str, str] = {}
-        for row in ElementTree.fromstring(book.read(first)).iter(f"{_MAIN}row"):
-            cells = {}
-            for c in row.iter(f"{_MAIN}c"):
-                value = c.find(f"{_MAIN}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                cells[re.match("[A-Z]+", c.get("r", "A"))[0]] = shared[int(text)] if c.get("t") == "s" else text
-            if not header:
-                header = cells
-            elif cells:
-                yield {name: cells[k] for k, name in header.items() if k in cells}
-
-
-def workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, line, row map) of the first sheet of every ``.xlsx`` below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(_sheet(data))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))], names=["path", "line", "row"])
-
-    return files.mapInArrow(read, "path string, line long, row map<string,string>")
+def workbooks(spark: SparkSession, folder: str, every_sheet: bool = False) -> DataFrame:
+    """(path, line, row map) of the first sheet of every ``.xlsx`` below a folder, or of all sheets with their names in ``sheet``."""
+    workbook.register(spark)
+    rows = spark.read.format("workbook").option("sheets", "all" if every_sheet else "first").load(folder)
+    return rows if every_sheet else rows.drop("sheet")
 
 
 def columns_of(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -52,6 +52,19 @@ def harvested_prices(rows: DataFrame, body: str, low: int = 50_000, high: int =
     return rows.select(*(c for c in rows.columns if c != body), F.explode(texts).alias("_t")).select("*", digits(F.col("_t")).alias("price")).drop("_t").where((F.col("price") > low) & (F.col("price") < high))
 
 
+def prices_or_harvest(rows: DataFrame, body: str, key: str, low: int = 50_000, high: int = 100_000_000) -> DataFrame:
+    """(key, price): the prices in a page's first listing rows; of a page whose rows give none, all that its text gives.
+
+    Keys are unique and not null.
+    """
+    cells = F.slice(F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tr[^>]*class=\"[^\"]*searchResults?Item[^\"]*\"[^>]*>.*?</tr>"), F.lit(0)), 1, PAGE_ROWS)
+    price = lambda x: digits(F.regexp_extract(x, r"(?is)<td[^>]*class=\"[^\"]*searchResultsPriceValue[^\"]*\"[^>]*>(.*?)</td>", 1))
+    texts = F.regexp_extract_all(F.col(body), F.lit(r"\d{1,3}(?:\.\d{3})+\s*TL"), F.lit(0))
+    within = lambda values: F.filter(values, lambda p: (p > low) & (p < high))
+    shown, anywhere = within(F.transform(cells, price)), within(F.transform(texts, digits))
+    return rows.select(key, F.explode(F.when(F.size(shown) > 0, shown).otherwise(anywhere)).alias("price"))
+
+
 class _Table(HTMLParser):
     """Cells of table rows: (attributes of the row, [(class, text)])."""
 
