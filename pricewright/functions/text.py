@@ -17,6 +17,11 @@ TURKISH, PLAIN = "İıÖöÜüŞşÇçĞğ", "IiOoUuSsCcGg"
 PLACEHOLDERS = ("Standart", "FarkliVaryant")
 # Words that mark a listing as damaged.
 DAMAGE_WORDS = ("ağır hasar", "pert")
+# The words that a search over listing rows takes as damage, and those of a stricter one.
+DAMAGE_RECORD_WORDS = ("pert", "hasar kayit", "hasar kayıt", "agir hasar", "ağır hasar", "hasarli", "hasarlı")
+DAMAGE_PAINT_WORDS = ("tavan boyali", "tavan boyalı", "komple boyali", "komple boyalı")
+#: Levels of what counts as damage, each with the words of the one before.
+DAMAGE_LEVELS = {"heavy": DAMAGE_WORDS, "record": DAMAGE_RECORD_WORDS, "paint": DAMAGE_RECORD_WORDS + DAMAGE_PAINT_WORDS}
 
 
 def trimmed(text: Column) -> Column:
@@ -72,6 +77,12 @@ def damaged(text: Column, strict: bool = False) -> Column:
     return contains_any(F.lower(F.coalesce(text, F.lit(""))), DAMAGE_WORDS)
 
 
+def damage_level(text: Column) -> Column:
+    """The first of the levels that a text's words reach; null for none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*(F.when(contains_any(low, words), name) for name, words in DAMAGE_LEVELS.items()))
+
+
 def known_variant(text: Column) -> Column:
     """Null where a variant is blank or a placeholder."""
     return F.when(~blank(text) & ~F.trim(text).isin(*PLACEHOLDERS), text)
@@ -115,3 +126,8 @@ def phone(text: Column) -> Column:
 def search_url(base: str, *terms: Column) -> Column:
     """Address of a search for all given terms."""
     return F.concat(F.lit(base), F.url_encode(F.concat_ws(" ", *terms)))
+
+
+def short_id(key: Column, n: int = 8) -> Column:
+    """The first characters of an id, as messages show it."""
+    return F.substring(key, 1, n)

@@ -53,6 +53,23 @@ def facet_counts(specs: DataFrame, base: Mapping[str, object], chosen: Mapping[s
     return ranked.join(total, "facet")
 
 
+def choices(rows: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """(level, the levels' names, n, n_below): every name under the names above it, with its rows and how many names stand below.
+
+    Names are null below a row's level, and a row without a name counts above it
+    only.  Each level is counted from the one below, so the table is read once for the
+    deepest and what is shuffled after that are names.
+    """
+    counted = rows.groupBy(*levels).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_below"))
+    out = None
+    for depth in range(len(levels), 0, -1):
+        here, below = list(levels[:depth]), levels[depth:]
+        shown = counted.where(F.col(here[-1]).isNotNull()).select(F.lit(depth).alias("level"), *here, *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in below), "n", "n_below")
+        out = shown if out is None else out.unionByName(shown)
+        counted = counted.groupBy(*here[:-1]).agg(F.sum("n").alias("n"), F.count(here[-1]).alias("n_below"))
+    return out
+
+
 def dashboard(evaluations: DataFrame, consignments: DataFrame) -> DataFrame:
     """One row of counts by status and the rounded mean valuation, 0 without any."""
     mean = F.coalesce(half_up(F.sum("estimated_value") / F.nullif(F.count("*"), F.lit(0))), F.lit(0))

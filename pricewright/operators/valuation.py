@@ -22,6 +22,25 @@ def valued(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DE
     return offered(matched(requests, snapshots, config), config)
 
 
+#: What a match depends on besides the snapshots.
+VEHICLE = ("make", "model", "variant", "year", "trim", "body", "fuel", "transmission")
+
+
+def valued_in_bulk(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
+    """``valued``, for many requests of the same vehicles.
+
+    A match depends on the vehicle only, so each is matched once, and the requests get
+    its figures by one join: the arrays of candidates never meet the requests.  A
+    popular vehicle is one row on its side, so the requests' side may be split.
+    """
+    found = matched(requests.select(*VEHICLE).distinct(), snapshots, config)
+    figures = [c for c in found.columns if c not in VEHICLE]
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in VEHICLE), *figures)
+    own = requests.drop(*figures)
+    same = [own[c].eqNullSafe(found[f"_{c}"]) for c in VEHICLE]
+    return offered(own.join(found, same, "left").drop(*(f"_{c}" for c in VEHICLE)), config)
+
+
 def persisted(requests: DataFrame, snapshots: DataFrame, config: PricingConfig = DEFAULT) -> DataFrame:
     """The valuations that are stored: as ``valued``, but matched without the request's trim, and successful ones alone."""
     rows = valued(requests.withColumn("trim", F.lit("")), snapshots, config)

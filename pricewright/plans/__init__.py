@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.plans import catalogue, jobs, market, names
+from pricewright.plans import catalogue, jobs, market, names, service
 
-MODULES = (market, catalogue, jobs, names)
+MODULES = (market, catalogue, jobs, names, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
