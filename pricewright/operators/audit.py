@@ -4,7 +4,8 @@ Each layer is dealt to ranges by a hash of its key, and a range is summed up to
 and a digest that does not depend on the order of rows.  Layers agree in a range whose
 digests agree; only rows of the other ranges are joined and compared field by field.
 Layers need not have all fields: each pair of neighbours that have a field is compared
-in it.  A row that a layer lacks differs in every field.
+in it.  A row that a layer lacks differs in every field.  Layers are read several times
+each: those that are costly to make are best written first.
 """
 
 from __future__ import annotations

@@ -140,11 +140,14 @@ def audit_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings of requests at a multiple of 7,000 km.
     """
     folder = versions_folder(spark)
-    asked, snaps = V.requests(spark, sf_dir), _snapshots(spark, sf_dir)
-    found = matching.matched(asked, snaps, V.CONFIG)
-    again = valuation.offered(found, V.CONFIG).select("request_id", *AUDITED, "year", "damage", "mileage")
-    versions.publish(again, folder, "offers")
-    stored = versions.read(spark, folder)
+    # Each layer is read several times, and so written once; the offers are made anew from the match.
+    tables = {
+        "match": matching.matched(V.requests(spark, sf_dir), _snapshots(spark, sf_dir), V.CONFIG),
+        "offers": lambda at: valuation.offered(spark.read.parquet(f"{at}/match"), V.CONFIG).select("request_id", *AUDITED, "year", "damage", "mileage"),
+    }
+    versions.update(spark, folder, lambda base: tables)
+    found, again = versions.read(spark, folder, "match"), versions.read(spark, folder, "offers")
+    stored = again
     changed = stored.withColumns({
         "cash_offer": F.when((F.col("year") == 1999) & (F.col("damage") == "YES"), F.col("cash_offer") + 5000).otherwise(F.col("cash_offer")), "n": F.when(F.col("mileage") % 7000 == 0, F.col("n") + 1).otherwise(F.col("n")),
     })

@@ -38,9 +38,14 @@ TITLE, TOP = "Valuation of the stock", 50
 
 
 def stock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a report on all listings: the largest reserves, and figures of all, if they pass the rules."""
-    rows = _valued_stock(spark, sf_dir).select(*(c for c in SHOWN if c != "segment"), "status", X.short_id(F.col("snapshot_id")).alias("segment"))
-    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("fmv", "cash_offer", "listing_price", "gross_reserve", "confidence")})
+    """The lines of a report on all listings: the largest reserves, and figures of all, if they pass the rules.
+
+    The valuations are stored first, as both the facts and the rows are read from them.
+    """
+    folder = versions_folder(spark)
+    versions.publish(_valued_stock(spark, sf_dir), folder, "valuations", min_rows=0)
+    rows = versions.read(spark, folder).select(*(c for c in SHOWN if c != "segment"), "status", X.short_id(F.col("snapshot_id")).alias("segment"))
+    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("fmv", "cash_offer", "listing_price", "gross_reserve", "confidence")}).withColumn("year", F.col("year").cast("string"))
     is_, valued = lambda status: F.col("status") == status, F.col("status") == valuation.SUCCESS
     facts = rows.agg(
         F.count("*").alias("listings"), F.count_if(valued).alias("valued"), F.count_if(is_(valuation.MANUAL)).alias("manual"), F.count_if(is_(valuation.INSUFFICIENT)).alias("insufficient"),
@@ -86,7 +91,7 @@ requests AS (
 )"""
 _VALUED_STOCK = _VALUED.replace(V.REQUESTS, _STOCK)
 _DOTS = lambda x: f"coalesce(replace(format('{{:,}}', {x}::BIGINT), ',', '.'), '-')"
-_TEXT = ("request_id", "make", "model", "segment")
+_TEXT = ("request_id", "make", "model", "year", "segment")
 _FACTS = {
     "listings": "count(*)", "valued": "count(*) FILTER (status = 'SUCCESS')", "manual": "count(*) FILTER (status = 'MANUAL_EVALUATION_REQUIRED')", "insufficient": "count(*) FILTER (status = 'INSUFFICIENT_DATA')",
     "makes": "count(DISTINCT make) FILTER (status = 'SUCCESS')", "exact": "count(*) FILTER (status = 'SUCCESS' AND level = 1)",
@@ -99,7 +104,7 @@ _REPORT = f"""{_VALUED_STOCK}, v AS (
 ), first AS (SELECT *, (row_number() OVER (ORDER BY gross_reserve DESC, request_id))::INT AS position FROM v WHERE status = 'SUCCESS' QUALIFY position <= {TOP})
 SELECT 0 AS section, 1 AS position, CASE WHEN len(f) = 0 THEN '# {TITLE}' ELSE '# {TITLE}: failed' END AS line FROM failed
 UNION ALL SELECT 1, 1, '| # | {" | ".join(SHOWN.values())} |' FROM failed WHERE len(f) = 0 UNION ALL SELECT 1, 2, '{"| ---: " * (1 + len(SHOWN))}|' FROM failed WHERE len(f) = 0
-UNION ALL SELECT 2, position, '| ' || position || {" || ".join(f"' | ' || {f'''coalesce({c}, '-')''' if c in _TEXT else _DOTS(c)}" for c in SHOWN)} || ' |' FROM first WHERE (SELECT len(f) FROM failed) = 0
+UNION ALL SELECT 2, position, '| ' || position || {" || ".join(f"' | ' || {f'''coalesce({c}::VARCHAR, '-')''' if c in _TEXT else _DOTS(c)}" for c in SHOWN)} || ' |' FROM first WHERE (SELECT len(f) FROM failed) = 0
 {" ".join(f"UNION ALL SELECT 3, {k}, '- {name}: ' || {_DOTS(name)} FROM failed WHERE len(f) = 0" for k, name in enumerate(_FACTS, 1))}
 UNION ALL SELECT 3, unnest(range(1, len(f) + 1))::INT, unnest(f) FROM failed"""
 _LEVEL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in X.DAMAGE_LEVELS.items()) + " END"
