@@ -463,12 +463,16 @@ def test_toxicity_sample_is_bounded(spark, documents, monkeypatch):
     assert seen[0][0] <= 61 - held and (len(seen) == 1 or seen[1][1] < seen[0][1])
 
 
-def test_toxicity_on_held_out_rows(spark, sf_dir, documents):
+def test_toxicity_on_held_out_rows(spark, documents):
+    # The larger table: of sf0.01's held-out rows only six are toxic, too few to tell a recall by.
+    sf_dir = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.learn(docs, labels)
     rows = toxicity.scored(docs, machine).join(labels, "doc_id")
     assert {r.doc_id for r in rows.where("held_out").collect()} == {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
-    assert rows.where("held_out AND predicted = toxic").count() >= 0.9 * rows.where("held_out").count()
+    held = rows.where("held_out").select("predicted", "toxic").collect()
+    bad, good = [r.predicted for r in held if r.toxic], [r.predicted for r in held if not r.toxic]
+    assert len(bad) > 50 and sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.02 * len(good), (sum(bad), len(bad), sum(good), len(good))
     odd = toxicity.scored(documents((1, None), (2, ""), (None, "x"), (2, "")).selectExpr("*", "1 AS score"), machine).collect()
     assert len(odd) == 4 and len({r.score for r in odd}) <= 2 and all(0 <= r.score <= 1 for r in odd)
 
