@@ -6,8 +6,10 @@ the rules in the order of rejections per second, stopping at the first one that
 rejects.  The verdict does not depend on the order; only the work does.
 
 Words are runs outside space and U+0009-U+000D; a null text has none.  Empty
-texts fail ``min_words``.  Repeated rows are judged each on its own.  The
-measurements are of whole texts.
+texts fail ``min_words``.  Repeated rows are judged each on its own, those with a
+null id, too; an empty table gives no rows.  Of other columns ``verdicts`` takes
+none, whatever their names, and ``passing`` keeps all.  The measurements are of
+whole texts.
 """
 
 from __future__ import annotations
