@@ -142,6 +142,21 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
         yield batch.slice(low, high - low)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, as long as their texts have no more than ``most`` bytes together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Lengths for which the effect of appended bytes on a checksum is tabulated whole.
 SHORT = 128
 

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.llm.shared import by_bytes, remove, session_of, shared_folder, written
+from pricewright.llm.shared import by_bytes, gathered, remove, session_of, shared_folder, written
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -58,8 +58,10 @@ HEAD, POINT, LAST = "<4s6I", "<QQQI", "<QI4s"
 #: Ids after which a block is closed (at a document's end), and bytes after which a file is.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
 LANES, IDS_A_LANE = 1024, 64
-#: Parts of words that a worker remembers before it starts anew, their bytes with those of their ids, and bytes of text encoded in one go.
-REMEMBERED, REMEMBERED_BYTES, BYTES_AT_ONCE = 400_000, 64 << 20, 2 << 20
+#: Parts of words that a worker remembers before it makes room, and their bytes with those of their ids.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
+#: Bytes of text encoded in one go, and those given to the library in one go, whose tokens take some hundred bytes each.
+BYTES_AT_ONCE, LIBRARY_BYTES = 4 << 20, 2 << 20
 
 
 # --- tokenising -------------------------------------------------------------
@@ -88,7 +90,15 @@ def byte_letters() -> dict[int, str]:
 
 def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places begin[k] .. begin[k] + sizes[k] of all k in a row."""
-    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    n = int(sizes.sum(dtype=np.int64))
+    kind = np.int32 if n + int(begin.max(initial=0)) < 1 << 31 else np.int64
+    sizes = sizes.astype(kind, copy=False)
+    first = np.cumsum(sizes, dtype=kind)
+    np.subtract(sizes, first, out=first)
+    first += begin.astype(kind, copy=False)
+    found = np.repeat(first, sizes)
+    found += np.arange(n, dtype=kind)
+    return found
 
 
 class WordEncoder:
@@ -97,8 +107,9 @@ class WordEncoder:
     Where the normaliser and the splitter are those named above, no token crosses
     a space or a line end, so a text's ids are the ids of its words, and those of
     a plain word are the ids of its letters and of its marks.  Each distinct part
-    goes through the library once and is remembered.  With any other tokenizer
-    whole texts go through the library.
+    goes through the library and is remembered; when there are too many, those
+    that came in one call only are forgotten.  With any other tokenizer whole
+    texts go through the library.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -123,6 +134,23 @@ class WordEncoder:
     def forget(self) -> None:
         self.known = pa.array([""], pa.large_string())
         self.begin, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.width)
+        #: Which of the known parts were looked up again; the first, the empty one, always stays.
+        self.again = np.ones(1, bool)
+
+    def full(self, share: int = 1) -> bool:
+        """Whether more than one ``share``-th of the room is taken."""
+        return len(self.known) > REMEMBERED // share or self.known.nbytes + self.flat.nbytes > REMEMBERED_BYTES // share
+
+    def make_room(self) -> None:
+        """Forget the parts that were not looked up again; all, if the others take more than half of the room."""
+        kept = np.flatnonzero(self.again)
+        self.known = self.known.take(pa.array(kept))
+        begin, self.sizes = self.begin[kept], self.sizes[kept]
+        self.flat = self.flat[ragged(begin, self.sizes)]
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.again = np.arange(kept.size) == 0
+        if self.full(2):
+            self.forget()
 
     @property
     def vocabulary(self) -> int:
@@ -133,57 +161,85 @@ class WordEncoder:
         """The kind of number that ids take on their way to the files."""
         return "<u2" if self.vocabulary <= 1 << 16 else "<u4"
 
-    def places(self, parts: pa.Array, plain: bool) -> np.ndarray:
-        """Where each of some distinct parts is among the known ones; new ones go through the library.
+    def from_library(self, texts: pa.Array, plain: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in a row, and how many each has.
 
         The letters of a plain word are one pre-token already, so the vocabulary's
-        merges are all that is left to do.
+        merges are all that is left to do.  All ids go to one list: a list a text
+        would keep the garbage collector busy.
+        """
+        merges, letters = self.library.model.tokenize, self.letters
+        for part in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, LIBRARY_BYTES):
+            ids: list[int] = []
+            sizes: list[int] = []
+            if plain:
+                for x in part.column(0).to_pylist():
+                    tokens = merges(x if x.isascii() else x.encode().decode("latin-1").translate(letters))
+                    ids += [t.id for t in tokens]
+                    sizes.append(len(tokens))
+            else:
+                for e in self.library.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False):
+                    ids += e.ids
+                    sizes.append(len(e))
+            yield np.array(ids, self.width), np.array(sizes, np.int64)
+
+    def places(self, letters: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of some distinct parts is among the known ones; new ones go through the library.
+
+        ``letters`` are those of plain words, in lower case; none is among the
+        others.  Looking up builds a table of all known parts, so it is done once.
         """
+        parts = pa.concat_arrays([letters, others])
         found = pc.index_in(parts, value_set=self.known)
         unknown = found.is_null()
         new, found = parts.filter(unknown), found.fill_null(0).to_numpy().astype(np.int64)
+        self.again[found] = True
         if len(new):
-            found[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
-            if plain:
-                merges, letters = self.library.model.tokenize, self.letters
-                ids = [[t.id for t in merges(x if x.isascii() else x.encode().decode("latin-1").translate(letters))] for x in new.to_pylist()]
-            else:
-                ids = [x.ids for x in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            unknown = unknown.to_numpy(zero_copy_only=False)
+            found[unknown] = len(self.known) + np.arange(len(new))
+            plain = int(unknown[: len(letters)].sum())
+            made = [*self.from_library(new[:plain], True), *self.from_library(new[plain:], False)]
+            sizes = np.concatenate([x for _, x in made])
             self.begin = np.r_[self.begin, self.flat.size + np.cumsum(sizes) - sizes]
             self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), self.width, int(sizes.sum()))]
+            self.flat = np.concatenate([self.flat, *(x for x, _ in made)])
+            self.again = np.r_[self.again, np.zeros(len(new), bool)]
             self.known = pa.concat_arrays([self.known, new])
-        return found
+        return found[: len(letters)], found[len(letters) :]
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
         """Ids of each text as numbers of ``width``, the end id after them; a null text is empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_words:
-            found = [x.ids for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return pa.array([np.array([*ids, end_id], self.width).tobytes() for ids in found], pa.large_binary())
-        if len(self.known) > REMEMBERED or self.known.nbytes + self.flat.nbytes > REMEMBERED_BYTES:
-            self.forget()
+            end = np.array([end_id], self.width).tobytes()
+            made = [x for ids, sizes in self.from_library(texts, False) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            return pa.array([x.tobytes() + end for x in made], pa.large_binary())
+        if self.full():
+            self.make_room()
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
         split = pc.extract_regex(words.dictionary, PLAIN)
         letters, marks = (split.field(k).dictionary_encode() for k in (0, 1))
         plain = split.is_valid().to_numpy(zero_copy_only=False)
         # Each distinct word is two parts: letters and marks, or the whole word and nothing.
+        lower = pc.utf8_lower(letters.dictionary).dictionary_encode()
+        others = pa.concat_arrays([marks.dictionary, words.dictionary.filter(pa.array(~plain))]).dictionary_encode()
+        own, rest = self.places(lower.dictionary, others.dictionary)
+        rest = rest[others.indices.to_numpy()]
         first, second = np.zeros(plain.size, np.int64), np.zeros(plain.size, np.int64)
         if plain.any():
-            lower = pc.utf8_lower(letters.dictionary).dictionary_encode()
-            own = self.places(lower.dictionary, True)[lower.indices.to_numpy()]
-            at = pc.filter(pa.array(np.arange(plain.size)), pa.array(plain)).to_numpy()
-            first[at] = own[letters.indices.fill_null(0).to_numpy()[at]]
-            second[at] = self.places(marks.dictionary, False)[marks.indices.fill_null(0).to_numpy()[at]]
-        first[~plain] = self.places(words.dictionary.filter(pa.array(~plain)), False)
+            at = np.flatnonzero(plain)
+            first[at] = own[lower.indices.to_numpy()[letters.indices.fill_null(0).to_numpy()[at]]]
+            second[at] = rest[marks.indices.fill_null(0).to_numpy()[at]]
+        first[~plain] = rest[len(marks.dictionary) :]
         # The ids of the distinct words in a row, the end id last; then those of all words.
         both = np.stack([first, second], 1).ravel()
         sizes = self.sizes[both]
         flat = np.r_[self.flat[ragged(self.begin[both], sizes)], np.array([end_id], self.width)]
         sizes = np.r_[sizes.reshape(-1, 2).sum(1), 1]
         begin = np.cumsum(sizes) - sizes
+        if flat.size < 1 << 31:  # half the memory where texts have very many words
+            sizes, begin = sizes.astype(np.int32), begin.astype(np.int32)
         count = pc.list_value_length(cut).to_numpy()
         every = np.insert(words.indices.to_numpy(), np.cumsum(count), plain.size)
         n = sizes[every]
@@ -205,7 +261,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
-        for batch in batches:
+        for batch in gathered(batches, 1, BYTES_AT_ONCE):
             for part in by_bytes(batch, 1, BYTES_AT_ONCE):
                 ids = encoder.encode(part.column(1), end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(pa.binary())], names=["key", "ids"])

@@ -275,6 +275,33 @@ def test_other_tokenizers_encode_whole_texts(documents):
         assert np.frombuffer(r.ids, "<u2").tolist() == [*library.encode(texts[r.key] or "", add_special_tokens=False).ids, 7]
 
 
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    """Room is made of words that came once; a part of the texts is looked up among the known words once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(file), token_files.WordEncoder(file)
+    looked_up, index_in = [], token_files.pc.index_in
+    monkeypatch.setattr(token_files, "REMEMBERED", 100)
+    monkeypatch.setattr(token_files.pc, "index_in", lambda *args, **named: looked_up.append(1) or index_in(*args, **named))
+    letters = "abcdefghij"
+    for k in range(12):
+        rare = " ".join(f"rare{letters[k % 10]}{letters[k // 10]}{x}{y}" for x in letters[:5] for y in letters[:6])
+        texts = [f"Common, words É...\n... again {rare}", None, "", "Again: don't 中文 42"]
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(pa.array(texts), 7).to_pylist()]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+        known = encoder.known.to_pylist()
+        assert len(known) == len(set(known)) and len(known) < 200
+        assert {"common", "words", "é", "again", "...", ",", "don't", "中文", "42"} <= set(known)
+    assert len(looked_up) == 12
+    # Room is made after the next call; the words that came again are not asked for anew.
+    for k in range(8):
+        encoder.encode(pa.array([" ".join(f"other{letters[k]}{x}{y}" for x in letters[:4] for y in letters)]), 7)
+        if k == 1:
+            assert {"common", "again", "..."} <= set(encoder.known.to_pylist()) and "rareaaaa" not in encoder.known.to_pylist()
+
+
 def test_checkpoints_come_from_the_files(tmp_path):
     import struct
 

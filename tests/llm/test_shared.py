@@ -1,4 +1,4 @@
-"""What the operators share: scratch folders of queries side by side, and checksums."""
+"""What the operators share: scratch folders of queries side by side, checksums, and batches."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 
 from pricewright.llm import queries
-from pricewright.llm.shared import crc_after
+from pricewright.llm.shared import crc_after, gathered
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +33,11 @@ def test_crc_of_joint_strings():
     assert got.tolist() == [zlib.crc32(a + b) for a, b in pairs]
     none = np.zeros(0, np.uint32)
     assert crc_after(none, none, np.zeros(0, np.int64)).size == 0
+
+
+def test_batches_gathered_by_bytes():
+    texts = [["aa", None], [], ["bbbb"], ["c" * 9], [None], ["", "dd"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["text"]) for x in texts]
+    got = [b.column(0).to_pylist() for b in gathered(iter(batches), 0, 6)]
+    assert got == [["aa", None, "bbbb"], ["c" * 9], [None, "", "dd"]]
+    assert list(gathered(iter([]), 0, 6)) == []
