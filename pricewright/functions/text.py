@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,14 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, "^[\\s\\u00A0]+|[\\s\\u00A0]+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read: a one-element array binds it.
+
+    Spark does not look for common parts within lambdas and the branches of rules.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cleaned(text: Column) -> Column:
     """A name without page suffix and junk, separators as single spaces; '' for null.
 
@@ -35,16 +43,17 @@ def cleaned(text: Column) -> Column:
     the deletions.  They stand in a lambda, which Spark does not compile: a chain
     of so many patterns costs more to compile than most tables take to clean.
     """
-    return F.get(F.transform(F.array(text), _cleaned), F.lit(0))
+    return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*-\s*[0-9]+$", ""), _cleaned)
 
 
-def _cleaned(text: Column) -> Column:
-    name = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*-\s*[0-9]+$", "")
+def _cleaned(name: Column) -> Column:
     out = name
     for fragment in JUNK:
         out = F.regexp_replace(out, "(?i)" + fragment, "")
-    out = F.when(name.rlike("(?i)" + "|".join(JUNK)), out).otherwise(name)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[-_]", " "), r"\s+", " "))
+    # Most places of a text hold no first letter of a fragment, and are told apart by one look.
+    firsts = "".join(sorted({fragment.lstrip("\\")[0] for fragment in JUNK}))
+    out = F.when(name.rlike(f"(?i)(?=[{firsts}])(?:{'|'.join(JUNK)})"), out).otherwise(name)
+    return F.trim(F.regexp_replace(F.translate(out, "-_", "  "), r"\s+", " "))
 
 
 def folded(text: Column) -> Column:

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewright.config import DEFAULT, PricingConfig
 from pricewright.operators import listings as L
-from pricewright.operators import mutations, snapshots, versions
+from pricewright.operators import mutations, normalize, snapshots, versions
 from pricewright.sources import html
 
 VALID, QUARANTINED = "VALID", "QUARANTINED"
@@ -39,22 +40,25 @@ def judged(pages: DataFrame, body: str = "body", page: str = "page", source: str
     c = F.col
     parts = F.split(page, "/")
     file = F.regexp_replace(F.element_at(parts, -1), r"(?i)\.html?$", "")
-    found = html.rows_by_class(pages.select(F.coalesce(F.when(F.size(parts) > 1, F.element_at(parts, -2)), F.lit("")).alias("folder"), file.alias("file"), F.col(body).alias("body")), "body", ["folder", "file"])
+    named = pages.select(F.coalesce(F.when(F.size(parts) > 1, F.element_at(parts, -2)), F.lit("")).alias("folder"), file.alias("file"), F.col(body).alias("body"))
+    # All rows of a page have its make and model.
+    found = html.rows_by_class(named.withColumn("name", normalize.named(c("folder"), c("file"))), "body", ["folder", "file", "name"])
     tag = F.coalesce(F.nullif(F.trim("tag"), F.lit("")), c("file"))
     text = F.concat_ws(" ", "title", "tag", "location")
-    raw = found.where("error IS NULL").select(
+    raw = found.select(
         F.lit(source).alias("source"), "listing_id", c("folder").alias("make"), c("file").alias("model"), tag.alias("variant"), "title",
-        c("year_text").alias("year"), c("mileage_text").alias("mileage"), c("price_text").alias("price"), text.alias("text"),
+        c("year_text").alias("year"), c("mileage_text").alias("mileage"), c("price_text").alias("price"), text.alias("text"), "name", "error",
     )
     # Damage is looked for in all of the row's texts, names in the title alone.
-    rows = L.judged(raw, config, damage=c("text")).withColumn("variant", F.coalesce("variant", F.lit("")))
-    broken = found.where("error IS NOT NULL").select(
-        F.lit(source).alias("source"), F.concat(F.lit("ERROR_"), "file").alias("listing_id"), F.lit("").alias("make"), F.lit("").alias("model"), F.lit("").alias("variant"), F.concat(F.lit("unreadable page: "), "file").alias("title"),
-        F.lit(None).cast("int").alias("year"), F.lit(None).cast("long").alias("mileage"), F.lit(None).cast("long").alias("price"), F.lit(False).alias("is_damaged"),
-        F.concat(F.lit("PARSER_EXCEPTION: "), "error").alias("reason"), c("folder").alias("raw_make"), c("file").alias("raw_model"),
-    )
-    rows = rows.unionByName(broken).withColumn("status", F.when(F.col("reason").isNull(), VALID).otherwise(QUARANTINED))
-    return rows.select(*KEY, *FACTS)
+    rows = L.judged(raw, config, damage=c("text"), keep=["error"], name=c("name"))
+    # Rows and unreadable pages are told apart in one pass: of two, each would parse all pages.
+    of_page = {
+        "listing_id": F.concat(F.lit("ERROR_"), "raw_model"), "make": F.lit(""), "model": F.lit(""), "title": F.concat(F.lit("unreadable page: "), "raw_model"),
+        "is_damaged": F.lit(False), "reason": F.concat(F.lit("PARSER_EXCEPTION: "), "error"),
+    }
+    broken = c("error").isNotNull()
+    rows = rows.withColumns({name: F.when(broken, value).otherwise(c(name)) for name, value in of_page.items()} | {name: F.when(~broken, c(name)) for name in ("year", "mileage", "price")} | {"variant": F.when(broken, "").otherwise(F.coalesce("variant", F.lit("")))})
+    return rows.withColumn("status", F.when(F.col("reason").isNull(), VALID).otherwise(QUARANTINED)).select(*KEY, *FACTS)
 
 
 def one_each(rows: DataFrame) -> DataFrame:
@@ -62,14 +66,17 @@ def one_each(rows: DataFrame) -> DataFrame:
     return L.first_of(rows, KEY, [F.col("status"), F.col("reason").asc_nulls_last(), *L.total_order(rows, "price", "mileage")])
 
 
-def merged(old: DataFrame, new: DataFrame, run: int) -> DataFrame:
+def merged(old: DataFrame | None, new: DataFrame, run: int) -> DataFrame:
     """The listings after a run, with what became of each: ``action``, and the segments it left (``was``) and ``counts`` in.
 
     Actions are created, updated, quarantined (from valid), restored (to valid)
     and seen; null for a listing that the run did not see.
     """
     pack = lambda rows, name: rows.select(*(F.col(k).alias(f"{name}_{k}") for k in KEY), F.struct(*(F.col(f) for f in rows.columns)).alias(name))
-    both = pack(old, "o").join(pack(new, "n"), (F.col("o_source") == F.col("n_source")) & (F.col("o_listing_id") == F.col("n_listing_id")), "full_outer")
+    if old is None:  # nothing to join with
+        both = pack(new, "n").withColumn("o", F.lit(None).cast(T.StructType.fromDDL(LISTINGS)))
+    else:
+        both = pack(old, "o").join(pack(new, "n"), (F.col("o_source") == F.col("n_source")) & (F.col("o_listing_id") == F.col("n_listing_id")), "full_outer")
     o, n = F.col("o"), F.col("n")
     differs = lambda names: _any(~o[f].eqNullSafe(n[f]) for f in names)
     before = o.isNotNull() & (o["status"] == VALID) & ~o["is_damaged"]
@@ -108,10 +115,12 @@ def refreshed(served: DataFrame | None, listings: DataFrame, specs: DataFrame, c
     return served.join(segments, list(snapshots.SEGMENT), "left_anti").unionByName(fresh)
 
 
-def quarantine(old: DataFrame, rows: DataFrame, run: int) -> DataFrame:
+def quarantine(old: DataFrame | None, rows: DataFrame, run: int) -> DataFrame:
     """The quarantine after a run: known rows with new facts and last run, and those of new (source, listing, reason)."""
     number = F.lit(run).cast("long")
     bad = rows.where(F.col("status") == QUARANTINED).select(*KEY, "reason", "raw_make", "raw_model", "title", "price", number.alias("first_run"), number.alias("last_run"))
+    if old is None:
+        return L.first_of(bad, [*KEY, "reason"], L.total_order(bad, *KEY, "reason"))
     return mutations.upsert(old, bad, [*KEY, "reason"], ["raw_make", "raw_model", "title", "price", "last_run"])
 
 
@@ -127,8 +136,6 @@ def run(pages: DataFrame, specs: DataFrame, folder: str, number: int, config: Pr
         if base is not None and base.notes.get("run", -1) >= number:
             return None
         old, held, served = (None if base is None else versions.read(spark, folder, part, base) for part in ("listings", "quarantine", "snapshots"))
-        old = spark.createDataFrame([], LISTINGS) if old is None else old
-        held = spark.createDataFrame([], QUARANTINE) if held is None else held
         read = lambda at, name: spark.read.parquet(f"{at}/{name}")
         return {
             "found": judged(pages, config=config, **options),

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricewright.functions.rules import first_match, first_rule
-from pricewright.functions.text import cleaned, folded_upper, numeric_only
+from pricewright.functions.text import bound, cleaned, folded_upper, numeric_only
 
 # Canonical makes, the first whose needle the folded make contains.
 MAKES = (
@@ -54,6 +54,8 @@ MODELS = {
 }
 #: Makes whose model must be one of the table's.
 CLOSED = ("DS Automobiles", "BYD", "Cupra", "Daihatsu")
+#: Makes with rules that read more than the model.
+READING = tuple(make for make, rules in MODELS.items() if any({"title", "raw_title", "variant", "all"} & set(fields) for fields, _ in rules))
 # What scraping leaves behind in models and variants, and the reasons of quarantine.
 MODEL_DEBRIS = ("SAHIBINDEN", "MODELLERI", "MODLERI", "FARK LIVARYANT", "FARKLIVARYANT")
 VARIANT_DEBRIS = ("sahibinden", "modelleri", "modleri", "farklivaryant")
@@ -61,50 +63,61 @@ EMPTY_VARIANTS = ("Standart", "FarkliVaryant", "Genel Model")
 BAD_MAKE, BAD_MODEL = "GEÇERSİZ_MARKA_TESPİTİ", "GEÇERSİZ_MODEL_TESPİTİ"
 
 
-def canonical(make: Column, model: Column, variant: Column | None = None, title: Column | None = None) -> Column:
+def named(make: Column, model: Column) -> Column:
+    """(make, model, upper_model): the canonical make, and the model as cleaned."""
+    of_make = bound(cleaned(make), lambda plain: bound(folded_upper(plain), lambda upper: first_match([upper], MAKES, plain)))
+    return bound(cleaned(model), lambda model: F.struct(of_make.alias("make"), model.alias("model"), folded_upper(model).alias("upper_model")))
+
+
+def canonical(make: Column, model: Column, variant: Column | None = None, title: Column | None = None, name: Column | None = None) -> Column:
     """(make, model, variant, is_valid, reason): raw names stay where they are not valid.
 
-    Nulls are empty names; an empty make or model is quarantined.
+    Nulls are empty names; an empty make or model is quarantined.  ``name`` is what
+    ``named`` gives for make and model, where it was told for many rows at once.
     """
     empty = F.lit("")
-    given = {"make": make, "model": model, "variant": variant if variant is not None else empty, "title": title if title is not None else empty}
-    # One chain for all four, each as cleaned and folded.
-    texts = F.transform(F.transform(F.array(*given.values()), cleaned), lambda x: F.struct(x.alias("plain"), folded_upper(x).alias("upper")))
-    names = F.transform(F.array(texts), lambda t: F.struct(*(t[k]["plain"].alias(n) for k, n in enumerate(given)), *(t[k]["upper"].alias(f"upper_{n}") for k, n in enumerate(given))))[0]
-    # A one-element array binds the names once, so that every rule reads the same value.
-    return F.transform(F.array(names), lambda n: _canonical(n, F.coalesce(make, empty), F.coalesce(model, empty)))[0]
-
-
-def _canonical(n: Column, raw_make: Column, raw_model: Column) -> Column:
-    make = first_match([n["upper_make"]], MAKES, n["make"])
-    fields = {
-        "model": n["upper_model"], "title": n["upper_title"], "variant": n["upper_variant"], "raw_model": n["model"], "raw_title": n["title"],
-        "all": F.concat_ws(" ", n["upper_model"], n["upper_title"], n["upper_variant"]),
-    }
-    known = F.lit(None).cast("string")
-    for name, rules in MODELS.items():
-        known = F.when(make == name, first_rule(rules, fields)).otherwise(known)
-    model = F.when(make.isin(*CLOSED), known).otherwise(F.coalesce(known, n["model"]))
-    return F.transform(F.array(F.struct(make.alias("make"), model.alias("model"))), lambda m: _judged(m, n, raw_make, raw_model))[0]
-
-
-def _judged(m: Column, n: Column, raw_make: Column, raw_model: Column) -> Column:
-    upper_model, upper_make = F.upper(m["model"]), F.upper(m["make"])
+    variant, title = (empty if x is None else x for x in (variant, title))
+    make, model, name = F.coalesce(make, empty), F.coalesce(model, empty), named(make, model) if name is None else name
+    judged = lambda n, variant: bound(_model(n, variant, title), lambda m: bound(_reason(m), lambda reason: _judged(m, reason, variant, make, model)))
+    return bound(name, lambda n: bound(cleaned(variant), lambda variant: judged(n, variant)))
+
+
+def _model(n: Column, variant: Column, title: Column) -> Column:
+    """(make, model, upper_make, upper_model), the model by the make's rules; texts beside the model are looked at only if a rule of the make reads them."""
+    beside = bound(cleaned(title), lambda t: F.struct(t.alias("raw_title"), folded_upper(t).alias("title"), folded_upper(variant).alias("variant")))
+
+    def model(o: Column) -> Column:
+        fields = {
+            "model": n["upper_model"], "raw_model": n["model"], "title": o["title"], "raw_title": o["raw_title"], "variant": o["variant"],
+            "all": F.concat_ws(" ", n["upper_model"], o["title"], o["variant"]),
+        }
+        known = F.lit(None).cast("string")
+        for name, rules in MODELS.items():
+            known = F.when(n["make"] == name, first_rule(rules, fields)).otherwise(known)
+        return F.when(n["make"].isin(*CLOSED), known).otherwise(F.coalesce(known, n["model"]))
+
+    found = bound(F.when(n["make"].isin(*READING), beside), model)
+    return bound(found, lambda model: F.struct(n["make"].alias("make"), model.alias("model"), F.upper(n["make"]).alias("upper_make"), F.upper(model).alias("upper_model")))
+
+
+def _reason(m: Column) -> Column:
     debris = F.lit(False)
     for word in MODEL_DEBRIS:
-        debris = debris | upper_model.contains(word)
-    same = (upper_model == upper_make) | (upper_model == F.regexp_replace(upper_make, r"\s+", "")) | (F.regexp_replace(upper_model, r"\s+", "") == upper_make)
+        debris = debris | m["upper_model"].contains(word)
+    same = (m["upper_model"] == m["upper_make"]) | (m["upper_model"] == F.regexp_replace(m["upper_make"], r"\s+", "")) | (F.regexp_replace(m["upper_model"], r"\s+", "") == m["upper_make"])
     bad_model = m["model"].isNull() | (F.length(m["model"]) < 2) | (m["model"] == "Genel Model") | same | debris
-    bad_make = F.length(m["make"]) < 2
-    low = F.lower(n["variant"])
-    no_variant = (n["variant"] == "") | n["variant"].isin(*EMPTY_VARIANTS) | numeric_only(n["variant"])
+    return F.when(F.length(m["make"]) < 2, BAD_MAKE).when(bad_model, BAD_MODEL)
+
+
+def _judged(m: Column, reason: Column, variant: Column, raw_make: Column, raw_model: Column) -> Column:
+    low = F.lower(variant)
+    no_variant = (variant == "") | variant.isin(*EMPTY_VARIANTS) | numeric_only(variant)
     for word in VARIANT_DEBRIS:
         no_variant = no_variant | low.contains(word)
-    reason = F.when(bad_make, BAD_MAKE).when(bad_model, BAD_MODEL)
     return F.struct(
-        F.when(bad_make, raw_make).otherwise(m["make"]).alias("make"),
+        F.when(reason == BAD_MAKE, raw_make).otherwise(m["make"]).alias("make"),
         F.when(reason.isNotNull(), raw_model).otherwise(m["model"]).alias("model"),
-        F.when(reason.isNull() & ~no_variant, n["variant"]).alias("variant"),
+        F.when(reason.isNull() & ~no_variant, variant).alias("variant"),
         reason.isNull().alias("is_valid"),
         reason.alias("reason"),
     )

@@ -305,21 +305,30 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(V.unique_listings(spark, sf_dir))
 
 
-def pages_of(rows: DataFrame, title: str = "model") -> DataFrame:
-    """Results pages of all listings, as many a model as give about ``PAGE_ROWS`` listings each."""
-    models = rows.groupBy("make", "model").agg(F.ceil(F.count("*") / html.PAGE_ROWS).alias("pages"))
+def pages_of(rows: DataFrame, title: str = "model", models: DataFrame | None = None) -> DataFrame:
+    """Results pages of all listings, as many a model as give about ``PAGE_ROWS`` listings each; ``models`` are the ``page_counts`` of the rows, if they were stored."""
     number = F.conv(F.substring(F.md5(F.col("listing_id").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("pages")
-    return _paged(rows.join(models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")), title)
+    return _paged(rows.join(page_counts(rows) if models is None else models, ["make", "model"]), F.concat("make", F.lit("/"), "model", F.lit("-"), number, F.lit(".html")), title)
+
+
+def page_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("make", "model").agg(F.ceil(F.count("*") / html.PAGE_ROWS).alias("pages"))
 
 
 def _paged(rows: DataFrame, page: Column, title: str) -> DataFrame:
-    cell = lambda css, text: F.concat(F.lit(f'<td class="{css}">'), text, F.lit("</td>"))
-    row = F.concat(
-        F.lit('<tr class="searchResultsItem" data-id="'), F.col("listing_id"), F.lit('">'), cell("searchResultsTagAttributeValue", F.concat(F.lit(" "), F.regexp_replace("variant", " ", "-"), F.lit(" "))),
-        cell("searchResultsTitleValue", F.concat(F.lit("<a>"), F.col(title), F.lit("</a>"))), cell("searchResultsAttributeValue", F.concat(F.lit(" "), F.col("year").cast("string"))),
-        cell("searchResultsAttributeValue", F.coalesce(F.col("mileage").cast("string"), F.lit(""))), cell("searchResultsPriceValue", F.concat(F.lit("<span>"), X.thousands(F.col("price")), F.lit(" TL</span>"))), F.lit("</tr>"),
+    texts = {
+        "listing": F.col("listing_id"), "tag": F.regexp_replace("variant", " ", "-"), "title": F.col(title), "year": F.col("year").cast("string"),
+        "mileage": F.coalesce(F.col("mileage").cast("string"), F.lit("")), "price": X.thousands(F.col("price")),
+    }
+    cell = lambda css, *parts: F.concat(F.lit(f'<td class="{css}">'), *parts, F.lit("</td>"))
+    row = lambda x: F.concat(
+        F.lit('<tr class="searchResultsItem" data-id="'), x["listing"], F.lit('">'), cell("searchResultsTagAttributeValue", F.lit(" "), x["tag"], F.lit(" ")),
+        cell("searchResultsTitleValue", F.lit("<a>"), x["title"], F.lit("</a>")), cell("searchResultsAttributeValue", F.lit(" "), x["year"]),
+        cell("searchResultsAttributeValue", x["mileage"]), cell("searchResultsPriceValue", F.lit("<span>"), x["price"], F.lit(" TL</span>")), F.lit("</tr>"),
     )
-    body = F.concat(F.lit("<html><body><p>1.234 TL</p><table>"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("</table></body></html>"))
+    # Only the texts are shuffled; a row is many times as long.
+    shown = F.filter(F.transform(F.collect_list(F.struct(*(text.alias(name) for name, text in texts.items()))), row), lambda x: x.isNotNull())
+    body = F.concat(F.lit("<html><body><p>1.234 TL</p><table>"), F.array_join(F.sort_array(shown), "\n"), F.lit("</table></body></html>"))
     return rows.groupBy(page.alias("page")).agg(body.alias("body"))
 
 

@@ -1,12 +1,15 @@
 """Listing rows out of HTML pages: by regular expressions, by cell class, by cell position.
 
-Patterns stay in Spark.  Parsing needs the standard library's parser, in Arrow
-batches.  A page that cannot be parsed gives a row with an error.
+Patterns stay in Spark.  Parsing runs in Arrow batches: pages of plain markup are cut
+at their tags, all others go through the standard library's parser, with the same
+result.  A page that cannot be parsed gives a row with an error.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -91,28 +94,76 @@ class _Table(HTMLParser):
 
 
 PARSED = "listing_id string, title string, year_text string, mileage_text string, price_text string, tag string, location string, error string"
+NAMES = tuple(x.split()[0] for x in PARSED.split(", "))
 CLASSES = {"title": "searchResultsTitleValue", "price_text": "searchResultsPriceValue", "tag": "searchResultsTagAttributeValue", "location": "searchResultsLocationValue"}
+VALUES = "searchResultsAttributeValue"
+#: Pages that are parsed at once; their rows are one batch, so that no task holds those of thousands of pages.
+PAGES_AT_ONCE = 64
+
+# Pages whose rows can be cut out without the parser: each row and cell is closed where it ends, all other tags are
+# known ones that say nothing, attributes stand in double quotes, and there are no references, comments or scripts.
+_SPACE, _TEXT = r"[ \t\n]", r"[^<&\0]*+"
+_ATTRIBUTES = rf'(?:{_SPACE}++[a-z][a-z-]*+="[^"&<>\0]*+")*+{_SPACE}*+'
+_OTHER = r"(?:a|b|i|p|br|div|span|strong|em|ul|li|img|h[1-6]|html|head|body|table|thead|tbody|tfoot|th)"
+_LOOSE = rf"{_TEXT}(?:<(?:/{_OTHER}|{_OTHER}{_ATTRIBUTES})>{_TEXT})*+"
+_PLAIN = re.compile(rf"{_LOOSE}(?:<tr{_ATTRIBUTES}>{_LOOSE}(?:<td{_ATTRIBUTES}>{_LOOSE}</td>{_LOOSE})*+</tr>{_LOOSE})*+")
+_ATTRIBUTE, _TAG = re.compile(r'([a-z-]+)="([^"]*)"'), re.compile("<[^>]*>")
+
+
+@lru_cache(4096)
+def _class(attributes: str) -> str:
+    return dict(_ATTRIBUTE.findall(attributes)).get("class", "")
+
+
+@lru_cache(4096)
+def _places(css: str) -> tuple[tuple[int, ...], bool]:
+    """The columns that a cell's classes name, and whether they name a value."""
+    names = css.split()
+    return tuple(NAMES.index(column) for column, name in CLASSES.items() if name in names), VALUES in names
+
+
+def _rows(body: str) -> Iterator[tuple[str, list]]:
+    """(data-id, [(class, text)]) of each table row with a ``data-id``; texts may hold repeated spaces."""
+    if _PLAIN.fullmatch(body) is None:
+        parser = _Table()
+        parser.feed(body)
+        yield from ((attributes["data-id"], cells) for attributes, cells in parser.rows if attributes.get("data-id"))
+        return
+    for row in body.split("<tr")[1:]:
+        attributes, _, inner = row.partition(">")
+        listing = dict(_ATTRIBUTE.findall(attributes)).get("data-id")
+        if not listing:
+            continue
+        cells = []
+        for cell in inner.split("<td")[1:]:
+            attributes, _, text = cell.partition(">")
+            text = text[: text.index("</td>")]
+            cells.append((_class(attributes), _TAG.sub("", text) if "<" in text else text))
+        yield listing, cells
 
 
-def _parse(body: str, positional: bool) -> Iterator[dict]:
-    parser = _Table()
-    parser.feed(body)
+def _parse(body: str, positional: bool) -> Iterator[list]:
+    """The ``PARSED`` columns of each listing row."""
     shown = 0
-    for attributes, cells in parser.rows:
-        if not attributes.get("data-id"):
-            continue
-        texts = [" ".join(text.split()) for _, text in cells]
-        row = dict.fromkeys(x.split()[0] for x in PARSED.split(", "))
-        row["listing_id"] = attributes["data-id"]
+    for listing, cells in _rows(body):
         if positional:
-            if len(texts) < 7 or shown >= PAGE_ROWS:
+            if len(cells) < 7 or shown >= PAGE_ROWS:
                 continue
-            row |= {"tag": texts[1], "title": texts[2], "year_text": texts[3], "mileage_text": texts[4], "price_text": texts[6], "location": texts[8] if len(texts) > 8 else ""}
+            text = lambda k: " ".join(cells[k][1].split())  # noqa: B023, E731
+            row = [listing, text(2), text(3), text(4), text(6), text(1), text(8) if len(cells) > 8 else "", None]
         else:
-            by_class = lambda css: [t for (c, _), t in zip(cells, texts, strict=True) if css in c.split()]  # noqa: B023, E731
-            values = by_class("searchResultsAttributeValue")
-            row |= {name: next(iter(by_class(css)), "") for name, css in CLASSES.items()}
-            row |= {"year_text": values[0] if values else "", "mileage_text": values[1] if len(values) > 1 else ""}
+            row, value = [listing, None, "", "", None, None, None, None], 2
+            for css, text in cells:
+                places, is_value = _places(css)
+                for at in places:
+                    if row[at] is None:
+                        row[at] = " ".join(text.split())
+                if is_value and value <= 3:
+                    row[value] = " ".join(text.split())
+                    value += 1
+            for at in (1, 4, 5, 6):
+                if row[at] is None:
+                    row[at] = ""
         shown += 1
         yield row
 
@@ -122,19 +173,18 @@ def _parsed(rows: DataFrame, body: str, keep: Sequence[str], positional: bool) -
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema if f.name != body), PARSED])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, PAGES_AT_ONCE) for whole in batches for k in range(0, whole.num_rows, PAGES_AT_ONCE)):
             at, out = [], []
             for k, text in enumerate(batch.column(len(keep)).to_pylist()):
                 try:
                     found = list(_parse(text or "", positional))
                 except Exception as error:  # a page that cannot be read is quarantined, not lost
-                    found = [dict.fromkeys(x.split()[0] for x in PARSED.split(", ")) | {"error": str(error)[:200]}]
+                    found = [[*[None] * (len(NAMES) - 1), str(error)[:200]]]
                 at += [k] * len(found)
                 out += found
-            names = [x.split()[0] for x in PARSED.split(", ")]
             take = pa.array(at, pa.int64())
-            columns = [batch.column(i).take(take) for i in range(len(keep))] + [pa.array([r[n] for r in out], pa.string()) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            columns = [batch.column(i).take(take) for i in range(len(keep))] + [pa.array(x, pa.string()) for x in (zip(*out, strict=True) if out else [()] * len(NAMES))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *NAMES])
 
     found = facts.mapInArrow(parse, schema)
     return found.withColumns({"year": digits(F.col("year_text")).cast("int"), "mileage": digits(F.col("mileage_text")), "price": digits(F.col("price_text")), "title": trimmed(F.col("title"))})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
-from pricewright.operators import ingest, snapshots, versions
+from pricewright.operators import ingest, normalize, snapshots, versions
+from pricewright.plans import jobs
+from pricewright.sources import html
 
 BROKEN = "<table><tr data-id='1'><td><![bad[x]]>"
 
@@ -94,3 +98,77 @@ def test_two_runs_at_once_are_both_merged(spark, tmp_path):
 def test_empty_tables(spark, run):
     for number in (1, 2):
         assert [t.count() for t in run(number, [("a/b.html", None)])] == [0, 0, 0]
+
+
+def test_plain_pages_are_cut_without_the_parser(monkeypatch):
+    body = page(row("a", 900_000), row("b", 10, title="<a>bir  iki</a>", tag=" 1.6\n"), "<tr><th>x</th></tr>")
+
+    def refuse():
+        raise AssertionError("the parser was asked")
+
+    monkeypatch.setattr(html, "_Table", refuse)
+    assert [r[:6] for r in html._parse(body, False)] == [["a", "temiz", "2018", "120.000", "900000 TL", "1.6"], ["b", "bir iki", "2018", "120.000", "10 TL", "1.6"]]
+    for odd in ("<td>1 &amp; 2</td>", "<!-- x -->", "<TD>1</TD>", "<td>1", "a < b", "<td class='q'>1</td>", "<script>x</script>"):
+        with pytest.raises(AssertionError):
+            list(html._parse(page(f'<tr data-id="1">{odd}</tr>'), False))
+
+
+@pytest.mark.parametrize("positional", [False, True])
+def test_cut_pages_give_what_the_parser_gives(monkeypatch, positional):
+    rng = random.Random(positional)
+    inner = ["text", " a \n b\xa0", "<a>", "</a>", '<span class="x">', "</span>", "<br>", "&amp;", "<", "</td>", "<!-- c -->", "<td>", "</tr>", "<tr>", "\0", "<b x='1'>", "<br/>"]
+    classes = ['class="searchResultsTitleValue"', 'class="searchResultsAttributeValue x"', 'class="searchResultsAttributeValue searchResultsPriceValue"', 'title="q" class="searchResultsTagAttributeValue" ', 'class="a" class="searchResultsLocationValue"', ""]
+
+    def cell():
+        return f"<td {rng.choice(classes)}>" + "".join(rng.choice(inner[:7] if rng.random() < 0.95 else inner) for _ in range(rng.randrange(4))) + "</td>"
+
+    def rows():
+        return "".join(f"<tr {rng.choice(['', 'data-id=\"1\"', 'data-id=\"\"', 'class=\"q\" data-id=\"2\"'])}>{''.join(cell() for _ in range(rng.randrange(11)))}</tr>" for _ in range(rng.randrange(4)))
+
+    def found(body):
+        try:
+            return [list(r) for r in html._parse(body, positional)]
+        except Exception as error:
+            return str(error)
+
+    bodies = [rng.choice(["", "<p>x</p>", "<table>", "&"]) + rows() for _ in range(3000)]
+    plain = sum(html._PLAIN.fullmatch(b) is not None for b in bodies)
+    cut = [found(b) for b in bodies]
+    monkeypatch.setattr(html, "_PLAIN", html.re.compile(r"(?!)"))
+    assert [found(b) for b in bodies] == cut and 500 < plain < 2900 and sum(map(len, cut)) > 500
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([("x/Audi/A3.html", page(row("a", 900_000))), ("x/Audi/odd.html", BROKEN)], "page string, body string")
+    found = ingest.judged(pages)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.listing_id: r for r in found.collect()}
+    assert got["a"].reason is None and got["a"].variant == "1.6"
+    odd = got["ERROR_odd"]
+    assert (odd.make, odd.model, odd.variant, odd.title, odd.year, odd.price, odd.is_damaged, odd.status, odd.raw_make, odd.raw_model) == ("", "", "", "unreadable page: odd", None, None, False, "QUARANTINED", "Audi", "odd")
+
+
+def test_rules_of_names_are_read_once_and_pages_names_told_before(spark):
+    names = spark.createDataFrame([("AUDI", "x", "1.6", "a4 temiz"), ("Arora", "q", "s1", None), (None, "A3", None, None), ("BYD", "x", "y", "z")], "make string, model string, variant string, title string")
+    columns = [F.col(c) for c in names.columns]
+    plain = names.select(normalize.canonical(*columns).alias("n"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("VOLKSWAGEN") == 1
+    before = names.withColumn("told", normalize.named(F.col("make"), F.col("model"))).select(normalize.canonical(*columns, name=F.col("told")).alias("n"))
+    assert plain.collect() == before.collect()
+    assert [(r.n.make, r.n.model) for r in plain.collect()] == [("Audi", "A4"), ("Arora", "S1"), ("", "A3"), ("BYD", "x")]
+
+
+def test_a_first_run_is_merged_into_nothing(spark):
+    new = ingest.one_each(ingest.judged(spark.createDataFrame([("x/Audi/A3.html", page(row("a", 900_000), row("b", 10)))], "page string, body string")))
+    for first, empty in ((ingest.merged(None, new, 3), ingest.merged(spark.createDataFrame([], ingest.LISTINGS), new, 3)), (ingest.quarantine(None, new, 3), ingest.quarantine(spark.createDataFrame([], ingest.QUARANTINE), new, 3))):
+        assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+        assert [(f.name, f.dataType) for f in first.schema] == [(f.name, f.dataType) for f in empty.schema]
+        assert sorted(map(str, first.collect())) == sorted(map(str, empty.collect()))
+
+
+@pytest.mark.parametrize("query", ["ingest_publish"])
+def test_listings_are_joined_once_for_both_runs(spark, monkeypatch, query):
+    files, run = [], ingest.run
+    monkeypatch.setattr(ingest, "run", lambda pages, *rest: (files.append(pages.inputFiles()), run(pages, *rest))[1])
+    getattr(jobs, query)(spark, "/root/testdata/sf0.001")
+    assert len(files) == 2 and not any("lineitem" in f for found in files for f in found)
