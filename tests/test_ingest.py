@@ -166,7 +166,7 @@ def test_a_first_run_is_merged_into_nothing(spark):
         assert sorted(map(str, first.collect())) == sorted(map(str, empty.collect()))
 
 
-@pytest.mark.parametrize("query", ["ingest_publish"])
+@pytest.mark.parametrize("query", ["ingest_publish", "ingest_snapshots"])
 def test_listings_are_joined_once_for_both_runs(spark, monkeypatch, query):
     files, run = [], ingest.run
     monkeypatch.setattr(ingest, "run", lambda pages, *rest: (files.append(pages.inputFiles()), run(pages, *rest))[1])
