@@ -22,6 +22,8 @@ from pricewright.sources import html
 
 VALID, QUARANTINED = "VALID", "QUARANTINED"
 KEY = ("source", "listing_id")
+#: The same as sort key: with the ids first, few pairs of rows are compared beyond their first bytes.
+BY_KEY = KEY[::-1]
 FACTS = ("make", "model", "variant", "title", "year", "mileage", "price", "is_damaged", "status", "reason", "raw_make", "raw_model")
 #: What a listing adds to its segment's statistics.
 COUNTED = ("make", "model", "variant", "year", "mileage", "price", "is_damaged", "status")
@@ -63,7 +65,7 @@ def judged(pages: DataFrame, body: str = "body", page: str = "page", source: str
 
 def one_each(rows: DataFrame) -> DataFrame:
     """One row per listing of a run: a quarantined one before valid ones, and the first of the total order."""
-    return L.first_of(rows, KEY, [F.col("status"), F.col("reason").asc_nulls_last(), *L.total_order(rows, "price", "mileage")])
+    return L.first_of(rows, BY_KEY, [F.col("status"), F.col("reason").asc_nulls_last(), *L.total_order(rows, "price", "mileage")])
 
 
 def merged(old: DataFrame | None, new: DataFrame, run: int) -> DataFrame:
@@ -76,7 +78,7 @@ def merged(old: DataFrame | None, new: DataFrame, run: int) -> DataFrame:
     if old is None:  # nothing to join with
         both = pack(new, "n").withColumn("o", F.lit(None).cast(T.StructType.fromDDL(LISTINGS)))
     else:
-        both = pack(old, "o").join(pack(new, "n"), (F.col("o_source") == F.col("n_source")) & (F.col("o_listing_id") == F.col("n_listing_id")), "full_outer")
+        both = pack(old, "o").join(pack(new, "n"), (F.col("o_listing_id") == F.col("n_listing_id")) & (F.col("o_source") == F.col("n_source")), "full_outer")
     o, n = F.col("o"), F.col("n")
     differs = lambda names: _any(~o[f].eqNullSafe(n[f]) for f in names)
     before = o.isNotNull() & (o["status"] == VALID) & ~o["is_damaged"]
@@ -120,8 +122,8 @@ def quarantine(old: DataFrame | None, rows: DataFrame, run: int) -> DataFrame:
     number = F.lit(run).cast("long")
     bad = rows.where(F.col("status") == QUARANTINED).select(*KEY, "reason", "raw_make", "raw_model", "title", "price", number.alias("first_run"), number.alias("last_run"))
     if old is None:
-        return L.first_of(bad, [*KEY, "reason"], L.total_order(bad, *KEY, "reason"))
-    return mutations.upsert(old, bad, [*KEY, "reason"], ["raw_make", "raw_model", "title", "price", "last_run"])
+        return L.first_of(bad, [*BY_KEY, "reason"], L.total_order(bad, *KEY, "reason"))
+    return mutations.upsert(old, bad, [*BY_KEY, "reason"], ["raw_make", "raw_model", "title", "price", "last_run"]).select(*(x.split()[0] for x in QUARANTINE.split(", ")))
 
 
 def run(pages: DataFrame, specs: DataFrame, folder: str, number: int, config: PricingConfig = DEFAULT, **options: str) -> versions.Pointer:

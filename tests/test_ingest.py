@@ -166,9 +166,20 @@ def test_a_first_run_is_merged_into_nothing(spark):
         assert sorted(map(str, first.collect())) == sorted(map(str, empty.collect()))
 
 
-@pytest.mark.parametrize("query", ["ingest_publish", "ingest_snapshots"])
+@pytest.mark.parametrize("query", ["ingest_publish", "ingest_listings", "ingest_snapshots"])
 def test_listings_are_joined_once_for_both_runs(spark, monkeypatch, query):
     files, run = [], ingest.run
     monkeypatch.setattr(ingest, "run", lambda pages, *rest: (files.append(pages.inputFiles()), run(pages, *rest))[1])
     getattr(jobs, query)(spark, "/root/testdata/sf0.001")
     assert len(files) == 2 and not any("lineitem" in f for found in files for f in found)
+
+
+def test_rows_are_sorted_by_their_ids_first(spark):
+    rows = ingest.judged(spark.createDataFrame([("x/Audi/A3.html", page(row("a", 900_000), row("b", 10)))], "page string, body string"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # stored rows, whose source is no constant
+    held = spark.createDataFrame([], ingest.QUARANTINE)
+    for made in (ingest.one_each(rows), ingest.merged(rows.select("*", *(F.lit(None).cast("long").alias(c) for c in ("first_run", "last_run"))), rows, 2), ingest.quarantine(None, rows, 1)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        sorts = [line.split("Sort [")[1] for line in plan.splitlines() if "Sort [" in line]
+        assert sorts and not any(x.startswith(("source", "o_source", "n_source")) for x in sorts)
+    assert ingest.quarantine(held, rows, 1).columns == ingest.quarantine(None, rows, 1).columns == held.columns
